@@ -75,11 +75,11 @@ def resolve_period(as_of: datetime, key: str = "7d", start: datetime | None = No
     if key == "yesterday":
         return Period(midnight - timedelta(days=1), midnight - timedelta(microseconds=1))
     if key in ("3m", "6m"):
-        return Period(_months_back(midnight, int(key[0])), as_of)
+        return Period(months_back(midnight, int(key[0])), as_of)
     if key == "monthToDate":
         return Period(month, as_of)
     if key == "lastMonth":
-        return Period(_months_back(month, 1), month - timedelta(microseconds=1))
+        return Period(months_back(month, 1), month - timedelta(microseconds=1))
     if key == "yearToDate":
         return Period(month.replace(month=1), as_of)
     if key == "lastYear":
@@ -88,7 +88,7 @@ def resolve_period(as_of: datetime, key: str = "7d", start: datetime | None = No
     return Period(as_of - rolling.get(key, timedelta(days=7)), as_of)
 
 
-def _months_back(day: datetime, n: int) -> datetime:
+def months_back(day: datetime, n: int) -> datetime:
     index = day.year * 12 + day.month - 1 - n
     year, month = divmod(index, 12)
     for last in (day.day, 30, 29, 28):
