@@ -36,9 +36,10 @@ class Period:
         return col.between(ts(self.prev_start), ts(self.end))
 
 
-def ts(value: datetime) -> Column:
+def ts(value: datetime | str) -> Column:
     """Literal of the canonical instant type."""
-    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    text = value if isinstance(value, str) else value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    return F.lit(text).cast("timestamp_ntz")
 
 
 def micros(col: Column) -> Column:
