@@ -50,7 +50,7 @@ class Tables:
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
     def add(fn: Callable[[Tables], DataFrame]):
-        assert name not in QUERIES, name
+        assert name not in QUERIES, f"registered twice: {name}"
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
