@@ -1,7 +1,8 @@
 """Rolling shopper features: the state kept per shop and device, which lapses after 45 idle minutes and whose cart empties on an order.
 
-Lapses are found like session boundaries, from per-chunk extremes. What follows an order is found by comparing events
-with the state's last order, so both steps are aggregations that combine before the shuffle.
+Chunks of the lapse time bound every group, as for sessions: events are reduced to one row per device and chunk, with
+the cart as it stands after the chunk's last order. States are then folded from chunks: a state's cart adds up the
+chunks from the one with its last order onwards.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import round_to
 from tidemark.functions.predicates import cart_add, order_event, rollup_view
 from tidemark.functions.timeutil import from_micros, micros, ts, whole_seconds
-from tidemark.operators.sessions import chunk_of, session_spans
-from tidemark.schema import DEVICE
+from tidemark.operators.sessions import chunk_of, number_spans, session_spans
+from tidemark.schema import DEVICE, with_default
 from tidemark.sources.tables import latest_by_key
 
 TTL_SECONDS = 45 * 60
@@ -24,47 +25,55 @@ _KEY = [*DEVICE, "state_start"]
 _LAST = ["session_id", "customer_id", "currency", "country", "city", "path", "device", "browser", "os"]
 
 
-def with_state(ev: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """Events with the start of the feature state they belong to."""
-    rows = ev.withColumn("_chunk", chunk_of(F.col("created_at"), ttl))
-    out = rows.join(session_spans(ev, ttl), [*DEVICE, "_chunk"])
-    return out.withColumn("state_start", from_micros(F.col("_start"))).drop("_chunk", "_start")
-
-
 def _last(column: str) -> Column:
     keep = F.col(column).isNotNull() & (F.col(column).cast("string") != "")
     return F.max(F.when(keep, F.struct(F.col("created_at"), F.col("id"), F.col(column).alias("v")))).alias(f"_{column}")
 
 
-def features(ev: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """Final features of every state.
-
-    Products are remembered in a set of their own that lapses after the same idle time between product views; an empty set counts one.
-    """
-    rows = with_state(ev, ttl)
+def _chunks(ev: DataFrame, ttl: int) -> DataFrame:
+    """Partials per device and chunk, from one shuffle of the events."""
     order = F.struct("created_at", "id")
-    base = rows.groupBy(*_KEY).agg(
-        F.count_if(rollup_view()).alias("views"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
-        F.max(F.when(order_event(), order)).alias("ordered"), F.max_by("name", order).alias("last_name"), *[_last(c) for c in _LAST])
-    # What went into the cart after the last order.
-    has_cart = "cart_id" in ev.columns
-    adds = rows.where(cart_add() | (F.lit(has_cart) & (F.col("cart_id").isNotNull() if has_cart else F.lit(False)) & ~order_event()))
-    adds = adds.join(base.select(*_KEY, "ordered"), _KEY).where(F.col("ordered").isNull() | (order > F.col("ordered")))
-    cart = F.max(F.when(F.col("cart_id").isNotNull(), F.struct("created_at", "id", "cart_id")))["cart_id"] if has_cart else F.lit(None).cast("string")
-    held = adds.groupBy(*_KEY).agg(
-        F.count_if(cart_add()).alias("carts"), F.coalesce(F.sum(F.when(cart_add(), F.col("revenue_usd"))), F.lit(0)).alias("cart_value_usd"),
-        F.coalesce(F.sum(F.when(cart_add(), F.col("revenue"))), F.lit(0)).alias("cart_value"), cart.alias("cart_id"))
-    # The product set: its own lapses, the newest set of each state, dropped if it lapsed before the state's last event.
-    seen = rows.where(rollup_view() & F.col("product_id").isNotNull()).select(*_KEY, "created_at", "product_id")
-    sets = seen.withColumn("_chunk", chunk_of(F.col("created_at"), ttl)).join(session_spans(seen, ttl), [*DEVICE, "_chunk"])
-    sets = sets.groupBy(*_KEY, "_start").agg(F.count_distinct("product_id").alias("products"), F.max("created_at").alias("viewed"))
-    newest = sets.groupBy(*_KEY).agg(F.max(F.struct("_start", "products", "viewed")).alias("_s"))
-    out = base.join(held, _KEY, "left").join(newest, _KEY, "left")
-    alive = micros(F.col("last_seen")) - micros(F.col("_s.viewed")) <= ttl * 1_000_000
+    rows = with_default(ev, "cart_id", F.lit(None).cast("string")).select(
+        *DEVICE, "id", "created_at", "name", "revenue", "revenue_usd", "cart_id", *_LAST, chunk_of(F.col("created_at"), ttl).alias("_chunk"))
+    ordered = F.max(F.when(order_event(), order)).over(Window.partitionBy(*DEVICE, "_chunk"))
+    rows = rows.withColumn("_ordered", ordered)
+    held = F.col("_ordered").isNull() | (order > F.col("_ordered"))
+    add = cart_add() & held
+    at = micros(F.col("created_at"))
+    return rows.groupBy(*DEVICE, "_chunk").agg(
+        F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count_if(rollup_view()).alias("views"), F.max(F.col("_ordered").isNotNull()).alias("_bought"),
+        F.count_if(add).alias("carts"), F.sum(F.when(add, F.col("revenue_usd"))).alias("cart_value_usd"), F.sum(F.when(add, F.col("revenue"))).alias("cart_value"),
+        F.max(F.when(held & F.col("cart_id").isNotNull(), F.struct("created_at", "id", "cart_id"))).alias("_cart"),
+        F.max(F.struct("created_at", "id", "name")).alias("_name"), *[_last(c) for c in _LAST])
+
+
+def _product_sets(ev: DataFrame, spans: DataFrame, ttl: int) -> DataFrame:
+    """Newest product set per state. The set lapses after the same idle time, counted between product views only; it lies inside one
+    state because a longer gap ends the state too."""
+    seen = ev.where(rollup_view() & F.col("product_id").isNotNull()).select(*DEVICE, "created_at", "product_id", chunk_of(F.col("created_at"), ttl).alias("_chunk"))
+    sets = seen.groupBy(*DEVICE, "_chunk", "product_id").agg(F.max("created_at").alias("viewed"))
+    sets = sets.join(session_spans(seen, ttl).withColumnRenamed("_start", "_set"), [*DEVICE, "_chunk"]).join(spans, [*DEVICE, "_chunk"])
+    counted = sets.groupBy(*DEVICE, "_start", "_set").agg(F.count_distinct("product_id").alias("products"), F.max("viewed").alias("viewed"))
+    return counted.groupBy(*DEVICE, "_start").agg(F.max(F.struct("_set", "products", "viewed")).alias("_s"))
+
+
+def features(ev: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
+    """Final features of every state. An empty product set counts as one product."""
+    chunks = number_spans(_chunks(ev, ttl), ttl)
+    bought = F.max(F.when(F.col("_bought"), F.col("_chunk"))).over(Window.partitionBy(*DEVICE, "_start"))
+    chunks = chunks.withColumn("_from", bought)
+    kept = F.col("_from").isNull() | (F.col("_chunk") >= F.col("_from"))
+    out = chunks.groupBy(*DEVICE, "_start").agg(
+        F.max("_hi").alias("_hi"), F.sum("views").alias("views"), F.sum(F.when(kept, F.col("carts"))).alias("carts"),
+        F.sum(F.when(kept, F.col("cart_value_usd"))).alias("cart_value_usd"), F.sum(F.when(kept, F.col("cart_value"))).alias("cart_value"),
+        F.max(F.when(kept, F.col("_cart")))["cart_id"].alias("cart_id"), F.max("_name")["name"].alias("_name"), *[F.max(f"_{c}").alias(f"_{c}") for c in _LAST])
+    out = out.join(_product_sets(ev, session_spans(ev, ttl), ttl), [*DEVICE, "_start"], "left")
+    first, last = from_micros(F.col("_start")), from_micros(F.col("_hi"))
+    alive = F.col("_hi") - micros(F.col("_s.viewed")) <= ttl * 1_000_000
     return out.select(
-        *_KEY, "first_seen", "last_seen", whole_seconds(F.col("first_seen"), F.col("last_seen")).alias("dwell_seconds"), "views",
+        *DEVICE, first.alias("state_start"), first.alias("first_seen"), last.alias("last_seen"), whole_seconds(first, last).alias("dwell_seconds"), "views",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("carts", "cart_value_usd", "cart_value")], "cart_id",
-        F.when(alive, F.col("_s.products")).otherwise(F.lit(1)).cast("bigint").alias("distinct_products"), (F.col("last_name") == "purchase").alias("has_purchase"),
+        F.when(alive, F.col("_s.products")).otherwise(F.lit(1)).cast("bigint").alias("distinct_products"), (F.col("_name") == "purchase").alias("has_purchase"),
         *[F.col(f"_{c}.v").alias("cart_currency" if c == "currency" else c) for c in _LAST])
 
 
@@ -114,8 +123,3 @@ def feature_matrix(journeys: DataFrame) -> DataFrame:
         round_to(F.lit(1.0) / F.greatest(F.lit(1), F.col("distinct_categories")), 4).alias("category_focus_index"),
         round_to(F.col("clicks_count") / dwell * 60, 2).alias("clicks_per_minute"), round_to(F.col("sale_item_views") / views, 4).alias("sale_view_ratio"),
         (F.col("device_type") == "mobile").cast("double").alias("is_mobile"))
-
-
-def latest_per_session(feats: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*DEVICE, "session_id").orderBy(F.desc("last_seen"))
-    return feats.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")

@@ -33,7 +33,7 @@ def session_key(start_micros: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts, start_micros.cast("string")), 256)
 
 
-def _number_spans(spans: DataFrame, timeout: int) -> DataFrame:
+def number_spans(spans: DataFrame, timeout: int) -> DataFrame:
     """Session start of every chunk; a gap equal to the timeout extends, a longer one opens a session."""
     order = Window.partitionBy(*DEVICE).orderBy("_chunk")
     gap = F.col("_lo") - F.lag("_hi").over(order)
@@ -47,7 +47,7 @@ def session_spans(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
     at = micros(F.col("created_at"))
     spans = (ev.select(*DEVICE, chunk_of(F.col("created_at"), timeout).alias("_chunk"), at.alias("_at"))
              .groupBy(*DEVICE, "_chunk").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi")))
-    return _number_spans(spans, timeout).select(*DEVICE, "_chunk", "_start")
+    return number_spans(spans, timeout).select(*DEVICE, "_chunk", "_start")
 
 
 def sessionize(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
@@ -81,7 +81,7 @@ def sessions(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
     Events are reduced to chunk partials before the first shuffle; sessions are folded from partials.
     """
     partials = ev.groupBy(*DEVICE, chunk_of(F.col("created_at"), timeout).alias("_chunk")).agg(*_summaries())
-    folded = _number_spans(partials, timeout).groupBy(*DEVICE, "_start").agg(
+    folded = number_spans(partials, timeout).groupBy(*DEVICE, "_start").agg(
         F.max("_hi").alias("_hi"), F.min("_first").alias("_first"), F.min("_in").alias("_in"), F.max("_out").alias("_out"),
         F.sum("events_count").alias("events_count"), F.sum("screen_views_count").alias("screen_views_count"),
         F.max("has_cart_add").alias("has_cart_add"), F.max("has_purchase").alias("has_purchase"),
