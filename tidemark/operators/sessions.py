@@ -23,8 +23,8 @@ TIMEOUT_SECONDS = 30 * 60
 _FIRST = ["customer_id", "origin", "referrer", "referrer_name", "referrer_type", "os", "browser", "device", "country", "city"]
 
 
-def chunk_of(col: Column, seconds: int) -> Column:
-    return F.floor(micros(col) / F.lit(seconds * 1_000_000)).cast("bigint")
+def chunk_of(col: Column, seconds: float) -> Column:
+    return F.floor(micros(col) / F.lit(int(seconds * 1_000_000))).cast("bigint")
 
 
 def session_key(start_micros: Column) -> Column:
@@ -33,11 +33,11 @@ def session_key(start_micros: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts, start_micros.cast("string")), 256)
 
 
-def number_spans(spans: DataFrame, timeout: int) -> DataFrame:
-    """Session start of every chunk; a gap equal to the timeout extends, a longer one opens a session."""
-    order = Window.partitionBy(*DEVICE).orderBy("_chunk")
-    gap = F.col("_lo") - F.lag("_hi").over(order)
-    opened = F.when(gap.isNull() | (gap > timeout * 1_000_000), F.col("_lo"))
+def number_spans(spans: DataFrame, timeout: float, keys: list[str] = DEVICE, closed: bool = True) -> DataFrame:
+    """Session start of every chunk; a gap equal to the timeout extends (unless ``closed`` is off), a longer one opens a session."""
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    gap, limit = F.col("_lo") - F.lag("_hi").over(order), int(timeout * 1_000_000)
+    opened = F.when(gap.isNull() | (gap > limit if closed else gap >= limit), F.col("_lo"))
     return spans.withColumn("_open", opened).withColumn(
         "_start", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
 
