@@ -1,16 +1,22 @@
-"""Lineage cuts that survive executor loss."""
+"""Shared scratch space and lineage cuts that survive executor loss."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder the cluster names; a temporary one only where none is named, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="run-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and read it back. The folder is the one the
-    cluster names; a temporary one is used only where none is set, as in tests."""
+    """Materialise ``df`` in the checkpoint folder and read it back, so that a lost executor costs a re-read and loops do not grow the plan."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
     return df.checkpoint()

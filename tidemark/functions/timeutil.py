@@ -46,6 +46,11 @@ def micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def slot(x: Column, width: int) -> Column:
+    """Number of the ``width``-long slice of a whole-number axis that holds x; exact for any size and sign."""
+    return ((x - F.pmod(x, F.lit(width))) / F.lit(width)).cast("bigint")
+
+
 def from_micros(col: Column) -> Column:
     return F.timestamp_micros(col).cast("timestamp_ntz")
 
@@ -57,7 +62,7 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 def whole_seconds(a: Column, b: Column) -> Column:
     """Elapsed time truncated to seconds."""
-    return F.floor((micros(b) - micros(a)) / F.lit(1_000_000)).cast("bigint")
+    return slot(micros(b) - micros(a), 1_000_000)
 
 
 def resolve_period(as_of: datetime, key: str = "7d", start: datetime | None = None, end: datetime | None = None) -> Period:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import round_to, safe_ratio
-from tidemark.functions.timeutil import Period, bucket, from_micros, micros
+from tidemark.functions.timeutil import Period, bucket, from_micros, micros, slot
 from tidemark.schema import DEVICE, SHOP
 
 # The standard purchase funnel, its window and the longest step list.
@@ -35,7 +35,7 @@ def _chains(ev: DataFrame, steps: Sequence[str], keys: list[str], window: int, c
     """
     width = window * 1_000_000
     at = micros(F.col("created_at"))
-    own = F.floor(at / F.lit(width)).cast("bigint")
+    own = slot(at, width)
     later = F.col("name").isin(*(steps if exact_start else steps[1:]))
     tiles = F.when(later, F.array(own, own - 1)).otherwise(F.array(own))
     rows = (ev.where(F.col("name").isin(*steps)).select(*keys, *carry, "name", "id", "created_at", at.alias("_at"), own.alias("_own"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import cart_add, order_event, overview_view
-from tidemark.functions.timeutil import from_micros, micros, ts, whole_seconds
+from tidemark.functions.timeutil import from_micros, micros, slot, ts, whole_seconds
 from tidemark.schema import DEVICE, SHOP
 
 TIMEOUT_SECONDS = 30 * 60
@@ -24,7 +24,7 @@ _FIRST = ["customer_id", "origin", "referrer", "referrer_name", "referrer_type",
 
 
 def chunk_of(col: Column, seconds: float) -> Column:
-    return F.floor(micros(col) / F.lit(int(seconds * 1_000_000))).cast("bigint")
+    return slot(micros(col), int(seconds * 1_000_000))
 
 
 def session_key(start_micros: Column) -> Column:

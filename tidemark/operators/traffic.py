@@ -343,3 +343,12 @@ def _referring(se: DataFrame, label: Column, period: Period, limit: int) -> Data
     totals = best.groupBy(*SHOP).agg(F.sum("sessions").alias("total"))
     before = counts.groupBy(*SHOP).agg(F.sum("_before").alias("previous_total"))
     return best.join(totals, SHOP).join(before, SHOP)
+
+
+def realtime_widget(ev: DataFrame, as_of: datetime, minutes: int = 30, k: int = 20) -> DataFrame:
+    """Sessions by country, referrer and path of the last minutes, from one scan, as (kind, item, count)."""
+    live = ev.where(F.col("created_at").between(ts(as_of - timedelta(minutes=minutes)), ts(as_of)))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("item")) for kind, column in (("country", "country"), ("referrer", "referrer_name"), ("path", "path"))])
+    rows = live.select(*SHOP, "session_id", F.explode(kinds).alias("x")).where(F.col("x.item") != "")
+    counts = rows.groupBy(*SHOP, "x.kind", "x.item").agg(F.count_distinct("session_id").alias("count"))
+    return top_k(counts, [*SHOP, "kind"], [F.desc("count"), F.col("item")], k)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.currency import to_usd
+from tidemark.functions.lineage import scratch
 from tidemark.plans.registry import TIMEOUT, Tables, query, sql
 from tidemark.sources import testdata
 from tidemark.streaming import sources as I
@@ -16,16 +15,6 @@ from tidemark.streaming import stateful as S
 _SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _scratch(spark) -> str:
-    """A new folder in the shared checkpoint area."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="run-")
-    import uuid
-
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4()}"
-
-
 def _stream(t: Tables) -> DataFrame:
     """Canonical events as a stream of the event file."""
     raw = I.read_files(t.spark, t.sf_dir, _SCHEMA, "parquet", glob="events.parquet")
@@ -36,7 +25,7 @@ def _stream(t: Tables) -> DataFrame:
 
 def _run(t: Tables, out: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there and read back what it wrote."""
-    base = _scratch(t.spark)
+    base = scratch(t.spark, "stream")
     writer = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out")
     writer.trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{base}/out")
