@@ -69,10 +69,11 @@ def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | Non
 def write_sessions(closed: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Closed sessions with their start and end events to the tables ``sessions`` and ``session_events``."""
     def save(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        batch.write.mode("overwrite").parquet(f"{path}/sessions/batch={number}")
-        start_events(batch).unionByName(end_events(batch)).write.mode("overwrite").parquet(f"{path}/session_events/batch={number}")
-        batch.unpersist()
+        stored = f"{path}/sessions/batch={number}"
+        batch.write.mode("overwrite").parquet(stored)
+        # The marker events are derived from the stored rows, so the state is read once.
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(stored)
+        start_events(rows).unionByName(end_events(rows)).write.mode("overwrite").parquet(f"{path}/session_events/batch={number}")
 
     return closed.writeStream.foreachBatch(save).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": FLUSH_INTERVAL})).start()
 
