@@ -161,12 +161,13 @@ def test_campaigns(spark, query, name, kind):
     ("Mozilla/5.0 (Linux; Android 13; SM-T827R4) Chrome/119.0", "tablet"), ("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36", "desktop"), ("Mozilla/5.0 (X11; Linux x86_64) Firefox/120.0", "desktop"),
     ("App; Model=POCO F3; Manufacturer=Xiaomi", "mobile"), ("App; Model=Galaxy S23 Ultra", "mobile"), ("App; Model=OnePlus 11", "mobile"), ("App; Model=Moto G84", "mobile")])
 def test_devices(spark, agent, device):
-    assert one(spark, d=W.user_agent(F.lit(agent))["device"])["d"] == device
+    assert W.with_agent(spark.createDataFrame([(agent,)], "user_agent string")).first()["agent"]["device"] == device
 
 
 def test_agent_overrides(spark):
-    p = W.user_agent(F.lit("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36"), F.create_map(F.lit("__os"), F.lit("BeOS"), F.lit("__browser"), F.lit("")))
-    assert tuple(one(spark, o=p["os"], b=p["browser"])) == ("BeOS", "Chrome")
+    df = spark.createDataFrame([("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36", {"__os": "BeOS", "__browser": ""})], "user_agent string, p map<string,string>")
+    agent = W.with_agent(df, overrides="p").first()["agent"]
+    assert (agent["os"], agent["browser"], agent["device"]) == ("BeOS", "Chrome", "desktop")
 
 
 def test_slug(spark):

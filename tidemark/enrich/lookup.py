@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.enrich.network import is_datacenter, with_network
-from tidemark.enrich.web import is_crawler, user_agent
+from tidemark.enrich.web import is_crawler, with_agent
 
 
 def lookup(requests: DataFrame, networks: DataFrame, ip: str = "ip", agent: str = "user_agent") -> DataFrame:
     """Location, provider, and device of each (address, agent) row."""
-    parts = user_agent(F.col(agent))
-    out = requests.select("*", *[c.alias(n) for n, c in parts.items()], is_crawler(F.col(agent)).alias("is_crawler"))
+    out = with_agent(requests, agent, name="_agent").select(*requests.columns, "_agent.*", is_crawler(F.col(agent)).alias("is_crawler"))
     return with_network(out, networks, ip).withColumn("is_datacenter", is_datacenter(F.col("geo_asn")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.enrich.network import is_local
-from tidemark.enrich.web import is_crawler, user_agent
+from tidemark.enrich.web import is_crawler, with_agent
 from tidemark.functions.currency import DEFAULT_RATES, to_usd
 from tidemark.functions.timeutil import micros
 from tidemark.operators.sessions import chunk_of, number_spans
@@ -189,57 +189,60 @@ def track_events(raw: DataFrame, salt: str = "", rates: dict[str, float] = DEFAU
     rows = rows.withColumn("p", flatten_properties(F.col("r.properties")))
     r, u, p, ec = (lambda n: F.col(f"r.{n}")), (lambda n: F.col(f"u.{n}")), (lambda n: F.col("p")[n]), (lambda n: F.col(f"ec.{n}"))
 
+    # Values used more than once become columns of their own, so that they are computed once per row.
     profile = first_filled(r("profileId"), r("profile_id"))
     envelope = F.when(~F.col("envelope").isin("", "track"), F.col("envelope"))
-    name = F.coalesce(first_filled(r("name"), r("event")), envelope, F.when(profile.isNotNull(), F.lit("identify")), F.lit(""))
-    identify = name == "identify"
+    rows = rows.withColumn("name", F.coalesce(first_filled(r("name"), r("event")), envelope, F.when(profile.isNotNull(), F.lit("identify")), F.lit("")))
+    identify = F.col("name") == "identify"
     shop_text = first_filled(r("shop_id"), r("client_id"), F.col("header_shop_id"), F.col("query_shop_id"))
     tenant_text = first_filled(r("tenant_id"), F.col("header_tenant_id"), F.col("query_tenant_id"))
-    shop, tenant = uuid_or_null(shop_text), uuid_or_null(tenant_text)
-    ip = client_ip(r("ip"), u("client_ip_address"))
-    ua = F.coalesce(first_filled(r("user_agent"), u("client_user_agent")), F.col("_header_ua"), F.lit(""))
-    items_text = F.coalesce(F.when(F.size(F.from_json(r("items"), ITEM_DDL)) > 0, r("items")), ec("items"))
-    items = F.from_json(items_text, ITEM_DDL)
+    rows = rows.withColumn("shop_id", uuid_or_null(shop_text)).withColumn("tenant_id", uuid_or_null(tenant_text))
+    rows = rows.withColumn("ip", client_ip(r("ip"), u("client_ip_address")))
+    rows = rows.withColumn("ua", F.coalesce(first_filled(r("user_agent"), u("client_user_agent")), F.col("_header_ua"), F.lit("")))
+    rows = with_agent(rows, "ua")
+    items_text = F.coalesce(F.when(r("items").startswith("[{"), r("items")), ec("items"))
+    rows = rows.withColumn("items", F.from_json(items_text, ITEM_DDL))
     value = F.coalesce(r("value").try_cast("double"), ec("value").try_cast("double"))
     stated = F.coalesce(flexible_int(r("revenue")), F.when(r("revenue").isNotNull(), F.lit(0)))
     cents = lambda x, k=1.0: F.round(x.try_cast("double") * k).cast("bigint")
     # Only the first source that is present counts, even when it does not parse.
     revenue = (F.when(stated.isNotNull(), stated).when(p("__revenue") != "", cents(p("__revenue"))).when(p("revenue") != "", cents(p("revenue")))
                .when(value.isNotNull(), cents(value, 100.0)).when(p("value") != "", cents(p("value"), 100.0)))
-    transaction = first_filled(r("transaction_id"), ec("transaction_id"))
-    order = first_filled(r("order_id"), transaction)
-    event_id = first_filled(r("event_id"), r("eventId"), p("event_id"), p("eventId"))
-    currency = F.coalesce(first_filled(r("currency"), ec("currency")), F.lit(""))
-    at = flexible_timestamp(r("timestamp"), F.col("received_at"))
-    agent = user_agent(ua)
-    device_id = F.coalesce(filled(r("device_id")), device_fingerprint(salt, shop, ip, ua))
-
-    user = F.struct(*[F.coalesce(filled(u(n)), F.when(identify, filled(r({"email": "email", "first_name": "firstName", "last_name": "lastName"}[n])))).alias(n)
-                      if n in ("email", "first_name", "last_name") else filled(u(n)).alias(n) for n in USER])
-    user_given = r("user_data").isNotNull() | identify
+    rows = rows.withColumn("revenue", revenue).withColumn("currency", F.coalesce(first_filled(r("currency"), ec("currency")), F.lit("")))
+    rows = rows.withColumn("transaction", first_filled(r("transaction_id"), ec("transaction_id"))).withColumn("order", first_filled(r("order_id"), F.col("transaction")))
+    rows = rows.withColumn("event_id", first_filled(r("event_id"), r("eventId"), p("event_id"), p("eventId")))
+    rows = rows.withColumn("created_at", flexible_timestamp(r("timestamp"), F.col("received_at")))
+    rows = rows.withColumn("device_id", F.coalesce(filled(r("device_id")), device_fingerprint(salt, F.col("shop_id"), F.col("ip"), F.col("ua"))))
+
+    sent = {"email": "email", "first_name": "firstName", "last_name": "lastName"}
+    user = [F.coalesce(filled(u(n)), F.when(identify, filled(r(sent[n])))).alias(n) if n in sent else filled(u(n)).alias(n) for n in USER]
+    rows = rows.withColumn("user", F.when(r("user_data").isNotNull() | identify, F.struct(*user)))
+    some = F.size("items") > 0
     extra = {
         "profileId": F.when(identify, filled(r("profileId"))), "email": F.when(identify, filled(r("email"))), "firstName": F.when(identify, filled(r("firstName"))),
-        "lastName": F.when(identify, filled(r("lastName"))), "client_ip": filled(ip), "client_ua": filled(ua),
-        "items": F.when(F.size(items) > 0, F.to_json(items)), "items_count": F.when(F.size(items) > 0, F.size(items).cast("string")),
-        "item_id": filled(F.get(items, F.lit(0))["item_id"]), "item_name": filled(F.get(items, F.lit(0))["item_name"]), "event_id": event_id,
-        "fbp": filled(u("fbp")), "fbc": filled(u("fbc")), "email_provided": F.when(user["email"].isNotNull(), F.lit("1")),
-        "phone_provided": F.when(user["phone"].isNotNull(), F.lit("1")), "_user_data": F.when(user_given, F.to_json(user)), "transaction_id": F.coalesce(transaction, order),
+        "lastName": F.when(identify, filled(r("lastName"))), "client_ip": filled(F.col("ip")), "client_ua": filled(F.col("ua")),
+        "items": F.when(some, F.to_json("items")), "items_count": F.when(some, F.size("items").cast("string")),
+        "item_id": filled(F.get("items", F.lit(0))["item_id"]), "item_name": filled(F.get("items", F.lit(0))["item_name"]), "event_id": F.col("event_id"),
+        "fbp": filled(u("fbp")), "fbc": filled(u("fbc")), "email_provided": F.when(F.col("user.email").isNotNull(), F.lit("1")),
+        "phone_provided": F.when(F.col("user.phone").isNotNull(), F.lit("1")), "_user_data": F.to_json("user"), "transaction_id": F.coalesce("transaction", "order"),
     }
-    added = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in extra]), F.array(*extra.values())), lambda k, v: v.isNotNull())
-    kept = F.map_filter(F.col("p"), lambda k, v: ~F.array_contains(F.map_keys(added), k))
+    rows = rows.withColumn("added", F.map_from_arrays(F.array(*[F.lit(k) for k in extra]), F.array(*extra.values())))
+    # Server values replace sent ones; what the server does not know stays as sent.
+    rows = rows.withColumn("kept", F.map_filter("p", lambda k, v: F.col("added")[k].isNull())).withColumn("known", F.map_filter("added", lambda k, v: v.isNotNull()))
 
     country = F.coalesce(*[F.when(F.length(c) == 2, F.upper(c)) for c in (F.col("cf_ipcountry"), F.col("x_country_code"), F.col("x_country"), p("country"), p("$country"), p("__country"))], F.lit(""))
     city = F.coalesce(first_filled(p("city"), p("$city"), p("__city")), F.lit(""))
-    status = (F.when(name == "", F.lit("missing_name")).when(shop.isNull(), F.lit("invalid_shop_id"))
-              .when(tenant.isNull() | (tenant == NIL_UUID), F.lit("invalid_tenant_id")).when(is_crawler(ua), F.lit("crawler_accepted")).otherwise(F.lit("accepted")))
-    key = F.sha2(F.concat_ws(":", shop, device_id, name, at.cast("string"), F.coalesce(event_id, F.lit("")), F.col("body")), 256)
+    tenant = F.col("tenant_id")
+    status = (F.when(F.col("name") == "", F.lit("missing_name")).when(F.col("shop_id").isNull(), F.lit("invalid_shop_id"))
+              .when(tenant.isNull() | (tenant == NIL_UUID), F.lit("invalid_tenant_id")).when(is_crawler(F.col("ua")), F.lit("crawler_accepted")).otherwise(F.lit("accepted")))
+    key = F.sha2(F.concat_ws(":", "shop_id", "device_id", "name", F.col("created_at").cast("string"), F.coalesce("event_id", F.lit("")), "body"), 256)
     return rows.select(
-        status.alias("status"), F.coalesce(uuid_or_null(event_id), key).alias("id"), tenant.alias("tenant_id"), shop.alias("shop_id"), name.alias("name"), device_id.alias("device_id"),
-        uuid_or_null(r("session_id")).alias("session_id"), uuid_or_null(first_filled(r("customer_id"), profile)).alias("customer_id"), revenue.alias("revenue"),
-        to_usd(revenue, currency, rates).alias("revenue_usd"), currency.alias("currency"), uuid_or_null(r("product_id")).alias("product_id"), uuid_or_null(r("cart_id")).alias("cart_id"),
-        uuid_or_null(order).alias("order_id"), F.coalesce(first_filled(r("path"), p("__path"), p("path")), F.lit("")).alias("path"), F.coalesce("origin", F.lit("")).alias("origin"),
-        F.coalesce(first_filled(r("referrer"), p("__referrer"), p("referrer")), F.lit("")).alias("referrer"), agent["os"].alias("os"), agent["browser"].alias("browser"),
-        agent["device"].alias("device"), country.alias("country"), city.alias("city"), ip.alias("ip"), ua.alias("user_agent"), F.map_concat(kept, added).alias("properties"), at.alias("created_at"))
+        status.alias("status"), F.coalesce(uuid_or_null(F.col("event_id")), key).alias("id"), "tenant_id", "shop_id", "name", "device_id",
+        uuid_or_null(r("session_id")).alias("session_id"), uuid_or_null(first_filled(r("customer_id"), profile)).alias("customer_id"), "revenue",
+        to_usd(F.col("revenue"), F.col("currency"), rates).alias("revenue_usd"), "currency", uuid_or_null(r("product_id")).alias("product_id"), uuid_or_null(r("cart_id")).alias("cart_id"),
+        uuid_or_null(F.col("order")).alias("order_id"), F.coalesce(first_filled(r("path"), p("__path"), p("path")), F.lit("")).alias("path"), F.coalesce("origin", F.lit("")).alias("origin"),
+        F.coalesce(first_filled(r("referrer"), p("__referrer"), p("referrer")), F.lit("")).alias("referrer"), "agent.os", "agent.browser", "agent.device", country.alias("country"),
+        city.alias("city"), "ip", F.col("ua").alias("user_agent"), F.map_concat("kept", "known").alias("properties"), "created_at")
 
 
 def geo_fallback(ev: DataFrame, country: str = "", city: str = "") -> DataFrame:

@@ -107,11 +107,14 @@ PHONES = (
     r"honor\s*[0-9a-z]", r"oppo\s*(a|f|find|reno|k)\s*[a-z0-9]", r"vivo\s*(v|y|x|s|t|iqoo)[0-9]", r"iqoo\s*[0-9a-z]", r"oneplus\s*[0-9]", r"one\s*plus\s*[0-9]", r"pixel\s*[0-9]",
     r"realme\s*[0-9a-z]", r"moto\s*(g|e|x|z|edge|razr)", r"motorola\s*(edge|razr)", r"nokia\s*[0-9]", r"xperia\s*[0-9a-z]", r"nothing\s*phone",
 )
-# Model codes and keywords of mobile and tablet devices.
-SAMSUNG_PHONE, SAMSUNG_TABLET, LG_PHONE = r"SM-[ABDEFGJMNRWZ][0-9]+", r"SM-T[0-9]+", r"LG-[A-Z0-9]+"
-MOBILE = (r"(android|bb\d+|meego).+mobile|avantgo|bada\/|blackberry|blazer|compal|elaine|fennec|hiptop|iemobile|ip(hone|od)|iris|kindle|lge |maemo|midp|mmp|mobile.+firefox|netfront|"
-          r"opera m(ob|in)i|palm( os)?|phone|p(ixi|re)\/|plucker|pocket|psp|series(4|6)0|symbian|treo|up\.(browser|link)|vodafone|wap|windows ce|xda|xiino")
-TABLET = r"tablet|ipad|xoom|sch-i800|kindle|silk|playbook"
+# Model codes of mobile devices and tablets, and keywords of either.
+SAMSUNG_PHONE, SAMSUNG_TABLET, LG_PHONE = r"sm-[abdefgjmnrwz][0-9]+", r"sm-t[0-9]+", r"lg-[a-z0-9]+"
+MOBILE = ("avantgo|bada/|blackberry|blazer|compal|elaine|fennec|hiptop|iemobile|iphone|ipod|iris|kindle|lge |maemo|midp|mmp|netfront|opera mobi|opera mini|palm|phone|pixi/|pre/|"
+          "plucker|pocket|psp|series40|series60|symbian|treo|up.browser|up.link|vodafone|wap|windows ce|xda|xiino")
+MOBILE_WORDED = r"(android|bb\d+|meego).+mobile|mobile.+firefox"
+TABLET = "tablet|ipad|xoom|sch-i800|kindle|silk|playbook"
+# Words without which no phone pattern can match; they are looked for first because that is cheap.
+PHONE_WORDS = "redmi|poco|mi|galaxy|huawei|honor|oppo|vivo|iqoo|oneplus|one|pixel|realme|moto|nokia|xperia|nothing"
 # Brands by pattern, the first match counts.
 BRANDS = (
     (r"xiaomi|redmi|poco", "Xiaomi"), (r"samsung|galaxy", "Samsung"), (r"huawei", "Huawei"), (r"honor", "Honor"), (r"oppo", "OPPO"), (r"vivo|iqoo", "Vivo"),
@@ -126,51 +129,67 @@ SYSTEMS = ((r"iPhone|iPad|iPod|\biOS\b", "iOS"), (r"Android", "Android"), (r"Win
 CRAWLERS = ("Googlebot", "BingPreview", "GPTBot", "Screaming Frog")
 
 
-def _any(col: Column, patterns: Sequence[str]) -> Column:
-    return col.rlike("(?i)(" + "|".join(patterns) + ")")
+def _matches(lower: Column, pattern: str) -> Column:
+    """Whether lower-case text matches. Alternatives without regex signs are plain substring tests."""
+    pattern = pattern.lower()
+    if set(pattern) & set("\\()[]?+*^${}"):
+        return lower.rlike(pattern)
+    return reduce(lambda a, b: a | b, [lower.contains(word) for word in pattern.split("|")])
 
 
-def _first(col: Column, table: Sequence[tuple[str, str]]) -> Column:
+def _any(lower: Column, patterns: Sequence[str]) -> Column:
+    return lower.rlike("|".join(f"({p})" for p in patterns))
+
+
+def _first(lower: Column, table: Sequence[tuple[str, str]]) -> Column:
     out = F.lit(None).cast("string")
     for pattern, value in reversed(table):
-        out = F.when(col.rlike(f"(?i){pattern}"), F.lit(value)).otherwise(out)
+        out = F.when(_matches(lower, pattern), F.lit(value)).otherwise(out)
     return out
 
 
 def app_field(ua: Column, name: str) -> Column:
     """``Model`` or ``Manufacturer`` in app-style agents."""
-    value = F.trim(F.regexp_extract(ua, f"(?i){name}=([^;)]+)", 1))
+    value = F.when(F.lower(ua).contains(f"{name.lower()}="), F.trim(F.regexp_extract(ua, f"(?i){name}=([^;)]+)", 1)))
     return F.when(value != "", value)
 
 
-def is_server(ua: Column) -> Column:
-    """No agent, a lone name/version pair, or nothing recognisable."""
-    known = _first(ua, SYSTEMS).isNotNull() | _first(ua, BROWSERS).isNotNull() | app_field(ua, "Model").isNotNull() | app_field(ua, "Manufacturer").isNotNull()
-    return ua.isNull() | (ua == "") | ua.rlike(r"^[^/]+/[\d.]+$") | ~known
-
-
 def device_type(ua: Column, model: Column | None = None, legacy_prefixes: Sequence[str] = ()) -> Column:
     """mobile, tablet or desktop. Known phone models decide first, then model codes, keywords and, last, Android. ``legacy_prefixes`` are
     patterns for the first four characters of feature-phone agents."""
-    model = F.coalesce(model if model is not None else app_field(ua, "Model"), F.lit(""))
-    old = _any(F.substring(ua, 1, 4), legacy_prefixes) if legacy_prefixes else F.lit(False)
-    return (F.when(_any(model, PHONES) | _any(ua, PHONES) | ua.rlike(f"(?i){SAMSUNG_PHONE}"), F.lit("mobile"))
-            .when(ua.rlike(f"(?i){SAMSUNG_TABLET}"), F.lit("tablet"))
-            .when(ua.rlike(f"(?i){LG_PHONE}") | ua.rlike(f"(?i)({MOBILE})") | old, F.lit("mobile"))
-            .when(ua.rlike(f"(?i)({TABLET})"), F.lit("tablet"))
-            .when(ua.rlike("(?i)android") & ~ua.rlike("(?i)mobile"), F.lit("mobile")).otherwise(F.lit("desktop")))
-
-
-def user_agent(ua: Column, overrides: Column | None = None) -> dict[str, Column]:
-    """os, browser, device, brand, model and server flag; non-blank ``__os``, ``__browser`` … properties win."""
-    server = is_server(ua)
-    model = app_field(ua, "Model")
-    text = F.concat_ws(" ", ua, model)
-    parsed = {"os": _first(ua, SYSTEMS), "browser": _first(ua, BROWSERS), "device": device_type(ua, model), "brand": F.coalesce(app_field(ua, "Manufacturer"), _first(text, BRANDS)), "model": model}
-    if overrides is not None:
-        parsed = {k: F.coalesce(F.when(overrides[f"__{k}"] != "", overrides[f"__{k}"]), v) for k, v in parsed.items()}
-    out = {k: F.when(server, F.lit("server" if k == "device" else "")).otherwise(F.coalesce(v, F.lit(""))) for k, v in parsed.items()}
-    return {**out, "is_server": server}
+    lower, named = F.lower(ua), F.lower(F.coalesce(model if model is not None else app_field(ua, "Model"), F.lit("")))
+    phone = ((named != "") & _any(named, PHONES)) | (_matches(lower, PHONE_WORDS) & _any(lower, PHONES))
+    old = _any(F.substring(lower, 1, 4), legacy_prefixes) if legacy_prefixes else F.lit(False)
+    worded = lower.contains("mobile") & lower.rlike(MOBILE_WORDED)
+    return (F.when(phone | (lower.contains("sm-") & lower.rlike(SAMSUNG_PHONE)), F.lit("mobile"))
+            .when(lower.contains("sm-t") & lower.rlike(SAMSUNG_TABLET), F.lit("tablet"))
+            .when((lower.contains("lg-") & lower.rlike(LG_PHONE)) | _matches(lower, MOBILE) | worded | old, F.lit("mobile"))
+            .when(_matches(lower, TABLET), F.lit("tablet"))
+            .when(lower.contains("android") & ~lower.contains("mobile"), F.lit("mobile")).otherwise(F.lit("desktop")))
+
+
+def with_agent(df: DataFrame, ua: str = "user_agent", overrides: str | None = None, name: str = "agent") -> DataFrame:
+    """Add a struct of os, browser, device, brand, model and is_server; non-blank ``__os``, ``__browser`` … entries of the overrides map win.
+
+    Parsed in two steps of columns, so every pattern is tried once per row. An agent that is missing, a lone name/version pair, or not
+    recognisable at all belongs to a server.
+    """
+    # Plain columns, not a struct: the optimiser would unfold a struct into its uses and try the patterns again for each.
+    text = F.coalesce(F.col(ua), F.lit(""))
+    rows = df.withColumn("_lower", F.lower(text))
+    rows = rows.withColumn("_os", _first(F.col("_lower"), SYSTEMS)).withColumn("_browser", _first(F.col("_lower"), BROWSERS))
+    rows = rows.withColumn("_model", app_field(text, "Model")).withColumn("_maker", app_field(text, "Manufacturer"))
+    known = F.col("_os").isNotNull() | F.col("_browser").isNotNull() | F.col("_model").isNotNull() | F.col("_maker").isNotNull()
+    rows = rows.withColumn("_server", text.rlike(r"^[^/]+/[\d.]+$") | ~known)
+    # Only agents of people are worth the longer patterns.
+    named = F.concat_ws(" ", "_lower", F.lower("_model"))
+    rows = rows.withColumn("_device", F.when(~F.col("_server"), device_type(text, F.col("_model"))))
+    rows = rows.withColumn("_brand", F.when(~F.col("_server"), F.coalesce("_maker", _first(named, BRANDS))))
+    parsed = {k: F.col(f"_{k}") for k in ("os", "browser", "device", "brand", "model")}
+    if overrides:
+        parsed = {k: F.coalesce(F.when(F.col(overrides)[f"__{k}"] != "", F.col(overrides)[f"__{k}"]), v) for k, v in parsed.items()}
+    fields = [F.when(F.col("_server"), F.lit("server" if k == "device" else "")).otherwise(F.coalesce(v, F.lit(""))).alias(k) for k, v in parsed.items()]
+    return rows.withColumn(name, F.struct(*fields, F.col("_server").alias("is_server"))).drop("_lower", "_os", "_browser", "_model", "_maker", "_server", "_device", "_brand")
 
 
 def is_crawler(ua: Column) -> Column:
@@ -195,7 +214,7 @@ def is_blocked_name(name: Column) -> Column:
     """Longer than 80 characters, with line breaks, or with text of an attack or path scan."""
     lower = F.lower(name)
     bad = F.exists(F.array(*[F.lit(b) for b in BLOCKED]), lambda b: lower.contains(b))
-    return (F.length(name) > 80) | name.contains("\n") | name.contains("\r") | bad | _any(name, SCANS)
+    return (F.length(name) > 80) | name.contains("\n") | name.contains("\r") | bad | _any(lower, SCANS)
 
 
 def is_valid_track(name: Column, revenue: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.enrich.payload import ITEM_DDL, USER, filled
-from tidemark.schema import SHOP
+from tidemark.operators.traffic import top_k
+from tidemark.schema import SHOP, with_default
 
 # Platform event name → our names for it.
 STANDARD = {
@@ -67,10 +68,9 @@ def hash_zip(col: Column) -> Column:
 
 # --- payload ---------------------------------------------------------------------------------
 
-def user_data() -> Column:
-    """Hashed identity with fallbacks to the event's own fields. A missing address or agent stays null."""
+def user_data(u: Column) -> Column:
+    """Hashed identity from the sender's user data ``u``, with fallbacks to the event's own fields. A missing address or agent stays null."""
     p = F.col("properties")
-    u = F.from_json(p["_user_data"], ", ".join(f"{n} string" for n in USER))
     country = F.coalesce(filled(hash_country(u["country_code"])), filled(hash_country(F.col("country"))))
     city = F.coalesce(filled(hash_alpha(u["city"])), filled(hash_alpha(F.col("city"))))
     external = F.coalesce(filled(hashed(u["external_id"])), filled(hashed(F.col("customer_id").cast("string"))), filled(hashed(F.col("device_id"))))
@@ -82,17 +82,20 @@ def user_data() -> Column:
         F.coalesce(filled(u["fbp"]), filled(p["fbp"])).alias("fbp"), F.coalesce(filled(u["fbc"]), filled(p["fbc"])).alias("fbc"))
 
 
-def custom_data() -> Column:
-    """Value, currency, order and contents. Without items the event's product stands for one piece at the event's value."""
-    p = F.col("properties")
-    value = F.coalesce(F.col("revenue") / 100.0, F.lit(0.0))
-    items = F.from_json(p["items"], ITEM_DDL)
+def order_contents(items: Column) -> Column:
+    """Items in the platform's form: at least one piece each, priced in units of the currency."""
     price = lambda i: F.coalesce(i["price"], i["price_cents"] / 100.0, F.lit(0.0))
     quantity = lambda i: F.when(i["quantity"] > 0, i["quantity"]).otherwise(F.lit(1)).cast("bigint")
     text = lambda c: F.coalesce(c, F.lit(""))
-    contents = F.transform(items, lambda i: F.struct(
+    return F.transform(items, lambda i: F.struct(
         text(i["item_id"]).alias("id"), quantity(i).alias("quantity"), price(i).alias("item_price"), text(i["item_name"]).alias("title"),
         F.coalesce(filled(i["category"]), text(i["item_category"])).alias("category"), text(i["item_brand"]).alias("brand")))
+
+
+def custom_data(contents: Column) -> Column:
+    """Value, currency, order and contents. Without items the event's product stands for one piece at the event's value."""
+    p = F.col("properties")
+    value = F.coalesce(F.col("revenue") / 100.0, F.lit(0.0))
     ids = F.filter(F.transform(contents, lambda c: c["id"]), lambda x: x != "")
     product = F.col("product_id").cast("string")
     single = F.array(F.struct(product.alias("id"), F.lit(1).cast("bigint").alias("quantity"), value.alias("item_price"), F.lit("").alias("title"), F.lit("").alias("category"), F.lit("").alias("brand")))
@@ -110,18 +113,23 @@ def payloads(ev: DataFrame, integrations: DataFrame | None = None) -> DataFrame:
     ``integrations``: tenant, shop, enabled, credentials (JSON with pixel_id and access_token), events_whitelist. An empty whitelist allows
     every event. Events delivered twice appear once: they share the id their sender or their row gave them.
     """
-    rows = ev if "order_id" in ev.columns else ev.withColumn("order_id", F.lit(None).cast("string"))
-    out = rows.select(*SHOP, platform_name(F.col("name")).alias("event_name"), F.unix_seconds(F.col("created_at").cast("timestamp")).alias("event_time"),
-                      F.coalesce(filled(F.col("properties")["event_id"]), F.col("id").cast("string")).alias("event_id"), source_url(F.col("origin"), F.col("path")).alias("event_source_url"),
-                      F.lit("website").alias("action_source"), user_data().alias("user_data"), custom_data().alias("custom_data")).where(F.col("event_name").isNotNull())
-    if integrations is not None:
-        keys = F.from_json("credentials", "pixel_id string, access_token string")
-        live = integrations.where(F.col("enabled") & (keys["pixel_id"] != "") & (keys["access_token"] != "")).select(*SHOP, F.col("events_whitelist").alias("_allowed"))
-        out = out.join(live, SHOP)
-        name = F.lower("event_name")
-        allowed = (F.coalesce(F.size("_allowed"), F.lit(0)) <= 0) | F.exists("_allowed", lambda w: F.lower(w) == name)
-        out = out.where(allowed).drop("_allowed")
-    return out.dropDuplicates([*SHOP, "event_id"])
+    rows = with_default(ev, "order_id", F.lit(None).cast("string")).withColumn("event_name", platform_name(F.col("name")))
+    rows = rows.withColumn("event_id", F.coalesce(filled(F.col("properties")["event_id"]), F.col("id").cast("string"))).where(F.col("event_name").isNotNull())
+    # Shops and repeats are sorted out first; only what is left is parsed and hashed.
+    rows = _enabled(rows, integrations) if integrations is not None else rows
+    rows = top_k(rows, [*SHOP, "event_id"], [F.col("created_at"), F.col("id")], 1)
+    rows = rows.withColumn("_u", F.from_json(F.col("properties")["_user_data"], ", ".join(f"{n} string" for n in USER)))
+    rows = rows.withColumn("_c", order_contents(F.from_json(F.col("properties")["items"], ITEM_DDL)))
+    return rows.select(*SHOP, "event_name", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("event_time"), "event_id", source_url(F.col("origin"), F.col("path")).alias("event_source_url"),
+                       F.lit("website").alias("action_source"), user_data(F.col("_u")).alias("user_data"), custom_data(F.col("_c")).alias("custom_data"))
+
+
+def _enabled(rows: DataFrame, integrations: DataFrame) -> DataFrame:
+    """Events of shops with a complete, enabled integration whose whitelist, if any, names the event."""
+    keys = F.from_json("credentials", "pixel_id string, access_token string")
+    live = integrations.where(F.col("enabled") & (keys["pixel_id"] != "") & (keys["access_token"] != "")).select(*SHOP, F.transform("events_whitelist", F.lower).alias("_allowed"))
+    allowed = (F.coalesce(F.size("_allowed"), F.lit(0)) <= 0) | F.array_contains("_allowed", F.lower("event_name"))
+    return rows.join(live, SHOP).where(allowed).drop("_allowed")
 
 
 def as_json(payload: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def journey_paths(ev: DataFrame, period: Period, steps: int = 5) -> DataFrame:
 
 def journey_transitions(prefix: DataFrame, entries: int = 3) -> tuple[DataFrame, DataFrame]:
     """Top entry pages per shop and the page changes per step of sessions entering there. Sessions with a single page are left out."""
-    hops = _hops(prefix)
+    hops = cut(_hops(prefix))  # a few rows per session, read twice
     starts = hops.where(F.col("position") == 1).groupBy(*SHOP, "entry").agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy(*SHOP).orderBy(F.desc("count"), "entry"))
     top = starts.withColumn("rank", rank).where(F.col("rank") <= entries)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.enrich import payload as P
 from tidemark.enrich.lookup import lookup
-from tidemark.enrich.web import is_crawler, user_agent
+from tidemark.enrich.web import is_crawler, with_agent
 from tidemark.functions.numbers import sanitize
 from tidemark.functions.predicates import at_exact_location, at_location, in_scope, tenant_of_shop
 from tidemark.operators import traffic as T
@@ -116,8 +116,8 @@ def _agent_case(i):
 @query("user_agents", sql(f"""SELECT id, {_agent_case(1)} AS os, {_agent_case(2)} AS browser, {_agent_case(3)} AS device, {_agent_case(4)} AS brand, {_agent_case(5)} AS crawler FROM ev"""))
 def _(t):
     ua = F.element_at(F.array(*[F.lit(a[0]) for a in _AGENTS]), F.col("product_id") % 9 + 1)
-    p = user_agent(ua)
-    return t.ev.select("id", p["os"].alias("os"), p["browser"].alias("browser"), p["device"].alias("device"), p["brand"].alias("brand"), is_crawler(ua).alias("crawler"))
+    rows = with_agent(t.ev.select("id", ua.alias("user_agent")))
+    return rows.select("id", "agent.os", "agent.browser", "agent.device", "agent.brand", is_crawler(F.col("user_agent")).alias("crawler"))
 
 
 @query("request_lookup", sql(f"""SELECT id, {_agent_case(3)} AS device, 'City ' || (product_id % 50) AS geo_city, product_id % 50 % 2 = 0 AS is_datacenter FROM ev"""))
