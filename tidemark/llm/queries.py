@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, secrets, simhash
+from tidemark.llm import decontamination, packing, repetition, secrets, simhash
 from tidemark.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -30,6 +30,34 @@ def op2(spark, sf_dir):
     return rows.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op4_decontamination", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(cast(item_id AS varchar), '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS l, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS t
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+runs AS (
+  SELECT n, l, i, array_to_string(list_slice(w, i, i + l - 1), ' ') AS t
+  FROM (SELECT n, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM docs, (SELECT DISTINCT l FROM windows))),
+hits AS (SELECT n, l, i, item FROM runs JOIN windows USING (l, t)),
+places AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + l)) AS p FROM hits) GROUP BY n),
+named AS (SELECT n, count(*) AS c, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(c, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN places USING (n) LEFT JOIN named USING (n)
+""")
+def op4(spark, sf_dir):
+    found = decontamination.find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.size("hit_spans") > 0).alias("contaminated"))
+
+
 @query("op5_secrets", r"""
 WITH rules(rule, kind, pattern, grp, least) AS (VALUES
   (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
@@ -61,6 +89,35 @@ def op5(spark, sf_dir):
                         spans.alias("spans"))
 
 
+@query("op6_repetition", f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT n, count(*) - count(DISTINCT line) AS d FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY n),
+runs AS (
+  SELECT n, l, i, hash(array_to_string(list_slice(w, i, i + l - 1), ' ')) AS t
+  FROM (SELECT n, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM docs, (VALUES (5), ({repetition.LEAST}), ({repetition.LONGEST + 1})) v(l))),
+again AS (SELECT n, l, i FROM (SELECT *, count(*) OVER (PARTITION BY n, l, t) AS c FROM runs) WHERE c > 1),
+covered AS (SELECT n, l, count(DISTINCT p) AS c FROM (SELECT n, l, unnest(range(i, i + l)) AS p FROM again) GROUP BY n, l),
+per AS (
+  SELECT n, max(c) FILTER (l = 5) AS a, max(c) FILTER (l = {repetition.LEAST}) AS b,
+    max(c) FILTER (l = {repetition.LONGEST + 1}) AS z FROM covered GROUP BY n),
+counts AS (
+  SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(length(array_to_string(w, '')) AS bigint) AS word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+    coalesce(d, 0) AS n_dup_lines, coalesce(a, 0) AS n_repeat_words, coalesce(b, 0) AS b, coalesce(z, 0) AS z
+  FROM docs LEFT JOIN lines USING (n) LEFT JOIN per USING (n))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * b <= {repetition.MOST_COVERED} * n_words AND z = 0 AS kept
+FROM counts
+""")
+def op6(spark, sf_dir):
+    return repetition.repetition(read(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
+
+
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
