@@ -48,3 +48,19 @@ def word_blocks(data: bytes, carry: int, separator: re.Pattern = SPACE, size: in
         tail = words[-carry:] if carry else []
         first += len(words) - len(tail)
         at = end
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most_rows: int,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of about ``most_rows`` labelled training rows at most: those outside the held-out remainder, thinned
+    by a hash of their id. Ids with several labels count once, with the largest; null ids and labels do not train.
+
+    The labels kept are bounded by ``most_rows``, so they may be broadcast: texts are read, not shuffled.
+    """
+    rows = (labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
+            .where(F.col("label").isNotNull() & (remainder("__id", parts) != held))
+            .groupBy("__id").agg(F.max("label").alias("label")).where(F.col("__id").isNotNull()))
+    share = min(1.0, most_rows / max(1, rows.count()))
+    rows = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(rows), "__id").select("__id", "text", "label")

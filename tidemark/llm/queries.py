@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, repetition, secrets, simhash
-from tidemark.llm.common import read
+from tidemark.llm import chat, decontamination, language, licenses, packing, quality, repetition, secrets, simhash, toxicity
+from tidemark.llm.common import labelled_sample, read, remainder
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,12 +24,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.learn(labelled_sample(docs, labels, "quality", 4, 2, quality.TRAIN_ROWS))
+    return quality.classify(docs, model).withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 @query("op2_simhash")
 def op2(spark, sf_dir):
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op3_language")
+def op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = language.learn(language.training(docs))
+    return language.predict(docs, model).select("doc_id", "lang_pred", "score", (remainder("doc_id", 4) == 2).alias("held_out"))
+
+
 @query("op4_decontamination", r"""
 WITH docs AS (
   SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -118,6 +132,48 @@ def op6(spark, sf_dir):
     return repetition.repetition(read(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
+@query("op7_chat", r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, ['user', 'assistant'][n], '\### Assistant: </turn> ok' FROM range(1, 3) t(n)),
+pieces AS (
+  SELECT *, replace(replace(replace(replace(text, '\', '\\'), '</turn>', '\l/turn>'), '<more>', '\lmore>'), '### ', '\h## ') AS safe,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\l/turn>'), '<more>', '\lmore>'), '### ', '\h## '), ':', '\c') AS head,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS last_role FROM rows)
+SELECT cast(conv_id AS bigint) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(length(safe) + CASE WHEN role = last_role THEN 6 ELSE length(head) + 14 END) AS bigint) AS formatted_chars
+FROM pieces GROUP BY conv_id
+""")
+def op7(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 1, "user", said), (-7, 2, "assistant", said)], rows.schema)
+    shown = chat.format_conversations(rows.unionByName(extra))
+    turns = chat.read_back(F.col("formatted"))
+    under = chat.loss_text(F.col("turns"))
+    return shown.withColumn("turns", turns).select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), chat.digest(F.col("turns")).alias("turns_sha256"),
+        F.length(under).cast("bigint").alias("loss_chars"), F.sha2(under.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op8_licenses")
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scorer = toxicity.learn(docs, labelled_sample(docs, labels, "toxic", 5, 0, toxicity.TRAIN_ROWS))
+    return toxicity.score(docs, scorer).withColumn("held_out", remainder("doc_id", 5) == 0)
