@@ -192,12 +192,12 @@ def cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """``docs`` with every removal span cut out of its text; ``n_chars``, where there is one, follows. Documents without
     a hit pass unchanged; one that was nothing but benchmark text keeps its row with the little that is left."""
-    found = find(docs, benchmark, text, **options)
+    found, names = find(docs, benchmark, text, **options), docs.columns
 
     def run(batches):
         for batch in batches:
             spans = batch.column("hit_spans").to_pylist()
-            columns = {f.name: batch.column(f.name) for f in docs.schema.fields}
+            columns = {name: batch.column(name) for name in names}
             if any(spans):
                 texts = columns[text].to_pylist()
                 for i, here in enumerate(spans):
