@@ -80,9 +80,9 @@ def update(versions: DataFrame, folder: str, text: str = "text", rules=RULES) ->
     spark, version = versions.sparkSession, rule_version(rules)
     known = _ledger(spark, folder).where(F.col("rule_version") == version).select("blob")
     blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Copies meet in one row before and after the shuffle; only unseen blobs are moved.
-    unseen = blobs.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    rows = scan(unseen.select("blob", "text"), rules)
+    # Each task folds its copies of a blob into one row before the shuffle, however many there are.
+    unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
+    rows = scan(unseen, rules)
     (rows.select("blob", F.lit(version).alias("rule_version"), F.lit(1).cast("bigint").alias("rows_scanned"), "findings")
      .write.mode("append").parquet(folder))
     return _ledger(spark, folder).where(F.col("rule_version") == version)
