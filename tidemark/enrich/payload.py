@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -15,7 +16,7 @@ from tidemark.enrich.web import is_crawler, with_agent
 from tidemark.functions.currency import DEFAULT_RATES, to_usd
 from tidemark.functions.timeutil import micros
 from tidemark.operators.sessions import chunk_of, number_spans
-from tidemark.schema import NIL_UUID, SHOP
+from tidemark.schema import NIL_UUID, SHOP, row_hash
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 # Every field is read as text: senders mix numbers, strings and objects.
@@ -77,43 +78,54 @@ def _number(value) -> str:
     return format(Decimal(repr(value)), "f")
 
 
-def _walk(value, prefix: str, indexed: bool, out: dict) -> None:
-    if isinstance(value, dict):
-        for key, child in value.items():
-            _walk(child, f"{prefix}.{key}" if prefix else str(key), indexed, out)
-    elif isinstance(value, list):
-        if not indexed:
+def _float(text: str) -> float | str:
+    """A number beyond all bounds stays the text it was."""
+    value = float(text)
+    return value if math.isfinite(value) else text
+
+
+def _parsed(text: str):
+    """A JSON value, or None if it cannot be read, be it for its depth."""
+    try:
+        return json.loads(text, parse_float=_float, parse_constant=str)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _walk(root: dict, indexed: bool) -> dict:
+    """Leaves by dotted key, in order. The places still to visit are kept in a list, so depth is not bounded by the call stack."""
+    out: dict = {}
+    todo = [(root, "")]
+    while todo:
+        value, prefix = todo.pop()
+        if isinstance(value, dict):
+            todo += [(child, f"{prefix}.{key}" if prefix else str(key)) for key, child in reversed(value.items())]
+        elif isinstance(value, list) and indexed:
+            todo += [(child, f"{prefix}.{i}") for i, child in reversed(list(enumerate(value)))]
+        elif isinstance(value, list):
             out[prefix] = json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-        for i, child in enumerate(value if indexed else ()):
-            _walk(child, f"{prefix}.{i}", indexed, out)
-    elif isinstance(value, str):
-        if not indexed:
+        elif isinstance(value, str) and not indexed:
             out[prefix] = value
-        elif value[:1] in ("{", "["):
+        elif isinstance(value, str) and value[:1] in ("{", "["):
             # Embedded JSON is opened; what does not parse is left out.
             if value.endswith("}" if value[0] == "{" else "]"):
-                try:
-                    _walk(json.loads(value), prefix, indexed, out)
-                except ValueError:
-                    pass
-        elif value != "":
-            out[prefix] = value.encode("utf-8", "ignore").decode("utf-8").strip()
-    elif value is not None:
-        out[prefix] = _number(value)
+                todo.append((_parsed(value), prefix))
+        elif isinstance(value, str) and value != "":
+            out[prefix] = value.strip()
+        elif value is not None and not isinstance(value, str):
+            out[prefix] = _number(value)
+    return out
 
 
 def _flattener(indexed: bool):
     @F.pandas_udf("string")
     def flatten(texts: pd.Series) -> pd.Series:
         def one(text):
-            try:
-                value = json.loads(text) if text else {}
-            except ValueError:
-                value = {}
-            out: dict = {}
-            if isinstance(value, dict):
-                _walk(value, "", indexed, out)
-            return json.dumps(out, ensure_ascii=False)
+            value = _parsed(text) if text else None
+            if not isinstance(value, dict):
+                return "{}"
+            # Half a surrogate pair is no character and cannot be stored.
+            return json.dumps(_walk(value, indexed), ensure_ascii=False).encode("utf-8", "ignore").decode()
         return texts.map(one)
     return flatten
 
@@ -122,9 +134,15 @@ def flatten_properties(text: Column, indexed: bool = False) -> Column:
     """JSON object as a flat map with dotted keys.
 
     Plain mode keeps arrays as JSON text and drops nulls. Indexed mode numbers array elements, drops blanks, opens JSON held in strings and
-    drops what looks like broken JSON. Nesting is unbounded, which column expressions cannot follow, so batches pass through Arrow.
+    drops what looks like broken JSON. Nesting is unbounded, which column expressions cannot follow, so nested objects pass through Arrow.
+    In plain mode a flat object of unescaped texts, whole numbers and booleans, as most are, is read by a built-in function.
     """
-    return F.coalesce(F.from_json(_flattener(indexed)(text), _TEXT_MAP), F.create_map().cast(_TEXT_MAP))
+    empty = F.create_map().cast(_TEXT_MAP)
+    if indexed:
+        return F.coalesce(F.from_json(_flattener(True)(text), _TEXT_MAP), empty)
+    simple = F.coalesce(F.regexp_replace(text, r'"[^"\\]*+"|true|false|null', '"').rlike(r'^\s*\{[\s",:0-9-]*+\}\s*$'), F.lit(False))
+    flat = F.map_filter(F.from_json(F.when(simple, text), _TEXT_MAP), lambda k, v: v.isNotNull())
+    return F.coalesce(flat, F.from_json(_flattener(False)(F.when(~simple, text)), _TEXT_MAP), empty)
 
 
 def unflatten_properties(props: Column) -> Column:
@@ -152,11 +170,19 @@ def split_envelopes(raw: DataFrame) -> DataFrame:
         "body", F.when((F.col("envelope") != "") & F.col("_h.payload").isNotNull(), F.col("_h.payload")).otherwise(F.col("body"))).drop("_h")
 
 
-def explode_batches(raw: DataFrame, most: int = 500) -> DataFrame:
-    """One row per event of ``{events: [...]}`` bodies. Empty and oversized batches are refused whole."""
-    events = F.from_json("body", "events array<string>")["events"]
-    sized = raw.withColumn("_e", events).where(F.size("_e").between(1, most))
-    return sized.select(*[c for c in raw.columns if c != "body"], F.explode("_e").alias("body"))
+def explode_batches(raw: DataFrame, most: int | None = None) -> DataFrame:
+    """One row per event of ``{events: [...]}`` bodies, with a null ``refusal``.
+
+    A body that cannot be read, holds no event or, where ``most`` is set, more than ``most`` is refused whole: one row with the body
+    and the reason in ``refusal``, which :func:`track_events` takes for its status.
+    """
+    sized = raw.withColumn("_e", F.from_json("body", "events array<string>")["events"])
+    count = F.coalesce(F.size("_e"), F.lit(-1))
+    why = F.when(count < 0, "invalid_json").when(count == 0, "empty_batch")
+    why = why if most is None else why.when(count > most, "batch_too_large")
+    single = F.array(F.col("body"))
+    return sized.withColumn("refusal", why).withColumn("_b", F.when(F.col("refusal").isNull(), F.col("_e")).otherwise(single)).select(
+        *[c for c in raw.columns if c != "body"], "refusal", F.explode("_b").alias("body"))
 
 
 def client_ip(body_ip: Column, user_ip: Column) -> Column:
@@ -177,10 +203,10 @@ def short_fingerprint(salt: str, ua: Column, ip: Column, origin: Column) -> Colu
 def track_events(raw: DataFrame, salt: str = "", rates: dict[str, float] = DEFAULT_RATES) -> DataFrame:
     """Request bodies as canonical events plus ``status``.
 
-    ``accepted`` rows are events, ``crawler_accepted`` ones were sent by crawlers, all other rows name what is missing. Nothing is
-    dropped here, so callers can route refused rows elsewhere. Location, referrer and bot marks are separate joins.
+    ``accepted`` rows are events, ``crawler_accepted`` ones were sent by crawlers, all other rows name what is missing or, as
+    ``refusal`` of :func:`explode_batches`, why the body was refused. Nothing is dropped here, so callers can route refused rows elsewhere. Location, referrer and bot marks are separate joins.
     """
-    for name in HEADERS:
+    for name in (*HEADERS, "refusal"):
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast("timestamp_ntz" if name == "received_at" else "string"))
     rows = split_envelopes(raw).where(F.col("envelope") != "replay")
@@ -233,7 +259,7 @@ def track_events(raw: DataFrame, salt: str = "", rates: dict[str, float] = DEFAU
     country = F.coalesce(*[F.when(F.length(c) == 2, F.upper(c)) for c in (F.col("cf_ipcountry"), F.col("x_country_code"), F.col("x_country"), p("country"), p("$country"), p("__country"))], F.lit(""))
     city = F.coalesce(first_filled(p("city"), p("$city"), p("__city")), F.lit(""))
     tenant = F.col("tenant_id")
-    status = (F.when(F.col("name") == "", F.lit("missing_name")).when(F.col("shop_id").isNull(), F.lit("invalid_shop_id"))
+    status = (F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(F.col("name") == "", F.lit("missing_name")).when(F.col("shop_id").isNull(), F.lit("invalid_shop_id"))
               .when(tenant.isNull() | (tenant == NIL_UUID), F.lit("invalid_tenant_id")).when(is_crawler(F.col("ua")), F.lit("crawler_accepted")).otherwise(F.lit("accepted")))
     key = F.sha2(F.concat_ws(":", "shop_id", "device_id", "name", F.col("created_at").cast("string"), F.coalesce("event_id", F.lit("")), "body"), 256)
     return rows.select(
@@ -313,7 +339,7 @@ def suppress_rapid(ev: DataFrame, milliseconds: int = 100, keys: Sequence[str] =
 
 
 def drop_repeated_ids(ev: DataFrame) -> DataFrame:
-    """First of the events that share an id within a shop, for at-least-once delivery."""
+    """First of the events that share an id within a shop, for at-least-once delivery; of equal instants the one whose row hashes lowest."""
     from tidemark.operators.traffic import top_k
 
-    return top_k(ev, [*SHOP, "id"], [F.col("created_at")], 1)
+    return top_k(ev, [*SHOP, "id"], [F.col("created_at"), row_hash(ev)], 1)

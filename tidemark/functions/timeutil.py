@@ -66,7 +66,7 @@ def whole_seconds(a: Column, b: Column) -> Column:
 
 
 def resolve_period(as_of: datetime, key: str = "7d", start: datetime | None = None, end: datetime | None = None) -> Period:
-    """Named range ending at ``as_of``, or an explicit one. Unknown names mean seven days."""
+    """Named range ending at ``as_of``, or an explicit one; an unknown name is an error."""
     if start is not None and end is not None:
         return Period(start, end)
     midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
@@ -91,7 +91,9 @@ def resolve_period(as_of: datetime, key: str = "7d", start: datetime | None = No
     if key == "lastYear":
         year = month.replace(month=1)
         return Period(year.replace(year=year.year - 1), year - timedelta(microseconds=1))
-    return Period(as_of - rolling.get(key, timedelta(days=7)), as_of)
+    if key not in rolling:
+        raise ValueError(f"unknown range {key!r}")
+    return Period(as_of - rolling[key], as_of)
 
 
 def months_back(day: datetime, n: int) -> datetime:

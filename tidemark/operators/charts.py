@@ -26,8 +26,9 @@ def _scope(ev: DataFrame, period: Period, events: Sequence[str], profile: Column
 
 def aggregate(ev: DataFrame, period: Period, breakdown: str = "name", events: Sequence[str] = (), profile: Column | None = None, limit: int = 50) -> DataFrame:
     """Events per value, the top ones only; '' reads ``unknown``."""
-    column = breakdown if breakdown in BREAKDOWNS else "name"
-    counts = _scope(ev, period, events, profile).groupBy(*SHOP, F.col(column).alias("item")).agg(F.count(F.lit(1)).alias("count"))
+    if breakdown not in BREAKDOWNS:
+        raise ValueError(f"breakdown {breakdown!r}: one of {BREAKDOWNS}")
+    counts = _scope(ev, period, events, profile).groupBy(*SHOP, F.col(breakdown).alias("item")).agg(F.count(F.lit(1)).alias("count"))
     best = top_k(counts, SHOP, [F.desc("count"), F.col("item")], limit)
     return best.withColumn("item", F.when(F.col("item") == "", F.lit("unknown")).otherwise(F.col("item")))
 

@@ -18,10 +18,9 @@ from tidemark.functions.numbers import round_to, safe_ratio
 from tidemark.functions.timeutil import Period, bucket, from_micros, micros, slot
 from tidemark.schema import DEVICE, SHOP
 
-# The standard purchase funnel, its window and the longest step list.
+# The standard purchase funnel and its window.
 DEFAULT_STEPS = ("page_view", "add_to_cart", "checkout_step", "purchase")
 WINDOW_SECONDS = 86_400
-MAX_STEPS = 10
 
 
 def _chains(ev: DataFrame, steps: Sequence[str], keys: list[str], window: int, carry: list[str], exact_start: bool = False) -> DataFrame:
@@ -54,7 +53,7 @@ def funnel_levels(ev: DataFrame, steps: Sequence[str] = DEFAULT_STEPS, window: i
                   keys: list[str] = DEVICE, breakdown: str | None = None) -> DataFrame:
     """Deepest step each key reached, 0 included; ``keys`` may end in a device, profile or session.
     With a breakdown, the value is the one on the key's first step event."""
-    steps = list(steps)[:MAX_STEPS]
+    steps = list(steps)
     if period is not None:
         ev = ev.where(period.current(F.col("created_at")))
     carry = [breakdown] if breakdown else []
@@ -71,7 +70,7 @@ def funnel_levels(ev: DataFrame, steps: Sequence[str] = DEFAULT_STEPS, window: i
 def funnel_result(levels: DataFrame, steps: Sequence[str], by: list[str] = SHOP) -> DataFrame:
     """Reach, drop-off and conversion per step. Reach is cumulative; the first step converts 100 % and drops whoever
     did not reach the second; a step after an unreached one counts 0 throughout."""
-    steps = list(steps)[:MAX_STEPS]
+    steps = list(steps)
     reach = [F.count_if(F.col("level") >= k).alias(f"_r{k}") for k in range(1, len(steps) + 1)]
     wide = levels.where(F.col("level") > 0).groupBy(*by).agg(*reach)
     rows = []

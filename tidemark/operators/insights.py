@@ -116,7 +116,7 @@ def daily_insights(ev: DataFrame, as_of: datetime) -> DataFrame:
 def insight_list(cards: DataFrame, limit: int = 10) -> DataFrame:
     """Highest impact first, with severity, split dimension and change from the comparison."""
     impact, key = F.col("impact_score"), F.col("dimension_key")
-    best = top_k(cards, SHOP, [F.desc("impact_score"), F.desc("created_at"), F.col("id")], limit if 0 < limit <= 50 else 10)
+    best = top_k(cards, SHOP, [F.desc("impact_score"), F.desc("created_at"), F.col("id")], limit)
     split = F.split(key, ":", 2)
     named = key.contains(":")
     cart = F.col("module_key") == "cart_trends"
@@ -127,12 +127,11 @@ def insight_list(cards: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def dedupe_windows(cards: DataFrame, limit: int = 20) -> DataFrame:
-    """One card per module and dimension, the narrowest window first, out of the shop's 3 × limit best; then the best ``limit``.
+    """One card per module and dimension, the narrowest window first; then the best ``limit`` of these.
     Relevance leads where it is known, impact decides otherwise."""
     order = [F.desc_nulls_last("relevance_score"), F.desc("impact_score"), F.col("id")]
-    pool = top_k(cards, SHOP, order, limit * 3)
     rank = F.when(F.col("window_kind") == "yesterday", 1).when(F.col("window_kind") == "rolling_7d", 2).when(F.col("window_kind") == "rolling_30d", 3).otherwise(999)
-    one = top_k(pool, [*SHOP, "module_key", "dimension_key"], [rank, *order], 1)
+    one = top_k(cards, [*SHOP, "module_key", "dimension_key"], [rank, *order], 1)
     return top_k(one, SHOP, [F.desc(F.coalesce("relevance_score", F.lit(-1.0))), F.desc("impact_score"), F.col("id")], limit)
 
 

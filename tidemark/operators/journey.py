@@ -53,7 +53,7 @@ def _hops(prefix: DataFrame) -> DataFrame:
 def journey_paths(ev: DataFrame, period: Period, steps: int = 5) -> DataFrame:
     """Page prefixes of every session."""
     rows = ev.where(period.current(F.col("created_at")) & (F.col("path") != ""))
-    return distinct_prefix(rows, "path", min(max(steps, 2), 10))
+    return distinct_prefix(rows, "path", steps)
 
 
 def journey_transitions(prefix: DataFrame, entries: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,7 @@ def journey_graph(prefix: DataFrame, steps: int = 5, entries: int = 3, fanout: i
     colours = F.array(*[F.lit(c) for c in COLOURS])
     active = top.select(*SHOP, F.col("entry").alias("source"), F.get(colours, F.col("rank") - 1).alias("colour"))
     links = None
-    for step in range(1, min(max(steps, 2), 10)):
+    for step in range(1, steps):
         found = cut(best.where(F.col("step") == step).join(active, [*SHOP, "source"]))
         links = found if links is None else links.unionByName(found)
         colour = F.max_by("colour", F.struct("value", "source")).alias("colour")

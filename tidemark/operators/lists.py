@@ -22,16 +22,12 @@ def newest() -> list[Column]:
     return [F.desc("created_at"), F.desc("id")]
 
 
-def clamp(limit: int) -> int:
-    return limit if 0 < limit <= 200 else 50
-
-
 def events_page(ev: DataFrame, name: str = "", text: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest events per shop with the total that match. The text search is case-sensitive."""
     rows = ev.where(F.col("name") == name) if name else ev
     rows = rows.where(search(text, ["path", "device_id", "city"], ignore_case=False)) if text else rows
     total = rows.groupBy(*SHOP).agg(F.count(F.lit(1)).alias("total"))
-    out = page(rows, newest(), clamp(limit), max(offset, 0)).join(total, SHOP)
+    out = page(rows, newest(), limit, max(offset, 0)).join(total, SHOP)
     return out.withColumn("revenue", F.when(F.col("revenue") > 0, F.col("revenue")))
 
 
@@ -101,7 +97,7 @@ def sessions_page(ev: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Latest ended sessions per shop with the total."""
     found = session_summary(ev)
     total = found.groupBy(*SHOP).agg(F.count(F.lit(1)).alias("total"))
-    return present(page(found, [F.desc("ended_at"), F.col("session_id")], clamp(limit), max(offset, 0)).join(total, SHOP))
+    return present(page(found, [F.desc("ended_at"), F.col("session_id")], limit, max(offset, 0)).join(total, SHOP))
 
 
 def with_replay(se: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -157,9 +157,10 @@ def column_values(ev: DataFrame, column: str, limit: int = 50) -> DataFrame:
 
 
 def event_names(ev: DataFrame, limit: int = 100) -> DataFrame:
-    """Names with counts, and ``*`` for the listed total."""
-    best = top_k(ev.where(F.col("name") != "").groupBy(*SHOP, "name").agg(F.count(F.lit(1)).alias("count")), SHOP, [F.desc("count"), F.col("name")], limit)
-    total = best.groupBy(*SHOP).agg(F.lit("*").alias("name"), F.sum("count").alias("count"))
+    """The most frequent names with counts, and ``*`` for the total of all names."""
+    counts = ev.where(F.col("name") != "").groupBy(*SHOP, "name").agg(F.count(F.lit(1)).alias("count"))
+    best = top_k(counts, SHOP, [F.desc("count"), F.col("name")], limit)
+    total = counts.groupBy(*SHOP).agg(F.lit("*").alias("name"), F.sum("count").alias("count"))
     return best.unionByName(total.select(*best.columns))
 
 

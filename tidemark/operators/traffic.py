@@ -32,8 +32,7 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 
-def clamp(limit: int, default: int = 10, most: int = 100) -> int:
-    return limit if 0 < limit <= most else default
+TREND_RANGES = ("today", "24h", "7d", "30d")
 
 
 # --- trends and rollup -----------------------------------------------------------------------
@@ -41,15 +40,22 @@ def clamp(limit: int, default: int = 10, most: int = 100) -> int:
 def trends(ev: DataFrame, metric: str = "page_views", as_of: datetime | None = None, time_range: str = "7d",
            interval: str | None = None, currency: str = "USD") -> DataFrame:
     """Bucketed metric per shop; hourly unless daily is asked for or the range is 30 days. Buckets
-    without events are absent. Revenue is summed in dollars first and converted per bucket."""
+    without events are absent. Revenue is summed in dollars first and converted per bucket. An unknown
+    metric or range is an error."""
+    if time_range not in TREND_RANGES:
+        raise ValueError(f"range {time_range!r}: one of {TREND_RANGES}")
     step = "day" if interval == "day" or time_range == "30d" else "hour"
-    start = resolve_period(as_of, time_range if time_range in ("today", "24h", "30d") else "7d").start
-    keep, value = {
+    start = resolve_period(as_of, time_range).start
+    kinds = {
+        "page_views": (trend_view(), F.count(F.lit(1))),
         "unique_visitors": (F.lit(True), distinct("device_id")),
         "cart_adds": (cart_add(), F.count(F.lit(1))),
         "orders": (order_event(), F.count(F.lit(1))),
         "revenue": (F.col("revenue_usd").isNotNull(), from_usd(usd(), currency)),
-    }.get(metric, (trend_view(), F.count(F.lit(1))))
+    }
+    if metric not in kinds:
+        raise ValueError(f"metric {metric!r}: one of {sorted(kinds)}")
+    keep, value = kinds[metric]
     rows = ev.where((F.col("created_at") >= ts(start)) & keep)
     return rows.groupBy(*SHOP, bucket(F.col("created_at"), step).alias("bucket")).agg(value.cast("double").alias("value"))
 
@@ -127,20 +133,21 @@ def overview_series(ev: DataFrame, period: Period, interval: str = "day", curren
 TOP_COLUMNS = ("device", "browser", "os", "referrer_name", "country", "city")
 
 
-def top_dimension(ev: DataFrame, column: str, period: Period, limit: int = 10, currency: str = "USD") -> DataFrame:
-    """Sessions, page views and revenue per value of a whitelisted column; unknown columns mean device."""
-    column = column if column in TOP_COLUMNS else "device"
+def top_dimension(ev: DataFrame, column: str, period: Period, limit: int | None = 10, currency: str = "USD") -> DataFrame:
+    """Sessions, page views and revenue per value of a whitelisted column; another column is an error."""
+    if column not in TOP_COLUMNS:
+        raise ValueError(f"column {column!r}: one of {TOP_COLUMNS}")
     rows = ev.where(period.current(F.col("created_at")))
     out = rows.groupBy(*SHOP, or_default(column, "Unknown").alias("item")).agg(
         distinct("session_id").alias("sessions"), F.count_if(overview_view()).alias("pageviews"), from_usd(usd(), currency).alias("revenue"))
-    return top_k(out, SHOP, [F.desc("sessions"), F.col("item")], clamp(limit))
+    return out if limit is None else top_k(out, SHOP, [F.desc("sessions"), F.col("item")], limit)
 
 
 def top_pages(ev: DataFrame, period: Period, limit: int = 10, currency: str = "USD") -> DataFrame:
     rows = ev.where(period.current(F.col("created_at")) & (overview_view() | (F.col("path") != "")))
     out = rows.groupBy(*SHOP, or_default("path", "/").alias("item")).agg(
         distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("pageviews"), from_usd(usd(), currency).alias("revenue"))
-    return top_k(out, SHOP, [F.desc("pageviews"), F.col("item")], clamp(limit))
+    return top_k(out, SHOP, [F.desc("pageviews"), F.col("item")], limit)
 
 
 def top_session_pages(se: DataFrame, mode: str, period: Period, limit: int = 10, currency: str = "USD") -> DataFrame:
@@ -150,7 +157,7 @@ def top_session_pages(se: DataFrame, mode: str, period: Period, limit: int = 10,
     out = rows.groupBy(*SHOP, F.col(path).alias("item")).agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("events_count").alias("pageviews"),
         from_usd(F.sum("total_revenue_usd"), currency).alias("revenue"))
-    return top_k(out, SHOP, [F.desc("sessions"), F.col("item")], clamp(limit))
+    return top_k(out, SHOP, [F.desc("sessions"), F.col("item")], limit)
 
 
 def top_sources(ev: DataFrame, period: Period, limit: int = 10) -> DataFrame:
@@ -161,9 +168,9 @@ def top_geo(ev: DataFrame, period: Period, limit: int = 10) -> DataFrame:
     return top_dimension(ev, "country", period, limit)
 
 
-def country_map(ev: DataFrame, period: Period, limit: int = 100) -> DataFrame:
-    """Known countries with their sessions. The map places a marker by code, so it has no coordinates."""
-    out = top_dimension(ev, "country", period, limit).where(~F.lower("item").isin("", "unknown"))
+def country_map(ev: DataFrame, period: Period) -> DataFrame:
+    """All known countries with their sessions. The map places a marker by code, so it has no coordinates."""
+    out = top_dimension(ev, "country", period, None).where(~F.lower("item").isin("", "unknown"))
     return out.select(*SHOP, F.col("item").alias("country"), F.col("sessions").alias("count"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"))
 
 
@@ -178,7 +185,7 @@ def country_shares(counts: DataFrame, value: str = "count") -> DataFrame:
 def top_events(ev: DataFrame, period: Period, limit: int = 10) -> DataFrame:
     out = ev.where(period.current(F.col("created_at"))).groupBy(*SHOP, "name").agg(
         F.count(F.lit(1)).alias("count"), distinct("device_id").alias("unique_visitors"))
-    return top_k(out, SHOP, [F.desc("count"), F.col("name")], clamp(limit))
+    return top_k(out, SHOP, [F.desc("count"), F.col("name")], limit)
 
 
 def top_conversions(ev: DataFrame, period: Period, limit: int = 10) -> DataFrame:
@@ -190,7 +197,7 @@ def top_outbound_links(ev: DataFrame, period: Period, limit: int = 10) -> DataFr
     rows = ev.where(period.current(F.col("created_at")) & (F.col("name") == "link_out"))
     out = rows.groupBy(*SHOP, F.col("properties")["href"].alias("item")).agg(
         F.count(F.lit(1)).alias("count"), distinct("device_id").alias("unique_visitors"))
-    return top_k(out.where(F.col("item") != ""), SHOP, [F.desc("count"), F.col("item")], clamp(limit))
+    return top_k(out.where(F.col("item") != ""), SHOP, [F.desc("count"), F.col("item")], limit)
 
 
 def top_origins(ev: DataFrame, as_of: datetime, limit: int = 3) -> DataFrame:
@@ -242,7 +249,6 @@ def _tagged(kind: str, df: DataFrame, item: Column, value: str) -> DataFrame:
 
 def live_visitors(ev: DataFrame, as_of: datetime, minutes: int = 5) -> DataFrame:
     """Active shoppers, device counts, top countries and top paths of the last minutes, as (kind, item, value)."""
-    minutes = minutes if 0 < minutes <= 60 else 5
     live = ev.where(F.col("created_at").between(ts(as_of - timedelta(minutes=minutes)), ts(as_of)))
     out = _tagged("active_shoppers", live.groupBy(*SHOP).agg(F.count_distinct("device_id").alias("n")), F.lit(""), "n")
     for kind, column, k in (("device", "device", None), ("country", "country", 10), ("path", "path", 5)):
@@ -318,7 +324,7 @@ def tenant_volume(ev: DataFrame, period: Period, interval: str = "day") -> DataF
 
 
 def search_engines(se: DataFrame, period: Period, limit: int = 10) -> DataFrame:
-    """Sessions per search engine. The total adds up the listed engines; the previous total covers all of them."""
+    """Sessions per search engine, with the totals of all engines in this period and the one before."""
     return _referring(se.where(F.col("referrer_type") == "search"), F.col("referrer_name"), period, limit)
 
 
@@ -340,9 +346,8 @@ def _referring(se: DataFrame, label: Column, period: Period, limit: int) -> Data
     counts = se.where(period.either(at)).groupBy(*SHOP, label.alias("item")).agg(
         F.count_if(period.current(at)).alias("sessions"), F.count_if(earlier).alias("_before"))
     best = top_k(counts.where(F.col("sessions") > 0).drop("_before"), SHOP, [F.desc("sessions"), F.col("item")], limit)
-    totals = best.groupBy(*SHOP).agg(F.sum("sessions").alias("total"))
-    before = counts.groupBy(*SHOP).agg(F.sum("_before").alias("previous_total"))
-    return best.join(totals, SHOP).join(before, SHOP)
+    totals = counts.groupBy(*SHOP).agg(F.sum("sessions").alias("total"), F.sum("_before").alias("previous_total"))
+    return best.join(totals, SHOP)
 
 
 def realtime_widget(ev: DataFrame, as_of: datetime, minutes: int = 30, k: int = 20) -> DataFrame:

@@ -89,7 +89,7 @@ def _stored(t):
         F.when(n > 40, F.lit("severe")).when(n > 25, F.lit("moderate")).alias("severity_band"), F.max("created_at").alias("created_at"))
 
 
-@query("insight_dedupe", sql(_top("""SELECT * FROM (SELECT * FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY tenant_id, shop_id ORDER BY relevance_score DESC NULLS LAST, impact_score DESC, id) <= 60)
+@query("insight_dedupe", sql(_top("""SELECT * FROM (SELECT * FROM st
   QUALIFY row_number() OVER (PARTITION BY tenant_id, shop_id, module_key, dimension_key ORDER BY CASE window_kind WHEN 'yesterday' THEN 1 WHEN 'rolling_7d' THEN 2 ELSE 3 END,
     relevance_score DESC NULLS LAST, impact_score DESC, id) = 1)""", "coalesce(relevance_score, -1) DESC, impact_score DESC, id", 20), _STORED))
 def _(t):

@@ -56,6 +56,14 @@ def _(t):
     return U.funnel(t.ev, period=MONTH)
 
 
+_LONG = ["page_view", "add_to_cart"] * 6
+
+
+@query("funnel_twelve_steps", _funnel_sql(_LONG, window=30 * 86400))
+def _(t):
+    return U.funnel(t.ev, _LONG, MONTH, 30 * 86400)
+
+
 @query("funnel_repeated_step", _funnel_sql(_SHORT, window=6 * 3600))
 def _(t):
     return U.funnel(t.ev, _SHORT, MONTH, 6 * 3600)

@@ -102,6 +102,14 @@ def _(t):
     return T.top_pages(t.evs, MONTH)
 
 
+@query("top_pages_all", sql(f"""
+SELECT tenant_id, shop_id, path || '/' || device_id AS item, count(DISTINCT session_id) AS sessions, count(*) AS pageviews,
+  {_USD} AS revenue FROM evs WHERE {_M} {_RANK.format('pageviews', 'item', 250)}"""))
+def _(t):
+    """More than a hundred pages: one for each path and device."""
+    return T.top_pages(t.evs.withColumn("path", F.concat_ws("/", "path", "device_id")), MONTH, limit=250)
+
+
 for _mode, _path, _at in [("entry", "entry_path", "started_at"), ("exit", "exit_path", "ended_at")]:
     query(f"top_{_mode}_pages", sql(f"""
     SELECT tenant_id, shop_id, {_path} AS item, count(*) AS sessions, cast(sum(events_count) AS bigint) AS pageviews,
@@ -117,6 +125,14 @@ def _(t):
     return T.country_map(t.evs, MONTH)
 
 
+@query("country_map_all", sql(f"""
+SELECT tenant_id, shop_id, device_id AS country, count(DISTINCT session_id) AS count, 0.0::double AS lat, 0.0::double AS lng
+FROM evs WHERE {_M} AND device_id <> '' GROUP BY ALL"""))
+def _(t):
+    """More codes than there are countries: device ids stand in for them."""
+    return T.country_map(t.evs.withColumn("country", F.col("device_id")), MONTH)
+
+
 @query("country_shares", sql(f"""
 SELECT tenant_id, shop_id, country, count, count::double / max(count) OVER w::double AS share_of_max,
   count::double / (sum(count) OVER w)::double AS share_of_total
@@ -287,9 +303,8 @@ def _(t):
 def _referring_sql(where):
     cur, prev = _H.replace("created_at", "started_at"), "started_at >= TIMESTAMP '2024-01-01' AND started_at < TIMESTAMP '2024-01-16'"
     return sql(f"""
-    SELECT b.*, t.total, p.previous_total FROM best b
-    JOIN (SELECT tenant_id, shop_id, cast(sum(sessions) AS bigint) AS total FROM best GROUP BY ALL) t USING (tenant_id, shop_id)
-    JOIN (SELECT tenant_id, shop_id, count(*) FILTER ({prev}) AS previous_total FROM se WHERE {where} GROUP BY ALL) p USING (tenant_id, shop_id)""",
+    SELECT b.*, p.total, p.previous_total FROM best b
+    JOIN (SELECT tenant_id, shop_id, count(*) FILTER ({cur}) AS total, count(*) FILTER ({prev}) AS previous_total FROM se WHERE {where} GROUP BY ALL) p USING (tenant_id, shop_id)""",
         f"""best AS (SELECT tenant_id, shop_id, lower(referrer_name) AS item, count(*) AS sessions FROM se WHERE {cur} AND {where}
           {_RANK.format('sessions', 'item', 10)})""")
 

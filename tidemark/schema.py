@@ -48,6 +48,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A total order among rows that differ, where nothing else decides; maps and variants count by their JSON text."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256)
+
+
 def with_default(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column the input lacks."""
     return df if name in df.columns else df.withColumn(name, value)

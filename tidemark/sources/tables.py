@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeutil import Period, event_months, ts
-from tidemark.schema import DEVICE, SHOP
+from tidemark.schema import DEVICE, SHOP, row_hash
 
 # Key and version columns of the tables that keep several versions of a row.
 VERSIONED = {
@@ -37,9 +37,9 @@ def read_events(spark: SparkSession, path: str, period: Period | None = None, sc
 
 
 def latest_by_key(df: DataFrame, keys: list[str], version: str, tie: str | None = None) -> DataFrame:
-    """The newest row per key. The rank filter is applied before the shuffle as well as after it, so
+    """The newest row per key; of equal versions the largest ``tie``, then the row that hashes lowest. The rank filter is applied before the shuffle as well as after it, so
     a key with many versions sends one row per input task."""
-    order = [F.col(version).desc_nulls_last()] + ([F.col(tie).desc_nulls_last()] if tie else [])
+    order = [F.col(version).desc_nulls_last()] + ([F.col(tie).desc_nulls_last()] if tie else []) + [row_hash(df)]
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rank") == 1).drop("_rank")
 
