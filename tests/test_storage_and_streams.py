@@ -89,12 +89,65 @@ def test_ingest_stream(spark, tables, tmp_path):
 
     batch = track_events(spark.read.schema(schema).json(str(tmp_path / "in" / "a")))
     accepted = batch.where("status = 'accepted'")
-    got = spark.read.parquet(str(tmp_path / "out" / "events"))
+    got = S.read_events(spark, str(tmp_path / "out" / "events"))
     assert got.count() == accepted.count() > 0
-    assert got.drop("batch", "properties").exceptAll(accepted.drop("status", "properties")).isEmpty()
+    assert got.drop("batch", "event_month", "properties").exceptAll(accepted.drop("status", "properties")).isEmpty()
     assert spark.read.parquet(str(tmp_path / "out" / "refused")).count() == batch.where("NOT status IN ('accepted', 'crawler_accepted')").count()
 
 
+def test_stream_survives_odd_bodies(spark, tmp_path):
+    """A lone surrogate, a number beyond all bounds, properties nested too deep to read, an unreadable body and a late event."""
+    shop, tenant = "00000000-0000-4000-8000-000000000001", "11111111-1111-4111-8111-111111111111"
+
+    def body(at, properties):
+        return f'{{"shop_id": "{shop}", "tenant_id": "{tenant}", "name": "page_view", "timestamp": {at}, "properties": {properties}}}'
+
+    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
+    first = [body(1_700_000_000, '{"x": "\\ud800", "n": {"y": 1e999}}'), body(1_700_000_000, '{"z": "\\udc00 ok"}'), "{broken", body(1_700_000_000, deep)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"body": b, "user_agent": "Mozilla/5.0 (Windows) Chrome/1"}) + "\n" for b in first))
+    schema = "body string, user_agent string, received_at timestamp_ntz"
+
+    def go():
+        stream = I.read_files(spark, str(tmp_path / "in"), schema)
+        drain(I.write_tables(stream, str(tmp_path / "out"), str(tmp_path / "ck"), {"availableNow": True}))
+
+    go()
+    (tmp_path / "in" / "b.json").write_text("".join(json.dumps({"body": body(at, "{}"), "user_agent": "Mozilla/5.0 (Windows) Chrome/1"}) + "\n" for at in (1_700_000_500, 1_699_000_000)))
+    go()
+    events = S.read_events(spark, str(tmp_path / "out" / "events"))
+    rows = events.collect()
+    assert len(rows) == 5 and {r.event_month for r in rows} == {202311}
+    assert {r.properties.get("n.y") for r in rows} <= {None, "1e999", "Infinity"} and " ok" in {r.properties.get("z") for r in rows}
+    assert spark.read.parquet(str(tmp_path / "out" / "refused")).count() == 1
+    late = spark.read.parquet(str(tmp_path / "out" / "late")).collect()
+    assert [r.created_at.year for r in late] == [2023] and late[0].created_at < rows[0].created_at
+
+
+def test_refused_batches(spark):
+    from tidemark.enrich.payload import explode_batches, track_events
+
+    event = '{"shop_id": "00000000-0000-4000-8000-000000000001", "tenant_id": "11111111-1111-4111-8111-111111111111", "name": "x"}'
+    bodies = ['{"events":[' + ",".join([event] * 501) + "]}", '{"events":[]}', "{oops", "{}"]
+    raw = spark.createDataFrame([(b,) for b in bodies], "body string")
+    count = lambda most: {r.status: r["count"] for r in track_events(explode_batches(raw, most)).groupBy("status").count().collect()}
+    assert count(None) == {"accepted": 501, "empty_batch": 1, "invalid_json": 2}
+    assert count(500) == {"batch_too_large": 1, "empty_batch": 1, "invalid_json": 2}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from tidemark.functions.lineage import scratch
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert scratch(spark, "x").startswith(base)
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Bare, "x")
+
+
 def test_messages(spark, tables, tmp_path):
     ev = canonical_events(tables.ev)
     messages = I.keyed_messages(ev).select("key", F.col("value").alias("body"), F.lit("2024-01-01").cast("timestamp_ntz").alias("received_at"))

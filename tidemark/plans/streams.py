@@ -63,11 +63,19 @@ def _(t):
 
 
 @query("stream_running_features", sql(f"""
-SELECT tenant_id, shop_id, device_id, id, created_at, views, carts, cart_value_usd, dwell_seconds, has_purchase FROM (
-  SELECT tenant_id, shop_id, device_id, id, created_at, count(*) FILTER (name IN ('page_view', 'view_product')) OVER s AS views, count(*) FILTER (name = 'add_to_cart') OVER o AS carts,
+SELECT tenant_id, shop_id, device_id, 'e,' || lpad(cast(id AS varchar), 12, '0') AS id, created_at, views, carts, cart_value_usd,
+  cast(greatest(1, products) AS bigint) AS distinct_products, dwell_seconds, has_purchase FROM (
+  SELECT tenant_id, shop_id, device_id, id, created_at, count(*) FILTER (name IN ('page_view', 'view_product')) OVER s AS views,
+    CASE WHEN epoch_us(created_at) - last_view <= {TIMEOUT}000000 THEN len(list_distinct(list(product_id) FILTER (name IN ('page_view', 'view_product')) OVER v)) ELSE 0 END AS products, count(*) FILTER (name = 'add_to_cart') OVER o AS carts,
     cast(coalesce(sum(revenue_usd) FILTER (name = 'add_to_cart') OVER o, 0) AS bigint) AS cart_value_usd, (epoch_us(created_at) - epoch_us(session_start)) // 1000000 AS dwell_seconds, name = 'purchase' AS has_purchase
-  FROM (SELECT *, count(*) FILTER (name IN ('purchase', 'order_completed')) OVER (PARTITION BY session_id ORDER BY created_at, id) AS orders FROM evs)
-  WINDOW s AS (PARTITION BY session_id ORDER BY created_at, id), o AS (PARTITION BY session_id, orders ORDER BY created_at, id))"""))
+  FROM (SELECT *, sum(CASE WHEN name IN ('page_view', 'view_product') AND epoch_us(created_at) - earlier_view > {TIMEOUT}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at, id) AS run
+    FROM (SELECT *, count(*) FILTER (name IN ('purchase', 'order_completed')) OVER w AS orders, max(epoch_us(created_at)) FILTER (name IN ('page_view', 'view_product')) OVER w AS last_view,
+      max(epoch_us(created_at)) FILTER (name IN ('page_view', 'view_product')) OVER (PARTITION BY session_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_view
+      FROM evs WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)))
+  WINDOW v AS (PARTITION BY session_id, run ORDER BY created_at, id), s AS (PARTITION BY session_id ORDER BY created_at, id), o AS (PARTITION BY session_id, orders ORDER BY created_at, id))"""))
 def _(t):
-    return _run(t, S.running_features(_stream(t), TIMEOUT)).select(
-        "tenant_id", "shop_id", "device_id", "id", "created_at", "views", "carts", "cart_value_usd", "dwell_seconds", "has_purchase")
+    # Ids and products as texts that hold commas.
+    ev = _stream(t).withColumn("id", F.concat(F.lit("e,"), F.lpad(F.col("id").cast("string"), 12, "0"))).withColumn(
+        "product_id", F.concat_ws(",", F.lit("a"), F.col("product_id").cast("string")))
+    return _run(t, S.running_features(ev, TIMEOUT)).select(
+        "tenant_id", "shop_id", "device_id", "id", "created_at", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,6 @@ from tidemark.enrich.payload import replay_chunks, track_events
 from tidemark.operators.sessions import end_events, start_events
 from tidemark.schema import EVENT_DDL
 
-MAX_EVENTS_PER_TRIGGER = 100_000
 FLUSH_INTERVAL = "2 seconds"
 
 
@@ -25,10 +27,11 @@ def read_files(spark: SparkSession, path: str, schema: str, fmt: str = "json", g
     return reader.load(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, rate: int = MAX_EVENTS_PER_TRIGGER) -> DataFrame:
-    """Messages as (key, body, received_at), at most ``rate`` per micro-batch so that a backlog does not overrun the sink."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("maxOffsetsPerTrigger", rate).option("failOnDataLoss", "false").load())
+def read_kafka(spark: SparkSession, servers: str, topic: str, rate: int | None = None, accept_loss: bool = False) -> DataFrame:
+    """Messages as (key, body, received_at). ``rate`` bounds a micro-batch, so that a backlog does not overrun the sink. Messages that the
+    topic no longer holds end the stream unless the caller accepts their loss."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("failOnDataLoss", str(not accept_loss).lower())
+    raw = (reader if rate is None else reader.option("maxOffsetsPerTrigger", rate)).load()
     return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("body"), F.col("timestamp").cast("timestamp_ntz").alias("received_at"))
 
 
@@ -49,19 +52,39 @@ def write_kafka(ev: DataFrame, servers: str, topic: str, checkpoint: str):
             .option("topic", topic).option("checkpointLocation", checkpoint).trigger(processingTime=FLUSH_INTERVAL).start())
 
 
-def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Request bodies to the tables ``events``, ``replay_chunks`` and ``refused``, a micro-batch at a time.
+def _newest(spark: SparkSession, path: str, before: int):
+    """Newest instant of the batches before one, or None."""
+    try:
+        rows = spark.read.schema("newest timestamp_ntz, batch int").parquet(f"{path}/progress").where(F.col("batch") < before)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return rows.agg(F.max("newest")).first()[0]
+
+
+def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, delay: timedelta = timedelta(minutes=10)):
+    """Request bodies to the tables ``events``, ``late``, ``replay_chunks`` and ``refused``, a micro-batch at a time.
 
-    Folders carry the batch number and are overwritten, so a batch that is run again after a failure replaces its own output.
+    Bodies are parsed once; the parsed rows are kept while the tables are written from them. Events lie by month, as
+    :func:`tidemark.sources.tables.read_events` reads them, and by batch, so a batch that is run again after a failure replaces its own
+    output. Events older than ``delay`` behind the newest of earlier batches are stored and also listed in ``late``, since windowed
+    operators on the same stream leave them out.
     """
     def save(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        events = track_events(batch)
-        out = {"events": events.where(F.col("status") == "accepted").drop("status"), "replay_chunks": replay_chunks(batch).where(F.col("status") == "accepted").drop("status"),
-               "refused": events.where(~F.col("status").isin("accepted", "crawler_accepted")).select("status", "name", "created_at")}
+        spark = batch.sparkSession
+        parsed = track_events(batch).persist()
+        accepted = parsed.where(F.col("status") == "accepted").drop("status")
+        newest = _newest(spark, path, number)
+        late = accepted.where(F.lit(False) if newest is None else F.col("created_at") < F.lit(newest - delay))
+        months = accepted.withColumn("event_month", F.date_format("created_at", "yyyyMM").cast("int")).withColumn("batch", F.lit(number))
+        (months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_month", "batch").parquet(f"{path}/events"))
+        out = {"late": late, "refused": parsed.where(~F.col("status").isin("accepted", "crawler_accepted")).select("status", "name", "created_at"),
+               "replay_chunks": replay_chunks(batch).where(F.col("status") == "accepted").drop("status"),
+               "progress": accepted.agg(F.max("created_at").alias("newest"))}
         for name, rows in out.items():
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        batch.unpersist()
+        parsed.unpersist()
 
     return raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": FLUSH_INTERVAL})).start()
 

@@ -60,7 +60,7 @@ def closed_sessions(ev: DataFrame, timeout: str = "30 minutes", delay: str = "10
 
 # --- running shopper features ----------------------------------------------------------------
 
-_STATE = "first bigint, last bigint, views bigint, carts bigint, usd bigint, products string, viewed bigint"
+_STATE = "first bigint, last bigint, views bigint, carts bigint, usd bigint, products array<string>, viewed bigint"
 VIEWS, ORDERS = ("page_view", "view_product"), ("purchase", "order_completed")
 
 
@@ -71,16 +71,17 @@ def running_features(ev: DataFrame, ttl_seconds: int = 45 * 60, delay: str = "10
     Events are handed over in order across micro-batches as far as the source keeps a device's order.
     """
     keys = [f.dataType.simpleString() for f in ev.select(*DEVICE).schema]
+    id_type = ev.schema["id"].dataType.simpleString()
     out = ", ".join(f"{c} {t}" for c, t in zip(DEVICE, keys)) + (
-        ", id bigint, created_at timestamp_ntz, views bigint, carts bigint, cart_value_usd bigint, distinct_products bigint, dwell_seconds bigint, has_purchase boolean")
+        f", id {id_type}, created_at timestamp_ntz, views bigint, carts bigint, cart_value_usd bigint, distinct_products bigint, dwell_seconds bigint, has_purchase boolean")
     ttl = ttl_seconds * 1_000_000
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first, last, views, carts, usd, products, viewed = state.get if state.exists else (None, None, 0, 0, 0, "", None)
-        seen = set(filter(None, products.split(",")))
+        first, last, views, carts, usd, products, viewed = state.get if state.exists else (None, None, 0, 0, 0, [], None)
+        seen = set(products)
         batch = pd.concat(list(frames)).sort_values(["at", "id"])
         rows = []
         for e in batch.itertuples(index=False):
@@ -98,12 +99,12 @@ def running_features(ev: DataFrame, ttl_seconds: int = 45 * 60, delay: str = "10
             elif e.name in ORDERS:
                 carts, usd = 0, 0
             last = max(at, last or at)
-            rows.append((*key, int(e.id), e.created_at, views, carts, usd, max(1, len(seen)), (last - first) // 1_000_000, e.name == "purchase"))
-        state.update((first, last, views, carts, usd, ",".join(sorted(seen)), viewed))
+            rows.append((*key, e.id, e.created_at, views, carts, usd, max(1, len(seen)), (last - first) // 1_000_000, e.name == "purchase"))
+        state.update((first, last, views, carts, usd, sorted(seen), viewed))
         state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[*DEVICE, "id", "created_at", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase"])
 
-    rows = _timed(ev, delay).select(*DEVICE, F.col("id").cast("bigint").alias("id"), "created_at", "event_time", micros(F.col("created_at")).alias("at"), "name",
+    rows = _timed(ev, delay).select(*DEVICE, "id", "created_at", "event_time", micros(F.col("created_at")).alias("at"), "name",
                                     F.coalesce(F.col("product_id").cast("string"), F.lit("")).alias("product_id"), F.coalesce("revenue_usd", F.lit(0)).cast("bigint").alias("usd"))
     snapshots = rows.groupBy(*DEVICE).applyInPandasWithState(step, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return stream_scores(snapshots)
