@@ -154,3 +154,21 @@ def test_features(spark, seed):
     ev = spark.createDataFrame(rows, DDL).selectExpr("*", "'s' AS session_id")
     got = {(r.device_id, r.state_start): (r.views, r.carts, r.cart_value_usd, r.distinct_products, r.has_purchase) for r in features(ev).collect()}
     assert got == want
+
+
+def test_ipv6_digits(spark):
+    import ipaddress
+
+    from tidemark.enrich.network import ip_digits
+
+    texts = ["::", "::1", "1::", "2001:DB8::5", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "fe80::1:0", "0:0:0:0:0:0:0:0", "abcd::ef01:2345",
+             "", ":", ":::", "1:2", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", "12345::", "g::1", ":1:2:3:4:5:6:7", "1.2.3.4", "::1.2.3.256", "1:2:3:4:5:6:7:", None]
+
+    def want(t):
+        try:
+            return f"{int(ipaddress.IPv6Address(t)):032x}"
+        except ValueError:
+            return None
+
+    rows = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", ip_digits("ip").alias("n")).collect()
+    assert {r.ip: r.n for r in rows} == {t: want(t) if t is not None else None for t in texts}

@@ -9,7 +9,7 @@ from tidemark.enrich.network import is_datacenter, with_network
 from tidemark.enrich.web import is_crawler, with_agent
 
 
-def lookup(requests: DataFrame, networks: DataFrame, ip: str = "ip", agent: str = "user_agent") -> DataFrame:
+def lookup(requests: DataFrame, networks: DataFrame, ip: str = "ip", agent: str = "user_agent", networks6: DataFrame | None = None) -> DataFrame:
     """Location, provider, and device of each (address, agent) row."""
     out = with_agent(requests, agent, name="_agent").select(*requests.columns, "_agent.*", is_crawler(F.col(agent)).alias("is_crawler"))
-    return with_network(out, networks, ip).withColumn("is_datacenter", is_datacenter(F.col("geo_asn")))
+    return with_network(out, networks, ip, networks6).withColumn("is_datacenter", is_datacenter(F.col("geo_asn")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import round_to
 from tidemark.functions.predicates import cart_add, order_event, rollup_view
 from tidemark.functions.timeutil import from_micros, micros, ts, whole_seconds
-from tidemark.operators.sessions import chunk_of, number_spans, session_spans
+from tidemark.operators.sessions import chunk_of, number_spans
 from tidemark.schema import DEVICE, with_default
 from tidemark.sources.tables import latest_by_key
 
@@ -31,12 +31,13 @@ def _last(column: str) -> Column:
 
 
 def _chunks(ev: DataFrame, ttl: int) -> DataFrame:
-    """Partials per device and chunk, from one shuffle of the events."""
+    """Partials per device and chunk."""
     order = F.struct("created_at", "id")
     rows = with_default(ev, "cart_id", F.lit(None).cast("string")).select(
         *DEVICE, "id", "created_at", "name", "revenue", "revenue_usd", "cart_id", *_LAST, chunk_of(F.col("created_at"), ttl).alias("_chunk"))
-    ordered = F.max(F.when(order_event(), order)).over(Window.partitionBy(*DEVICE, "_chunk"))
-    rows = rows.withColumn("_ordered", ordered)
+    # The last order is a maximum per chunk, combined before the shuffle; no window holds a chunk's events.
+    ordered = rows.where(order_event()).groupBy(*DEVICE, "_chunk").agg(F.max(order).alias("_ordered"))
+    rows = rows.join(ordered, [*DEVICE, "_chunk"], "left")
     held = F.col("_ordered").isNull() | (order > F.col("_ordered"))
     add = cart_add() & held
     at = micros(F.col("created_at"))
@@ -51,8 +52,10 @@ def _product_sets(ev: DataFrame, spans: DataFrame, ttl: int) -> DataFrame:
     """Newest product set per state. The set lapses after the same idle time, counted between product views only; it lies inside one
     state because a longer gap ends the state too."""
     seen = ev.where(rollup_view() & F.col("product_id").isNotNull()).select(*DEVICE, "created_at", "product_id", chunk_of(F.col("created_at"), ttl).alias("_chunk"))
-    sets = seen.groupBy(*DEVICE, "_chunk", "product_id").agg(F.max("created_at").alias("viewed"))
-    sets = sets.join(session_spans(seen, ttl).withColumnRenamed("_start", "_set"), [*DEVICE, "_chunk"]).join(spans, [*DEVICE, "_chunk"])
+    at = micros(F.col("created_at"))
+    sets = seen.groupBy(*DEVICE, "_chunk", "product_id").agg(F.max("created_at").alias("viewed"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    own = number_spans(sets.groupBy(*DEVICE, "_chunk").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")), ttl)
+    sets = sets.drop("_lo", "_hi").join(own.select(*DEVICE, "_chunk", F.col("_start").alias("_set")), [*DEVICE, "_chunk"]).join(spans, [*DEVICE, "_chunk"])
     counted = sets.groupBy(*DEVICE, "_start", "_set").agg(F.count_distinct("product_id").alias("products"), F.max("viewed").alias("viewed"))
     return counted.groupBy(*DEVICE, "_start").agg(F.max(F.struct("_set", "products", "viewed")).alias("_s"))
 
@@ -67,7 +70,7 @@ def features(ev: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
         F.max("_hi").alias("_hi"), F.sum("views").alias("views"), F.sum(F.when(kept, F.col("carts"))).alias("carts"),
         F.sum(F.when(kept, F.col("cart_value_usd"))).alias("cart_value_usd"), F.sum(F.when(kept, F.col("cart_value"))).alias("cart_value"),
         F.max(F.when(kept, F.col("_cart")))["cart_id"].alias("cart_id"), F.max("_name")["name"].alias("_name"), *[F.max(f"_{c}").alias(f"_{c}") for c in _LAST])
-    out = out.join(_product_sets(ev, session_spans(ev, ttl), ttl), [*DEVICE, "_start"], "left")
+    out = out.join(_product_sets(ev, chunks.select(*DEVICE, "_chunk", "_start"), ttl), [*DEVICE, "_start"], "left")
     first, last = from_micros(F.col("_start")), from_micros(F.col("_hi"))
     alive = F.col("_hi") - micros(F.col("_s.viewed")) <= ttl * 1_000_000
     return out.select(

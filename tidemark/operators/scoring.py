@@ -111,8 +111,9 @@ def explain(rows: DataFrame, model: str, columns: dict[str, str], k: int = 3) ->
 
 # --- training --------------------------------------------------------------------------------
 
-def train(rows: DataFrame, label: str, columns: dict[str, str], weights: dict[str, float] | None = None) -> dict[str, float]:
-    """Balanced, L2-regularised logistic regression; unit penalty per sample, unscaled features. Returns a coefficient dict."""
+def train(rows: DataFrame, label: str, columns: dict[str, str], standardise: bool = False, places: int | None = 5) -> dict[str, float]:
+    """Balanced, L2-regularised logistic regression with unit penalty per sample. ``standardise`` penalises the coefficients of features scaled
+    to unit variance instead of those of the features as they are; the coefficients returned always fit the unscaled features and are rounded to ``places``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -124,8 +125,20 @@ def train(rows: DataFrame, label: str, columns: dict[str, str], weights: dict[st
     balance = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     data = rows.select(F.col(label).cast("double").alias("label"), balance.alias("weight"), *[F.col(c).cast("double").alias(f) for f, c in columns.items()])
     data = VectorAssembler(inputCols=names, outputCol="features").transform(data)
-    model = LogisticRegression(weightCol="weight", maxIter=500, regParam=1.0 / n, standardization=False).fit(data)
-    return {"bias": float(model.intercept), **{f: round(float(w), 5) for f, w in zip(names, model.coefficients)}}
+    model = LogisticRegression(weightCol="weight", maxIter=500, regParam=1.0 / n, standardization=standardise).fit(data)
+    return {"bias": float(model.intercept), **{f: float(w) if places is None else round(float(w), places) for f, w in zip(names, model.coefficients)}}
+
+
+def stationarity(rows: DataFrame, label: str, columns: dict[str, str], weights: dict[str, float]) -> dict[str, float]:
+    """Slope of the loss that :func:`train` minimises in each coefficient, as a share of the mean size of its feature; about 0 at the minimum."""
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("p")).first()
+    n, pos = counts["n"], counts["p"]
+    balance = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
+    x = {f: F.col(c).cast("double") for f, c in columns.items()}
+    miss = balance * (sigmoid(logit(weights, x)) - F.col(label).cast("double"))
+    parts = {"bias": F.lit(1.0), **x}
+    sums = rows.agg(*[F.sum(miss * v).alias(f) for f, v in parts.items()], *[F.sum(balance * F.abs(v)).alias(f"_{f}") for f, v in parts.items()]).first()
+    return {f: (sums[f] + (0.0 if f == "bias" else weights[f])) / max(sums[f"_{f}"], 1e-12) for f in parts}
 
 
 def evaluate(rows: DataFrame, label: str, weights: dict[str, float], columns: dict[str, str], by: list[str] | None = None) -> DataFrame:

@@ -243,20 +243,20 @@ def period_change(ev: DataFrame, column: str, period: Period) -> DataFrame:
 
 # --- live ------------------------------------------------------------------------------------
 
-def _tagged(kind: str, df: DataFrame, item: Column, value: str) -> DataFrame:
-    return df.select(*SHOP, F.lit(kind).alias("kind"), item.alias("item"), F.col(value).cast("bigint").alias("value"))
-
-
 def live_visitors(ev: DataFrame, as_of: datetime, minutes: int = 5) -> DataFrame:
     """Active shoppers, device counts, top countries and top paths of the last minutes, as (kind, item, value)."""
     live = ev.where(F.col("created_at").between(ts(as_of - timedelta(minutes=minutes)), ts(as_of)))
-    out = _tagged("active_shoppers", live.groupBy(*SHOP).agg(F.count_distinct("device_id").alias("n")), F.lit(""), "n")
-    for kind, column, k in (("device", "device", None), ("country", "country", 10), ("path", "path", 5)):
-        counts = live.where(F.col(column) != "").groupBy(*SHOP, column).agg(F.count(F.lit(1)).alias("n"))
-        if k:
-            counts = top_k(counts, SHOP, [F.desc("n"), F.col(column)], k)
-        out = out.unionByName(_tagged(kind, counts, F.col(column), "n"))
-    return out
+    # Every event is unpivoted to its (kind, item) pairs, so one scan serves all lists; only the first kind counts devices.
+    pair = lambda kind, item: F.struct(F.lit(kind).alias("kind"), item.alias("item"))
+    pairs = F.array(pair("active_shoppers", F.lit("")), *[F.when(F.col(c) != "", pair(c, F.col(c))) for c in ("device", "country", "path")])
+    rows = live.select(*SHOP, "device_id", F.explode(pairs).alias("x")).where("x IS NOT NULL").select(*SHOP, "device_id", "x.*")
+    shoppers = F.col("kind") == "active_shoppers"
+    counts = rows.groupBy(*SHOP, "kind", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(shoppers, F.col("device_id"))).alias("d"))
+    counts = counts.select(*SHOP, "kind", "item", F.when(shoppers, F.col("d")).otherwise(F.col("n")).cast("bigint").alias("value"))
+    place = F.row_number().over(Window.partitionBy(*SHOP, "kind").orderBy(F.desc("value"), "item"))
+    most = F.when(F.col("kind") == "country", 10).when(F.col("kind") == "path", 5)
+    return counts.withColumn("_place", place).where(most.isNull() | (F.col("_place") <= most)).drop("_place")
 
 
 def live_minutes(ev: DataFrame, as_of: datetime, minutes: int = 30) -> DataFrame:

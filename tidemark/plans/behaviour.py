@@ -166,14 +166,20 @@ def _(t):
     return S.evaluate(_training(t), "has_churned", S.CHURN, {k: v for k, v in _COLUMNS.items() if k in S.CHURN}, ["tenant_id", "shop_id"])
 
 
-@query("model_training")
+_FITTED = [(model, f) for model, weights in (("intent", S.INTENT), ("churn_risk", S.CHURN)) for f in ("bias", *(c for c in _COLUMNS if c in weights))]
+
+
+@query("model_training", "SELECT model, feature, true AS at_minimum FROM (VALUES " + ", ".join(f"('{m}', '{f}')" for m, f in _FITTED) + ") v(model, feature)")
 def _(t):
+    """Whether the loss is level at the fitted weights."""
     rows = _training(t).cache()
-    fit = {"intent": S.train(rows, "has_purchase", {k: v for k, v in _COLUMNS.items() if k in S.INTENT}),
-           "churn_risk": S.train(rows, "has_churned", {k: v for k, v in _COLUMNS.items() if k in S.CHURN})}
+    flat = []
+    for model, label, known in (("intent", "has_purchase", S.INTENT), ("churn_risk", "has_churned", S.CHURN)):
+        columns = {k: v for k, v in _COLUMNS.items() if k in known}
+        slopes = S.stationarity(rows, label, columns, S.train(rows, label, columns, places=None))
+        flat += [(model, f, abs(s) < 0.01) for f, s in slopes.items()]
     rows.unpersist()
-    flat = [(m, f, float(w)) for m, ws in fit.items() for f, w in ws.items()]
-    return t.spark.createDataFrame(flat, "model string, feature string, weight double")
+    return t.spark.createDataFrame(flat, "model string, feature string, at_minimum boolean")
 
 
 # --- radar: the clock stands at a busy instant, so both live and stored rows appear ---

@@ -187,6 +187,42 @@ def _(t):
     return out.select("id", "ip", "geo_city", "geo_asn", N.is_datacenter(F.col("geo_asn")).alias("datacenter"))
 
 
+@query("network_lookup_v6", sql("""
+SELECT id, ip, CASE WHEN u < 100 THEN CASE WHEN inner_net THEN 'inner' ELSE c_mktsegment END END AS geo_city, CASE WHEN u < 100 THEN CASE WHEN u % 2 = 0 THEN 16509 ELSE 7922 END END::bigint AS geo_asn
+FROM (SELECT id, product_id % 200 AS u, product_id % 3 = 0 AS inner_net, CASE WHEN product_id % 7 = 6 THEN 'none' WHEN product_id % 3 = 0 THEN '2001:DB8:' || printf('%x', product_id % 200) || ':1::' || printf('%x', product_id)
+  ELSE '2001:db8:' || printf('%x', product_id % 200) || ':0:0:0:0:' || printf('%x', product_id) END AS ip FROM ev) LEFT JOIN customer ON c_custkey = u + 1 AND u < 100 AND ip <> 'none'""".replace("CASE WHEN u < 100 THEN", "CASE WHEN u < 100 AND ip <> 'none' THEN")))
+def _(t):
+    """A /48 for every customer below 100, with a /64 nested in it; one address in seven is none."""
+    k, c = F.col("product_id"), F.col("c_custkey") - 1
+    of = lambda n: F.lower(F.hex(n))
+    asn = F.when(c % 2 == 0, F.lit(16509)).otherwise(F.lit(7922)).cast("bigint").alias("asn")
+    zero = [F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude")]
+    some = t.raw("customer").where(c < 100)
+    outer = some.select(F.concat(F.lit("2001:db8:"), of(c), F.lit("::")).alias("start"), F.concat(F.lit("2001:db8:"), of(c), F.lit(":ffff:ffff:ffff:ffff:ffff")).alias("end"),
+                        F.lit("US").alias("country"), F.col("c_mktsegment").alias("city"), *zero, asn)
+    inner = some.select(F.concat(F.lit("2001:db8:"), of(c), F.lit(":1::")).alias("start"), F.concat(F.lit("2001:db8:"), of(c), F.lit(":1:ffff:ffff:ffff:ffff")).alias("end"),
+                        F.lit("US").alias("country"), F.lit("inner").alias("city"), *zero, asn)
+    ip = F.when(k % 7 == 6, F.lit("none")).when(k % 3 == 0, F.concat(F.lit("2001:DB8:"), of(k % 200), F.lit(":1::"), of(k))).otherwise(
+        F.concat(F.lit("2001:db8:"), of(k % 200), F.lit(":0:0:0:0:"), of(k)))
+    nets = t.spark.createDataFrame([], "start bigint, end bigint, country string, city string, latitude double, longitude double, asn bigint")
+    return N.with_network(t.ev.select("id", ip.alias("ip")), nets, networks6=outer.unionByName(inner)).select("id", "ip", "geo_city", "geo_asn")
+
+
+@query("ingest_refused_batches", sql("""SELECT CASE b % 4 WHEN 0 THEN 'empty_batch' WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'batch_too_large' ELSE 'accepted' END AS status,
+  sum(CASE WHEN b % 4 = 3 THEN n ELSE 1 END)::bigint AS count FROM (SELECT id // 600 AS b, count(*) AS n FROM q WHERE kind = 1 AND k % 4 <> 2 GROUP BY ALL) GROUP BY ALL""", _RAW_SQL))
+def _(t):
+    """Batches of about a hundred events: one in four empty, one unreadable, one above the limit."""
+    raw, _ = _raw(t)
+    rows = raw.where((F.col("id") % 6 == 1) & ~F.col("user_agent").contains("Googlebot"))
+    b = F.col("_b") % 4
+    some = F.concat(F.lit('{"events":['), F.array_join(F.collect_list("body"), ","), F.lit("]}"))
+    many = F.concat(F.lit('{"events":['), F.array_join(F.array_repeat(F.min("body"), 501), ","), F.lit("]}"))
+    batches = rows.groupBy("header_tenant_id", F.floor(F.col("id") / 600).alias("_b")).agg(some.alias("some"), many.alias("many"), F.max("received_at").alias("received_at"))
+    body = F.when(b == 0, F.lit('{"events":[]}')).when(b == 1, F.lit("{oops")).when(b == 2, F.col("many")).otherwise(F.col("some"))
+    sent = batches.select("header_tenant_id", body.alias("body"), "received_at", F.lit(_CHROME).alias("user_agent"))
+    return P.track_events(P.explode_batches(sent, 500)).groupBy("status").agg(F.count(F.lit(1)).alias("count"))
+
+
 @query("bot_marks", sql("""SELECT id, CASE WHEN b OR (d AND h) THEN '1' END AS bot, nullif(concat_ws(',', CASE WHEN b THEN 'ua:bot_pattern' END, CASE WHEN d THEN 'datacenter_ip:AS16509' END,
   CASE WHEN h THEN 'header:no_accept' END), '') AS reasons FROM (SELECT id, product_id % 5 = 0 AS b, product_id % 2 = 0 AS d, product_id % 3 = 0 AS h FROM ev)"""))
 def _(t):

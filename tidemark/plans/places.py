@@ -78,7 +78,11 @@ def _(t):
     return G.outline(_spread(t)).select("tenant_id", "shop_id", "long", "lat")
 
 
-@query("region_centroid")
+@query("region_centroid", sql("""SELECT tenant_id, shop_id, round(sum((lat + lat2) * x) / (3 * sum(x)) * 1e6::double) / 1e6::double AS lat, round(sum((long + long2) * x) / (3 * sum(x)) * 1e6::double) / 1e6::double AS long
+FROM (SELECT *, long * lat2 - long2 * lat AS x FROM edges) GROUP BY ALL""", _SPREAD, _CORNER,
+    """around AS (SELECT *, atan2(lat - avg(lat) OVER (PARTITION BY shop_id), long - avg(long) OVER (PARTITION BY shop_id)) AS a FROM corners)""",
+    """edges AS (SELECT *, coalesce(lead(long) OVER w, first(long) OVER p) AS long2, coalesce(lead(lat) OVER w, first(lat) OVER p) AS lat2 FROM around
+      WINDOW w AS (PARTITION BY shop_id ORDER BY a), p AS (PARTITION BY shop_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""))
 def _(t):
     return G.centroid(G.outline(_spread(t)))
 

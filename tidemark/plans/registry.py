@@ -6,15 +6,19 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.lineage import scratch
 from tidemark.functions.timeutil import Period, resolve_period
 from tidemark.operators.sessions import sessionize, sessions
 from tidemark.schema import configure
 from tidemark.sources import testdata
+from tidemark.sources.tables import read_events, write_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 # The test events all fall in January 2024. A 12-hour session timeout gives them sessions of several events.
 AS_OF = datetime(2024, 1, 31)
@@ -38,14 +42,36 @@ class Tables:
         return testdata.events(self.spark, self.sf_dir)
 
     @cached_property
-    def evs(self) -> DataFrame:
-        """Canonical events with session ids."""
+    def computed_evs(self) -> DataFrame:
+        """Canonical events with session ids, sessionised by the query itself."""
         return sessionize(self.ev, TIMEOUT)
 
     @cached_property
-    def se(self) -> DataFrame:
+    def computed_se(self) -> DataFrame:
         return sessions(self.ev, TIMEOUT)
 
+    def _stored(self, name: str, build: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+        """A table of the shared folder, built once per application and input and read by all reports."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        try:
+            return read(_STORED[key])
+        except (KeyError, AnalysisException):  # not built yet, or cleaned away
+            path = scratch(self.spark, name)
+            build(path)
+            _STORED[key] = path
+            return read(path)
+
+    @cached_property
+    def evs(self) -> DataFrame:
+        """Canonical events with session ids, as stored by month."""
+        return self._stored("events", lambda path: write_events(self.computed_evs, path),
+                            lambda path: read_events(self.spark, path).drop("event_month"))
+
+    @cached_property
+    def se(self) -> DataFrame:
+        """Sessions, as stored."""
+        return self._stored("sessions", lambda path: self.computed_se.write.parquet(path), lambda path: self.spark.read.parquet(path))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""

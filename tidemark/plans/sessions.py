@@ -15,7 +15,7 @@ _COLS = _RECORD.split(", ")
 
 @query("session_records", sql(f"SELECT {_RECORD} FROM se"))
 def _(t):
-    return t.se.select(*_COLS)
+    return t.computed_se.select(*_COLS)
 
 
 @query("session_records_default_timeout", sql(f"SELECT {_RECORD} FROM se", timeout=1800))
@@ -25,7 +25,7 @@ def _(t):
 
 @query("session_assignment", sql("SELECT id, shop_id, device_id, session_id, session_start, created_at FROM evs"))
 def _(t):
-    return t.evs.select("id", "shop_id", "device_id", "session_id", "session_start", "created_at")
+    return t.computed_evs.select("id", "shop_id", "device_id", "session_id", "session_start", "created_at")
 
 
 @query("session_referrer_inheritance", sql("""
@@ -34,7 +34,7 @@ SELECT e.id, e.session_id, coalesce(nullif(s.referrer, ''), e.referrer) AS refer
   coalesce(nullif(s.referrer_type, ''), e.referrer_type) AS referrer_type
 FROM evs e JOIN se s USING (session_id)"""))
 def _(t):
-    return S.inherit_referrer(t.evs, t.se).select("id", "session_id", "referrer", "referrer_name", "referrer_type")
+    return S.inherit_referrer(t.computed_evs, t.computed_se).select("id", "session_id", "referrer", "referrer_name", "referrer_type")
 
 
 @query("session_markers", sql("""
@@ -46,7 +46,7 @@ SELECT session_id || ':session_end', session_id, 'session_end', exit_path, ended
 UNION ALL
 SELECT cast(id AS varchar), session_id, name, path, created_at, NULL, NULL FROM evs"""))
 def _(t):
-    out = S.with_markers(t.evs, t.se)
+    out = S.with_markers(t.computed_evs, t.computed_se)
     return out.select("id", "session_id", "name", "path", "created_at", F.col("properties")["__bounce"].alias("bounce"),
                       F.col("properties")["__duration"].alias("duration"))
 
@@ -55,7 +55,7 @@ def _(t):
 SELECT shop_id, count(*) AS closed_sessions, cast(sum(duration) AS bigint) AS total_duration FROM se
 WHERE ended_at <= TIMESTAMP '2024-01-31' - INTERVAL {TIMEOUT} SECOND GROUP BY shop_id"""))
 def _(t):
-    return S.closed(t.se, AS_OF, TIMEOUT).groupBy("shop_id").agg(
+    return S.closed(t.computed_se, AS_OF, TIMEOUT).groupBy("shop_id").agg(
         F.count(F.lit(1)).alias("closed_sessions"), F.sum("duration").alias("total_duration"))
 
 

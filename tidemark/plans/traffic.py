@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.timeutil import resolve_interval, resolve_period
 from tidemark.operators import traffic as T
 from tidemark.plans.registry import AS_OF, HALF, MONTH, query, sql
 
@@ -87,6 +88,14 @@ def _(t):
     return T.overview_series(t.evs, HALF, "day", "EUR")
 
 
+@query("overview_auto_interval", sql(f"""SELECT tenant_id, shop_id, date_trunc('hour', created_at) AS bucket, count(DISTINCT device_id) AS unique_visitors, count(DISTINCT session_id) AS total_sessions
+FROM evs WHERE created_at BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-16' GROUP BY ALL"""))
+def _(t):
+    """The bucket size that suits a range of a day."""
+    period = resolve_period(datetime(2024, 1, 16), "24h")
+    return T.overview_series(t.evs, period, resolve_interval(None, "24h")).select("tenant_id", "shop_id", "bucket", "unique_visitors", "total_sessions")
+
+
 for _col in T.TOP_COLUMNS:
     query(f"top_{_col}", sql(f"""
     SELECT tenant_id, shop_id, coalesce(nullif({_col}, ''), 'Unknown') AS item, count(DISTINCT session_id) AS sessions,
