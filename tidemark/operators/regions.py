@@ -203,13 +203,29 @@ def _hull(pdf: pd.DataFrame) -> list[tuple[float, float]]:
     return half(pts) + half(pts[::-1])
 
 
+def _outer(points: DataFrame, by: list[str], directions: int = 16) -> DataFrame:
+    """``points`` without those strictly inside the polygon of the farthest points in ``directions`` directions. The farthest points are
+    maxima, combined before the shuffle, and no corner of the hull is inside that polygon."""
+    angles = [2 * math.pi * i / directions for i in range(directions)]
+    reach = [F.max_by(F.struct("long", "lat"), F.struct(F.col("long") * math.cos(a) + F.col("lat") * math.sin(a), "long", "lat")).alias(f"_p{i}") for i, a in enumerate(angles)]
+    edges = [F.struct(F.col(f"_p{i}").alias("a"), F.col(f"_p{(i + 1) % directions}").alias("b")) for i in range(directions)]
+    polygons = points.groupBy(*by).agg(*reach).select(*by, F.filter(F.array(*edges), lambda e: e["a"] != e["b"]).alias("_edges"))
+
+    def left(e):
+        a, b = e["a"], e["b"]
+        return (b["long"] - a["long"]) * (F.col("lat") - a["lat"]) - (b["lat"] - a["lat"]) * (F.col("long") - a["long"]) > 1e-9
+
+    inside = (F.size("_edges") > 2) & F.forall("_edges", left)
+    return points.join(polygons, by).where(~inside).select(*points.columns)
+
+
 def outline(pts: DataFrame, by: list[str] = SHOP, slices: int = 64) -> DataFrame:
     """Convex hull corners per region in order.
 
-    Distinct points are split by position into slices whose hulls are taken first: a corner of the whole is a corner of its slice, so the last
+    Points inside the polygon of the outermost ones are left out first. The rest is split by position into slices whose hulls are taken first: a corner of the whole is a corner of its slice, so the last
     step sees slice corners only.
     """
-    distinct = pts.select(*by, "long", "lat").distinct().withColumn("_slice", F.pmod(F.xxhash64("long", "lat"), F.lit(slices)))
+    distinct = _outer(pts.select(*by, "long", "lat").distinct(), by).withColumn("_slice", F.pmod(F.xxhash64("long", "lat"), F.lit(slices)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.select(*by).schema)
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.enrich import assemble as E
 from tidemark.enrich import network as N
 from tidemark.enrich import payload as P
 from tidemark.enrich import web as W
@@ -223,6 +224,25 @@ def _(t):
     return P.track_events(P.explode_batches(sent, 500)).groupBy("status").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query("ingest_pipeline", sql("""
+SELECT shop AS shop_id, name, country, referrer_name, marked, count(*) AS count, count(DISTINCT session) AS sessions FROM (
+  SELECT *, sum(opened) OVER (PARTITION BY shop, device ORDER BY at, id ROWS UNBOUNDED PRECEDING) || ':' || device AS session FROM (
+    SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY shop, device ORDER BY at, id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opened FROM (
+      SELECT id, shop, CASE kind WHEN 2 THEN 'identify' ELSE name END AS name, CASE WHEN kind = 0 THEN device_id ELSE ip || ua END AS device, CASE WHEN k % 7 < 5 THEN 'US' WHEN kind = 0 THEN 'DE' ELSE '' END AS country,
+        CASE WHEN kind = 1 THEN CASE k % 5 WHEN 1 THEN 'Google' WHEN 2 THEN 'Twitter' WHEN 4 THEN 'Reddit' ELSE '' END ELSE '' END AS referrer_name, k % 7 < 5 AND (k % 7) % 2 = 0 AS marked,
+        CASE kind WHEN 0 THEN date_trunc('millisecond', created_at) WHEN 3 THEN created_at ELSE date_trunc('second', created_at) END AS at
+      FROM q WHERE kind < 4 AND k % 4 <> 2))) GROUP BY ALL""", _RAW_SQL))
+def _(t):
+    """Every request sent twice; five networks, of which three belong to a hosting provider."""
+    raw, _ = _raw(t)
+    nets = t.spark.range(5).select((10 * 256 ** 3 + F.col("id") * 256).alias("start"), (10 * 256 ** 3 + F.col("id") * 256 + 255).alias("end"), F.lit("US").alias("country"), F.lit("X").alias("city"),
+                                   F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.when(F.col("id") % 2 == 0, F.lit(16509)).otherwise(F.lit(7922)).cast("bigint").alias("asn"))
+    events, _ = E.assembled(raw.unionAll(raw), nets, W.referrer_table(t.spark))
+    marked = F.coalesce(F.col("properties")["__bot_reasons"], F.lit("")) != ""
+    return events.groupBy("shop_id", "name", "country", "referrer_name", marked.alias("marked")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_distinct("session_id").alias("sessions"))
+
+
 @query("bot_marks", sql("""SELECT id, CASE WHEN b OR (d AND h) THEN '1' END AS bot, nullif(concat_ws(',', CASE WHEN b THEN 'ua:bot_pattern' END, CASE WHEN d THEN 'datacenter_ip:AS16509' END,
   CASE WHEN h THEN 'header:no_accept' END), '') AS reasons FROM (SELECT id, product_id % 5 = 0 AS b, product_id % 2 = 0 AS d, product_id % 3 = 0 AS h FROM ev)"""))
 def _(t):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
@@ -63,10 +64,12 @@ def _newest(spark: SparkSession, path: str, before: int):
     return rows.agg(F.max("newest")).first()[0]
 
 
-def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, delay: timedelta = timedelta(minutes=10)):
+def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, delay: timedelta = timedelta(minutes=10),
+                 enrich: Callable[[DataFrame], DataFrame] | None = None):
     """Request bodies to the tables ``events``, ``late``, ``replay_chunks`` and ``refused``, a micro-batch at a time.
 
-    Bodies are parsed once; the parsed rows are kept while the tables are written from them. Events lie by month, as
+    Bodies are parsed once; the parsed rows are kept while the tables are written from them. ``enrich``, such as
+    :func:`tidemark.enrich.assemble.enriched` with its tables, is applied to the accepted ones. Events lie by month, as
     :func:`tidemark.sources.tables.read_events` reads them, and by batch, so a batch that is run again after a failure replaces its own
     output. Events older than ``delay`` behind the newest of earlier batches are stored and also listed in ``late``, since windowed
     operators on the same stream leave them out.
@@ -75,6 +78,7 @@ def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | Non
         spark = batch.sparkSession
         parsed = track_events(batch).persist()
         accepted = parsed.where(F.col("status") == "accepted").drop("status")
+        accepted = accepted if enrich is None else enrich(accepted)
         newest = _newest(spark, path, number)
         late = accepted.where(F.lit(False) if newest is None else F.col("created_at") < F.lit(newest - delay))
         months = accepted.withColumn("event_month", F.date_format("created_at", "yyyyMM").cast("int")).withColumn("batch", F.lit(number))
