@@ -226,11 +226,11 @@ def _(t):
 
 @query("ingest_pipeline", sql("""
 SELECT shop AS shop_id, name, country, referrer_name, marked, count(*) AS count, count(DISTINCT session) AS sessions FROM (
-  SELECT *, sum(opened) OVER (PARTITION BY shop, device ORDER BY at, id ROWS UNBOUNDED PRECEDING) || ':' || device AS session FROM (
-    SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY shop, device ORDER BY at, id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opened FROM (
+  SELECT *, sum(opened) OVER (PARTITION BY shop, device ORDER BY seen, id ROWS UNBOUNDED PRECEDING) || ':' || device AS session FROM (
+    SELECT *, CASE WHEN seen - lag(seen) OVER (PARTITION BY shop, device ORDER BY seen, id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opened FROM (
       SELECT id, shop, CASE kind WHEN 2 THEN 'identify' ELSE name END AS name, CASE WHEN kind = 0 THEN device_id ELSE ip || ua END AS device, CASE WHEN k % 7 < 5 THEN 'US' WHEN kind = 0 THEN 'DE' ELSE '' END AS country,
         CASE WHEN kind = 1 THEN CASE k % 5 WHEN 1 THEN 'Google' WHEN 2 THEN 'Twitter' WHEN 4 THEN 'Reddit' ELSE '' END ELSE '' END AS referrer_name, k % 7 < 5 AND (k % 7) % 2 = 0 AS marked,
-        CASE kind WHEN 0 THEN date_trunc('millisecond', created_at) WHEN 3 THEN created_at ELSE date_trunc('second', created_at) END AS at
+        CASE kind WHEN 0 THEN date_trunc('millisecond', created_at) WHEN 3 THEN created_at ELSE date_trunc('second', created_at) END AS seen
       FROM q WHERE kind < 4 AND k % 4 <> 2))) GROUP BY ALL""", _RAW_SQL))
 def _(t):
     """Every request sent twice; five networks, of which three belong to a hosting provider."""
