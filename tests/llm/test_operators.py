@@ -146,6 +146,9 @@ def test_simhash(spark):
     doubled = documents(spark, ["a b c d", "a b c d", None], [7, 7, None])
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(doubled).collect()) == [(-1, -1), (7, 7), (7, 7)]
     assert simhash.keep_first(doubled).count() == 2
+    nameless = documents(spark, [prose(40, 1), prose(40, 2), prose(40, 1), None, ""], [None, None, None, 3, 3])
+    assert sorted(map(str, (r.text for r in simhash.keep_first(nameless).collect()))) in (
+        sorted(map(str, [prose(40, 1), prose(40, 2), x])) for x in (None, ""))
 
 
 def test_simhash_links_and_chains(spark):

@@ -118,8 +118,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates: that of the smallest id, and of rows that share this id
-    one. Texts move once, by id, so a large class does not meet in one task."""
-    kept = near_duplicates(docs, doc_id, text, radius).select(F.col("component_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates([doc_id])
+    """``docs`` with one row of each class of near-duplicates: the one of the smallest id (null last) and, among rows
+    that share it, the first.
+
+    Rows are numbered and written out, so that ids need not be unique. Texts then move once, by row number, so a large
+    class does not meet in one task.
+    """
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
+    classes = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text", radius)
+    kept = classes.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
