@@ -187,8 +187,10 @@ def test_periods():
     assert T.resolve_period(now, "lastMonth").start == datetime(2024, 2, 1)
     assert T.resolve_period(now, "6m").start == datetime(2023, 9, 30)
     assert T.resolve_period(now, "lastYear").end < datetime(2024, 1, 1)
-    p = T.resolve_period(now, "nonsense")
+    p = T.resolve_period(now, "7d")
     assert (p.end - p.start).days == 7 and p.prev_end == p.start
+    with pytest.raises(ValueError):
+        T.resolve_period(now, "nonsense")
     assert T.event_months(T.resolve_period(now, "90d")) == [202401, 202402, 202403] or T.event_months(T.resolve_period(now, "90d"))[0] == 202401
 
 

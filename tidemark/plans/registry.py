@@ -51,7 +51,10 @@ class Tables:
         return sessions(self.ev, TIMEOUT)
 
     def _stored(self, name: str, build: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
-        """A table of the shared folder, built once per application and input and read by all reports."""
+        """A table of the shared folder, built once per application and input and read by all reports. Where no such folder is named,
+        each report derives its table itself."""
+        if not self.spark.conf.get("spark.checkpoint.dir", None):
+            return getattr(self, f"computed_{name}")
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         try:
             return read(_STORED[key])
@@ -64,13 +67,13 @@ class Tables:
     @cached_property
     def evs(self) -> DataFrame:
         """Canonical events with session ids, as stored by month."""
-        return self._stored("events", lambda path: write_events(self.computed_evs, path),
+        return self._stored("evs", lambda path: write_events(self.computed_evs, path),
                             lambda path: read_events(self.spark, path).drop("event_month"))
 
     @cached_property
     def se(self) -> DataFrame:
         """Sessions, as stored."""
-        return self._stored("sessions", lambda path: self.computed_se.write.parquet(path), lambda path: self.spark.read.parquet(path))
+        return self._stored("se", lambda path: self.computed_se.write.parquet(path), lambda path: self.spark.read.parquet(path))
 
 
 def query(name: str, sql: str | None = None):
