@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.lineage import cut
+
 HEADER_LEAST, FILE_LEAST = 0.6, 0.6
+SPREAD = 64
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 CUE = re.compile(r"licen[sc]|copyright|spdx|public domain|redistribut|permission is hereby|all rights reserved", re.I)
 
@@ -146,7 +149,8 @@ def ancestors(folder: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """``files`` without their text, with their own licence, the licence that holds, and where it comes from."""
-    own = own_licenses(files, text, templates).drop(text).withColumn("folder", directory(F.col(path)))
+    # Texts are read once; what is left of a file is a few short columns, written out because three steps read it.
+    own = cut(own_licenses(files, text, templates).drop(text).withColumn("folder", directory(F.col(path))))
     holders = own.where("own_kind = 'file' AND folder IS NOT NULL").groupBy(F.col("folder").alias("above")).agg(
         F.max_by("own_license", F.struct("own_score", "own_license")).alias("dir_license"))
     folders = own.select("folder").where("folder IS NOT NULL").distinct()
@@ -155,6 +159,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
         F.max_by(F.struct("dir_license", "above"), "depth").alias("nearest"))
     own_first = F.coalesce("own_license", F.col("nearest")["dir_license"])
     origin = F.when(F.col("own_license").isNull(), F.col("nearest")["above"])
-    return own.join(nearest, "folder", "left").select(
+    # A directory may hold a third of all files: its one row is copied for each of SPREAD keys, among which its files are dealt.
+    copies = nearest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = own.withColumn("part", F.pmod(F.xxhash64(path), F.lit(SPREAD)).cast("int"))
+    return dealt.join(copies, ["folder", "part"], "left").select(
         *[c for c in files.columns if c != text], "own_license", "own_score", "own_kind", own_first.alias("license"),
         origin.alias("inherited_from"))
