@@ -379,7 +379,7 @@ def test_word_ids_equal_those_of_whole_texts():
     from tokenizers import Tokenizer
 
     plain, words = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER, keep=50)
-    texts = [t or "" for t in ODD] + ["Ünï a'S. it's,ok  x.\ty,\x1cz <|endoftext|>. HẖH̱ ,.a..b'll.,", "İstanbul. ΣΑΣ ﬁ", "don't.'s", "٣.a.1,b2.c", "a\u0301. e\u0301,"]
+    texts = [t or "" for t in ODD] + ["Ünï a'S. it's,ok  x.\ty,\x1cz <|endoftext|>. HẖH̱ ,.a..b'll.,", "İstanbul. ΣΑΣ ﬁ", "don't.'s", "٣.a.1,b2.c", "a\u0301. e\u0301,", "A<|ENDOFTEXT|>b <|endoftext|>C. <|startoftext|>"]
     for text, got in zip(texts, words.ids([t.encode() for t in texts])):
         assert list(np.frombuffer(got, "<u4")) == plain.encode(text, add_special_tokens=False).ids, text
 

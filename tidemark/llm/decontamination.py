@@ -130,19 +130,27 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (merged spans of words inside an occurrence) and ``hit_items``."""
+    return _passes(docs, benchmark, text, item_id, item_text, window, block_bytes, None)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, block_bytes: int,
+            finish) -> DataFrame:
+    """One pass over the documents for each block of the benchmark; ``finish`` turns the columns of the last one's
+    batches into those of the result, in the same task."""
     names = [f.name for f in FOUND]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
-    rows = docs
-    for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
+    rows, blocks = docs, _blocks(benchmark, item_id, item_text, block_bytes)
+    for number, block in enumerate(blocks):
         # A block's size is bounded by block_bytes.
         windows = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()], window))
-        rows = _search(cut(rows) if number else rows, windows, text, number > 0)
+        rows = _search(cut(rows) if number else rows, windows, text, number > 0, finish if number == len(blocks) - 1 else None)
     return rows
 
 
-def _search(rows: DataFrame, windows, text: str, again: bool) -> DataFrame:
+def _search(rows: DataFrame, windows, text: str, again: bool, finish) -> DataFrame:
     fields = [f for f in rows.schema.fields if not again or f.name not in {x.name for x in FOUND}]
+    names = [f.name for f in fields]
 
     def run(batches):
         known = windows.value
@@ -160,18 +168,21 @@ def _search(rows: DataFrame, windows, text: str, again: bool) -> DataFrame:
                 counts.append(n)
             shard.search(spans, items)
             if again:
-                for doc, (old, names) in enumerate(zip(batch.column("hit_spans").to_pylist(),
-                                                       batch.column("hit_items").to_pylist())):
+                for doc, (old, held) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist())):
                     spans[doc] += [(s["start"], s["end"]) for s in old]
-                    items[doc].update(names)
-            each = [[{"start": a, "end": b} for a, b in merged(spans[d])] if d in spans else [] for d in range(len(counts))]
-            found = [pa.array(counts, pa.int64()),
-                     pa.array(each, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                     pa.array([sorted(items[d]) if d in items else [] for d in range(len(counts))], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + found,
-                                             [f.name for f in fields] + [f.name for f in FOUND])
+                    items[doc].update(held)
+            each = [merged(spans[d]) if d in spans else [] for d in range(len(counts))]
+            columns = {name: batch.column(name) for name in names}
+            if finish:
+                columns = finish(columns, each)
+            else:
+                columns["n_words"] = pa.array(counts, pa.int64())
+                columns["hit_spans"] = pa.array([[{"start": a, "end": b} for a, b in spans_] for spans_ in each],
+                                                pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                columns["hit_items"] = pa.array([sorted(items[d]) if d in items else [] for d in range(len(counts))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return rows.mapInArrow(run, T.StructType(fields + FOUND))
+    return rows.mapInArrow(run, T.StructType(fields + ([] if finish else FOUND)))
 
 
 def cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -189,25 +200,20 @@ def cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + data[at:]
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id",
+           item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with every removal span cut out of its text; ``n_chars``, where there is one, follows. Documents without
     a hit pass unchanged; one that was nothing but benchmark text keeps its row with the little that is left."""
-    found, names = find(docs, benchmark, text, **options), docs.columns
-
-    def run(batches):
-        for batch in batches:
-            spans = batch.column("hit_spans").to_pylist()
-            columns = {name: batch.column(name) for name in names}
-            if any(spans):
-                texts = columns[text].to_pylist()
-                for i, here in enumerate(spans):
-                    if here:
-                        texts[i] = cut_words(texts[i].encode(), [(s["start"], s["end"]) for s in here]).decode()
-                columns[text] = pa.array(texts, columns[text].type)
-                if n_chars in columns:
-                    counts = columns[n_chars].to_pylist()
-                    columns[n_chars] = pa.array([len(t) if s else c for t, s, c in zip(texts, spans, counts)],
-                                                columns[n_chars].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return found.mapInArrow(run, docs.schema)
+    def finish(columns: dict, spans: list) -> dict:
+        if any(spans):
+            texts = columns[text].to_pylist()
+            for i, here in enumerate(spans):
+                if here:
+                    texts[i] = cut_words(texts[i].encode(), here).decode()
+            columns[text] = pa.array(texts, columns[text].type)
+            if n_chars in columns:
+                counts = columns[n_chars].to_pylist()
+                columns[n_chars] = pa.array([len(t) if s else c for t, s, c in zip(texts, spans, counts)], columns[n_chars].type)
+        return columns
+
+    return _passes(docs, benchmark, text, item_id, item_text, window, block_bytes, finish)

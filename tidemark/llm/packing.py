@@ -29,7 +29,7 @@ from tidemark.llm.common import BLOCK, LOWER
 
 CAPACITY = 4096
 END_ID = 2
-CACHE = 800_000
+CACHE = 500_000
 POOL = 256
 
 # Before a full stop or comma that follows a letter a token always ends, so a text may be cut there.
@@ -83,7 +83,8 @@ class WordTokenizer:
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
-        if not COMPOSING.search(text):
+        # Lower-casing early keeps fewer words apart. It must not make a special token of what is none.
+        if b"<|" not in text and not COMPOSING.search(text):
             text = text.translate(LOWER)
         return CUT.sub(b" ", text).replace(b"\n", b" ").split(b" ")
 

@@ -27,7 +27,7 @@ from tidemark.llm.common import BLOCK, text_bytes
 CLASSES = 28
 OTHER, GAP = 27, 0
 TRAIN_ROWS = 8_000
-CACHE = 300_000
+CACHE = 100_000
 BEGINNINGS = (4, 5)
 CAUTION = 1.28
 
