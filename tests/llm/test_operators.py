@@ -164,6 +164,25 @@ def test_simhash_links_and_chains(spark):
         simhash.links(links, radius=3)
 
 
+def test_near_duplicate_stage_links_similar_texts(spark):
+    import corpus_pipeline
+
+    rng, words = random.Random(8), [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(30):
+        base = rng.choices(words, k=200)
+        texts += [" ".join(base), " ".join(base[:90] + rng.choices(words, k=8) + base[98:])]
+    shingles = lambda t: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}
+    pairs = [(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert all(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8 for a, b in pairs)
+    assert sum((plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 2 for a, b in pairs) > 15
+    half = texts[0].split()[:100] + rng.choices(words, k=100)
+    docs = documents(spark, texts + [" ".join(half), "one two", None, "", "one two"])
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 60, 2), 60, 61, 62]
+
+
 # --- 3 language ----------------------------------------------------------------------------------------------------
 
 def plain_bits(counts, data):

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
+from tidemark.llm import similarity
 from tidemark.llm.common import LOWER, text_bytes, word_blocks
 
 SHINGLE = 3
@@ -105,11 +106,7 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest id reachable over links, the own included)."""
-    prints = cut(fingerprints(docs, doc_id, text))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(links(distinct, radius))
+def _classes(prints: DataFrame, distinct: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("label", "fp").alias("label"))
     least = rooted.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -117,15 +114,63 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest id reachable over links, the own included)."""
+    prints = cut(fingerprints(docs, doc_id, text))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    return _classes(prints, distinct, components(links(distinct, radius)))
+
+
+def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, similar: float) -> DataFrame:
+    """Components as of ``components`` over ``edges`` and links between the fingerprints of texts at least ``similar``.
+
+    ``texts`` has (row, text), ``prints`` (row, fp), rows being unique. In each bucket of texts that share a band, those
+    not yet in the component of one of them, drawn by a hash, are compared with it; rounds draw anew in the buckets
+    that still hold several components, until one finds no link. Each round is linear in the bucket.
+    """
+    sketches = similarity.sketches(texts).join(prints, "row")
+    nodes = cut(sketches.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands")))
+    edges, held, turn = cut(edges), None, 0
+    while True:
+        labels = components(edges)
+        named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "row", "fp", F.coalesce("label", "fp").alias("label"), F.explode("bands").alias("band"))
+        drawn = F.min(F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("draw"), "row", "fp", "label"))
+        buckets = named.groupBy("band").agg(drawn.alias("one"), F.min("label").alias("low"), F.max("label").alias("high"))
+        open_ = cut(named.join(buckets.where("low < high"), "band").select("row", "fp", "label", "one"))
+        pairs = cut(open_.where("label <> one.label").select(
+            "row", "fp", F.col("one.row").alias("other_row"), F.col("one.fp").alias("other_fp")).distinct())
+        if held is None:
+            # Later rounds compare some of the texts of the first, which move once.
+            held = cut(texts.join(open_.select("row").distinct(), "row", "left_semi").select("row", "text"))
+        both = pairs.join(held, "row").join(
+            held.select(F.col("row").alias("other_row"), F.col("text").alias("other_text")), "other_row")
+        found = cut(similarity.proved(both, similar).select(
+            F.least("fp", "other_fp").alias("lo"), F.greatest("fp", "other_fp").alias("fp")).distinct())
+        if found.isEmpty():
+            return labels
+        edges, turn = cut(edges.unionByName(found)), turn + 1
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
+               similar: float | None = None) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: the one of the smallest id (null last) and, among rows
-    that share it, the first.
+    that share it, the first. With ``similar``, texts whose 5-word shingles are at least so similar link as well,
+    however far their fingerprints are apart.
 
     Rows are numbered and written out, so that ids need not be unique. Texts then move once, by row number, so a large
     class does not meet in one task.
     """
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
-    classes = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text", radius)
+    keyed = rows.select(key.alias("key"), F.col(text).alias("text"))
+    if similar is None:
+        classes = near_duplicates(keyed, "key", "text", radius)
+    else:
+        prints = cut(fingerprints(keyed, "key", "text"))
+        distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+        texts = rows.select(F.col("__row").alias("row"), F.col(text).alias("text"))
+        labels = similar_components(texts, prints.select(F.col("doc_id.row").alias("row"), "fp"), links(distinct, radius), similar)
+        classes = _classes(prints, distinct, labels)
     kept = classes.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(docs.columns)
