@@ -164,6 +164,12 @@ def test_simhash_links_and_chains(spark):
         simhash.links(links, radius=3)
 
 
+def test_fingerprint_of_a_long_first_word():
+    run = "f" * (common.BLOCK + 9)
+    for text in (f"{run} a b c", f"{run} {prose(60)}", f"one {run} {prose(60)}", f"{run} {run} a", f"{run} {run}", run, f"{run} a \n"):
+        assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+
+
 def test_near_duplicate_stage_links_similar_texts(spark):
     import corpus_pipeline
 

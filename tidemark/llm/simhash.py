@@ -33,15 +33,14 @@ RADIUS = 2
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned 64-bit fingerprint of one text."""
-    ones, total = np.zeros(64, np.int64), 0
-    for first, words in word_blocks(text.translate(LOWER), shingle - 1):
-        if first == 0 and 0 < len(words) < shingle:
-            runs = [b" ".join(words)]
-        else:
-            runs = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    ones, total, words = np.zeros(64, np.int64), 0, []
+    for _, words in word_blocks(text.translate(LOWER), shingle - 1):
+        runs = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), "<u8", len(runs))
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(runs)
+    if words and not total:  # the last block of so short a text holds all its words
+        return xxhash.xxh64_intdigest(b" ".join(words), seed)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
