@@ -398,6 +398,29 @@ def test_license_cosine_against_plain():
         assert (got is None and best[0] == 0) or (got[0], pytest.approx(got[1])) == (best[1], best[0])
 
 
+def test_full_license_texts(spark):
+    full = licenses.full_texts()
+    rows = [(f"{name}/LICENSE", f"Copyright (c) 2020 Some One\n\n{t}") for name, (t,) in full.items()]
+    rows += [(f"{name}/src/x", "plain words") for name in full]
+    # Cut short and with other words around it; short source files that are only a header; a wrapped header.
+    rows += [("cut/COPYING", full["GPL-2.0"][0][:-3000]), ("s/a.py", "# SPDX-License-Identifier: MIT\nx = 1"), ("s/b.py", "y = 2"),
+             ("w/c.py", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n"
+              "# Public License as published by the Free\n# Software Foundation, either version 3 of the License, or\n#\n" + prose(200))]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = {r.path: (r.own_license, r.own_kind, r.license, r.inherited_from) for r in licenses.scan(files).collect()}
+    for name in full:
+        assert found[f"{name}/LICENSE"] == (name, "file", name, None)
+        assert found[f"{name}/src/x"] == (None, None, name, name)
+    assert found["cut/COPYING"][:2] == ("GPL-2.0", "file")
+    assert found["s/a.py"][:2] == ("MIT", "header") and found["s/b.py"] == (None, None, None, None)
+    assert found["w/c.py"][:2] == ("GPL-3.0", "header")
+
+
+def test_license_words_are_counted_as_they_are_compared(spark):
+    files = spark.createDataFrame([("The License.",), ("licence-x license",), (None,)], "text string")
+    assert licenses.frequencies(files, {"license", "licence-x", "the"}) == ({"license": 2, "licence-x": 1, "the": 1}, 3)
+
+
 # --- 9 packing -----------------------------------------------------------------------------------------------------
 
 def test_word_ids_equal_those_of_whole_texts():

@@ -1,8 +1,9 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from ancestor directories.
 
 Inverse document frequencies of the templates' words are counted over all files; a word no template has gets their mean.
-Every line that names a licence, and the whole text, is compared with every template by sparse vectors; a line counts as
-a header, a whole text as a licence file. A file without a licence of its own inherits that of the nearest directory
+The whole text is compared with full licence texts (``license_texts``) and with notices, every line and paragraph that
+names a licence with notices, by sparse vectors. A full text is a licence file; a notice is one in a file named like a
+licence file or without a path, and a header elsewhere. A file without a licence of its own inherits that of the nearest directory
 above it that holds a licence file: distinct directories are joined with the ancestors of their paths, then files with
 their directory, so a directory with many files is resolved once.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 from tidemark.functions.lineage import cut
 
 HEADER_LEAST, FILE_LEAST = 0.6, 0.6
+# A full text in a file of another name must come closer, as short code below a long header is no licence file.
+FULL_LEAST, FULL_LEAST_ELSEWHERE = 0.8, 0.9
 SPREAD = 64
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 CUE = re.compile(r"licen[sc]|copyright|spdx|public domain|redistribut|permission is hereby|all rights reserved", re.I)
@@ -52,10 +56,17 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "Proprietary": ["Copyright. All rights reserved.", "All rights reserved. Unauthorised copying of this file is strictly prohibited."],
 }
+NAMED = re.compile(r"(?:^|/)(?:[^/]*[._-])?(?:(?:un)?licen[sc]es?|copying)(?:[._-][^/]*)?$", re.I)
+PARAGRAPH = re.compile(r"\n(?:[^\w\n]*\n)+")
 OWN = [T.StructField("own_license", T.StringType()), T.StructField("own_score", T.DoubleType()),
        T.StructField("own_kind", T.StringType())]
 
 
+def full_texts() -> dict[str, list[str]]:
+    """Full texts of public licences by name."""
+    return {p.stem: [p.read_text("utf-8")] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -88,29 +99,38 @@ class Templates:
         at = int(cosines.argmax())
         return (self.rows[at][0], float(cosines[at])) if cosines[at] >= least else None
 
-    def own(self, text: str) -> tuple[str, float, str] | None:
-        """Licence of a file's own text: the whole text if it is a licence file, else its best header line."""
+
+class Matcher:
+    """Notices and full texts."""
+
+    def __init__(self, frequencies: dict[str, int], n_files: int, notices: dict[str, list[str]], full: dict[str, list[str]]):
+        self.notices, self.full = Templates(frequencies, n_files, notices), Templates(frequencies, n_files, full)
+
+    def own(self, text: str, path: str | None = None) -> tuple[str, float, str] | None:
+        """Licence of a file's own text: the whole text if it is one, else its best header line or paragraph."""
         if not CUE.search(text):
             return None
-        whole = self.best(words(text), FILE_LEAST)
+        found, named = words(text), path is None or bool(NAMED.search(path))
+        whole = self.full.best(found, FULL_LEAST)
+        if whole:
+            return (*whole, "file" if named or whole[1] >= FULL_LEAST_ELSEWHERE else "header")
+        whole = self.notices.best(found, FILE_LEAST)
         if whole:
-            return (*whole, "file")
-        lines = [self.best(words(line), HEADER_LEAST) for line in text.split("\n") if CUE.search(line)]
-        return max(((*x, "header") for x in lines if x), key=lambda x: (x[1], [-ord(c) for c in x[0]]), default=None)
+            return (*whole, "file" if named else "header")
+        pieces = [p for p in text.split("\n") if CUE.search(p)] + [p for p in PARAGRAPH.split(text) if "\n" in p and CUE.search(p)]
+        scored = [x for x in (self.notices.best(words(p), HEADER_LEAST) for p in pieces) if x]
+        kind = "file" if path is not None and named else "header"
+        return max(((*x, kind) for x in scored), key=lambda x: (x[1], [-ord(c) for c in x[0]]), default=None)
 
 
 def frequencies(files: DataFrame, vocabulary: set[str], text: str = "text") -> tuple[dict[str, int], int]:
     """In how many of all files each word of the templates occurs, and how many files there are."""
-    spelled = {w.encode() for w in vocabulary}
-    cut = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b in b".+-" else 32 for b in range(256))
-
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
             counts[""] += batch.num_rows
-            for value in batch.column("text").cast("binary").to_pylist():
-                found = spelled.intersection((value or b"").translate(cut).split())
-                counts.update(w.decode() for w in found)
+            for value in batch.column("text").to_pylist():
+                counts.update(vocabulary.intersection(words(value or "")))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     table = (files.select(F.col(text).alias("text")).mapInArrow(run, "word string, n bigint")
@@ -119,14 +139,17 @@ def frequencies(files: DataFrame, vocabulary: set[str], text: str = "text") -> t
     return found, found.pop("", 0)
 
 
-def own_licenses(files: DataFrame, text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def own_licenses(files: DataFrame, text: str = "text", templates: dict[str, list[str]] = TEMPLATES,
+                 path: str | None = None) -> DataFrame:
     """``files`` with own_license, own_score and own_kind (file, header or null)."""
-    vocabulary = {w for texts in templates.values() for t in texts for w in words(t)}
-    shared = files.sparkSession.sparkContext.broadcast(Templates(*frequencies(files, vocabulary, text), templates))
+    full = full_texts()
+    vocabulary = {w for texts in (*templates.values(), *full.values()) for t in texts for w in words(t)}
+    shared = files.sparkSession.sparkContext.broadcast(Matcher(*frequencies(files, vocabulary, text), templates, full))
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.own(t or "") or (None, None, None) for t in batch.column(text).to_pylist()]
+            paths = batch.column(path).to_pylist() if path else [None] * batch.num_rows
+            found = [shared.value.own(t or "", p) or (None, None, None) for t, p in zip(batch.column(text).to_pylist(), paths)]
             names, scores, kinds = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(kinds, pa.string())],
@@ -150,7 +173,7 @@ def ancestors(folder: Column) -> Column:
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """``files`` without their text, with their own licence, the licence that holds, and where it comes from."""
     # Texts are read once; what is left of a file is a few short columns, written out because three steps read it.
-    own = cut(own_licenses(files, text, templates).drop(text).withColumn("folder", directory(F.col(path))))
+    own = cut(own_licenses(files, text, templates, path).drop(text).withColumn("folder", directory(F.col(path))))
     holders = own.where("own_kind = 'file' AND folder IS NOT NULL").groupBy(F.col("folder").alias("above")).agg(
         F.max_by("own_license", F.struct("own_score", "own_license")).alias("dir_license"))
     folders = own.select("folder").where("folder IS NOT NULL").distinct()
