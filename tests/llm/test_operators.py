@@ -503,6 +503,15 @@ def test_viterbi_against_all_paths():
         assert got == best[1]
 
 
+def test_disguise_beside_other_signs():
+    restorer = toxicity.Restorer(letters(*[prose(200), "stupid head idiot moron scum stupid idiot moron you ass"] * 5))
+    for text, want in (("1d10t's", "idiot s"), ("m0r0n,1d10t", "moron idiot"), ("you/1d10t", "you idiot"), ("_1d10t_", "idiot"),
+                       ("<b>1d10t</b>", "b idiot b"), ("stuuupid's", "stupid s"), ("m0r0n-head", "moron head"), ('"i d i o t"', "idiot"),
+                       ("(m o r o n)", "moron"), ("i d i o t;", "idiot"), ("m  o  r  o  n", "moron"), ("a s s", "ass"),
+                       ("don't", "don't"), ("well-known", "well-known")):
+        assert restorer.restored(text) == want
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     clean = [prose(40, i) for i in range(150)]

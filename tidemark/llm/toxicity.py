@@ -42,8 +42,10 @@ SYMBOLS = "".join(c for c in STANDS_FOR if not c.isdigit())
 ENDS = re.compile(r"^[^\w@$€£|]+|[^\w]{2,}$|[^\w@$€£]$")
 MIXED = re.compile(rf"[^\W\d_][\w{re.escape(SYMBOLS)}]*[\d{re.escape(SYMBOLS)}]|[\d{re.escape(SYMBOLS)}][^\W\d_]")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
-SPELLED = re.compile(rf"(?<![^\s])[^\W_](?:[ ._*-][^\W_{re.escape('')}]|[ ._*-][{re.escape(SYMBOLS)}]){{3,}}(?![^\s.,!?])")
-JOINS = " ._*-"
+SPELLED = re.compile(rf"(?<![^\W_])(?<![^\W_]')[^\W_](?:[ ._*-]+(?:[^\W_]|[{re.escape(SYMBOLS)}])){{2,}}(?![^\W_])")
+JOINS = re.compile(r"([ ._*-]+)")
+# Signs inside a token that stand for no letter.
+PARTS = re.compile(rf"(?:[^\w{re.escape(SYMBOLS)}]|_)+")
 
 # Classes of bytes: letters 1..26, first bytes of letters beyond them 27, bytes that continue a character 255, others 0.
 BYTE_CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else OTHER if b >= 192 else 255 if b >= 128
@@ -144,20 +146,21 @@ class Restorer:
 
     def __init__(self, model: LetterModel, keep: int = CACHE):
         self.model, self.keep = model, keep
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def word(self, token: str) -> str:
-        """A lower-case token without punctuation at its ends, restored if it shows signs of disguise."""
+    def read(self, token: str) -> tuple[str, ...]:
+        """A lower-case token without punctuation at its ends; one that shows signs of disguise is cut at inner signs that
+        stand for no letter, and each part that shows them is restored."""
         core = ENDS.sub("", token)
-        if STRETCHED.search(core) or MIXED.search(core):
-            if not core.isascii() or core.isalnum() or all(c.isalnum() or c in STANDS_FOR for c in core):
-                core = viterbi(_options(core), self.model)
-        return core
+        if not (STRETCHED.search(core) or MIXED.search(core)):
+            return (core,) if core else ()
+        parts = (ENDS.sub("", part) for part in PARTS.split(core))
+        return tuple(viterbi(_options(p), self.model) if STRETCHED.search(p) or MIXED.search(p) else p for p in parts if p)
 
     def spelled(self, token: str) -> str:
         """A word spelled with single letters set apart: each join may be dropped or stay a gap."""
         options = []
-        for i, c in enumerate(token):
+        for i, c in enumerate(JOINS.split(token)):
             if i % 2:
                 options.append([("", SET_APART), (c, 0.0)])
             else:
@@ -166,14 +169,14 @@ class Restorer:
 
     def words(self, text: str) -> list[str]:
         """Restored words of a text in order."""
-        return [w for t in self.tokens(text) for w in [self.restore(t)] if w]
+        return [w for t in self.tokens(text) for w in self.restore(t)]
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            found = self.known[token] = self.word(token)
+            found = self.known[token] = self.read(token)
         return found
 
     def tokens(self, text: str) -> list[str]:
@@ -202,8 +205,7 @@ class Scorer:
     def _weight(self, token: str) -> float:
         if len(self.token_weight) >= CACHE:
             self.token_weight.clear()
-        word = self.restorer.word(token)
-        found = max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0) if word else 0.0
+        found = max((self.weights.get(f, 0.0) for w in self.restorer.read(token) for f in word_features(w)), default=0.0)
         self.token_weight[token] = found
         return found
 
@@ -270,8 +272,8 @@ def learn(docs: DataFrame, sample: DataFrame, text: str = "text") -> Scorer | No
             for value, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 side = int(label > 0)
                 sizes[side] += 1
-                words = {restorer.restore(t) for t in set(restorer.tokens(value))}
-                for f in {f for w in words if w for f in word_features(w)}:
+                words = {w for t in set(restorer.tokens(value)) for w in restorer.restore(t)}
+                for f in {f for w in words for f in word_features(w)}:
                     found.setdefault(f, [0, 0])[side] += 1
         found[""] = sizes
         names = list(found)
