@@ -512,6 +512,17 @@ def test_disguise_beside_other_signs():
         assert restorer.restored(text) == want
 
 
+def test_features_of_one_toxic_text_may_weigh(spark):
+    cases = [(a, b) for a in range(1, 6) for b in range(5)]
+    table = spark.createDataFrame(cases, "a bigint, b bigint")
+    for toxic, clean in ((400, 7600), (3000, 5000)):
+        kept = {tuple(r) for r in table.where(toxicity.may_weigh(F.col("a"), F.col("b"), toxic, clean)).collect()}
+        assert kept == {c for c in cases if any(toxicity.fit_weights({"x": c}, toxic, clean, side) for side in (None, 0, 1))}
+    sample = spark.createDataFrame([(prose(9, i), 0) for i in range(95)] + [("rare " + prose(9, i), 1) for i in range(1)]
+                                   + [(f"idiot {prose(9, i)}", 1) for i in range(4)], "text string, label int")
+    assert toxicity.learn(sample, sample).weights.get("rare", 0) > 0
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     clean = [prose(40, i) for i in range(150)]

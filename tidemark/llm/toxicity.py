@@ -19,9 +19,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
 from tidemark.llm.common import BLOCK, text_bytes
 
 CLASSES = 28
@@ -235,6 +236,16 @@ def lower_bound(a: int, b: int, toxic: int, clean: int) -> float:
     return ratio - CAUTION * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
 
+def may_weigh(a: Column, b: Column, toxic: int, clean: int) -> Column:
+    """Whether ``fit_weights`` can give a feature of these counts a weight, all counted or one clean text left out.
+    One that no toxic text holds is no evidence."""
+    def bound(b):
+        ratio = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
+        return ratio - CAUTION * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+    return (a > 0) & (F.greatest(bound(b), bound(F.greatest(b - 1, F.lit(0)))) > -1e-9)
+
+
 def fit_weights(counts: dict[str, tuple[int, int]], toxic: int, clean: int, without: int | None = None) -> dict[str, float]:
     """Positive weights of features. ``without`` gives those that a text of this label would get had it not been counted
     itself, so that the curve is not fitted to what the weights know by heart."""
@@ -281,9 +292,9 @@ def learn(docs: DataFrame, sample: DataFrame, text: str = "text") -> Scorer | No
                                           pa.array([found[f][0] for f in names], pa.int64())], ["feature", "toxic", "clean"])
 
     counts = sample.select("text", "label").mapInArrow(features, "feature string, toxic bigint, clean bigint")
-    # A feature of fewer toxic than clean texts can have no positive weight; nor can one of a single toxic text.
-    counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(
-        "feature = '' OR toxic > 1")
+    counts = cut(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    size = counts.where("feature = ''").agg(F.sum("toxic"), F.sum("clean")).first()
+    counts = counts.where((F.col("feature") == "") | may_weigh(F.col("toxic"), F.col("clean"), size[0] or 0, size[1] or 0))
     table = {f: (a, b) for f, a, b in zip(*(c.to_pylist() for c in counts.toArrow().columns))}
     toxic, clean = table.pop("", (0, 0))
     if not toxic + clean:
