@@ -29,6 +29,7 @@ from tidemark.llm.common import LOWER, text_bytes, word_blocks
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
+SMALL = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -123,32 +124,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, similar: float) -> DataFrame:
     """Components as of ``components`` over ``edges`` and links between the fingerprints of texts at least ``similar``.
 
-    ``texts`` has (row, text), ``prints`` (row, fp), rows being unique. In each bucket of texts that share a band, those
-    not yet in the component of one of them, drawn by a hash, are compared with it; rounds draw anew in the buckets
-    that still hold several components, until one finds no link. Each round is linear in the bucket.
+    ``texts`` has (row, text), ``prints`` (row, fp), rows being unique. In a bucket of up to ``SMALL`` texts that share a
+    band all pairs of different components are compared. In a larger one each text is compared with two drawn by a hash;
+    rounds draw anew while links are found, so a round is linear in the bucket. Links of a round merge labels.
     """
     sketches = similarity.sketches(texts).join(prints, "row")
-    nodes = cut(sketches.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands")))
-    edges, held, turn = cut(edges), None, 0
+    nodes = sketches.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select(
+        "row", "fp", F.coalesce("label", "fp").alias("label"), "bands"))
+    held, turn = None, 0
     while True:
-        labels = components(edges)
-        named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "row", "fp", F.coalesce("label", "fp").alias("label"), F.explode("bands").alias("band"))
-        drawn = F.min(F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("draw"), "row", "fp", "label"))
-        buckets = named.groupBy("band").agg(drawn.alias("one"), F.min("label").alias("low"), F.max("label").alias("high"))
-        open_ = cut(named.join(buckets.where("low < high"), "band").select("row", "fp", "label", "one"))
-        pairs = cut(open_.where("label <> one.label").select(
-            "row", "fp", F.col("one.row").alias("other_row"), F.col("one.fp").alias("other_fp")).distinct())
+        named = nodes.select("row", "label", F.explode("bands").alias("band"))
+        one = F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("draw"), "row", "label")
+        buckets = named.groupBy("band").agg(
+            F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
+            F.array(F.min(one), F.max(one)).alias("drawn")).where("low < high").drop("low", "high")
+        large = named.join(buckets.where(F.col("n") > SMALL), "band").select("row", "label", F.explode("drawn").alias("other"))
+        pairs = large.select("row", "label", F.col("other.row").alias("other_row"), F.col("other.label").alias("other_label"))
+        if not turn:
+            few = named.join(buckets.where(F.col("n") <= SMALL).select("band"), "band")
+            again = few.select("band", F.col("row").alias("other_row"), F.col("label").alias("other_label"))
+            pairs = pairs.unionByName(few.join(again, "band").where("row < other_row").drop("band"))
+        pairs = cut(pairs.where("label <> other_label").distinct())
         if held is None:
-            # Later rounds compare some of the texts of the first, which move once.
-            held = cut(texts.join(open_.select("row").distinct(), "row", "left_semi").select("row", "text"))
+            # All texts move once; those of later rounds are among the members of open buckets.
+            near = named.join(buckets.select("band"), "band").select("row").distinct()
+            held = cut(texts.join(near, "row", "left_semi").select("row", "text"))
         both = pairs.join(held, "row").join(
             held.select(F.col("row").alias("other_row"), F.col("text").alias("other_text")), "other_row")
         found = cut(similarity.proved(both, similar).select(
-            F.least("fp", "other_fp").alias("lo"), F.greatest("fp", "other_fp").alias("fp")).distinct())
+            F.least("label", "other_label").alias("lo"), F.greatest("label", "other_label").alias("fp")).distinct())
         if found.isEmpty():
-            return labels
-        edges, turn = cut(edges.unionByName(found)), turn + 1
+            return nodes.select(F.col("fp").alias("node"), "label").distinct()
+        merged = components(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        nodes = cut(nodes.join(merged, "label", "left").select("row", "fp", F.coalesce("to", "label").alias("label"), "bands"))
+        turn += 1
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
