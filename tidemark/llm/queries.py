@@ -9,7 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, language, licenses, packing, quality, repetition, secrets, simhash, toxicity
+from tidemark.llm import (centroids, chat, decontamination, language, licenses, packing, quality, repetition, secrets,
+                          simhash, toxicity, two_fit, whitening)
 from tidemark.llm.common import labelled_sample, read, remainder
 
 QUERIES, ORACLES = {}, {}
@@ -177,3 +178,48 @@ def op10(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scorer = toxicity.learn(docs, labelled_sample(docs, labels, "toxic", 5, 0, toxicity.TRAIN_ROWS))
     return toxicity.score(docs, scorer).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+@query("op11_best_two_fit")
+def op11(spark, sf_dir):
+    return two_fit.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def _rounds(rounds: int) -> str:
+    """Assignment and new centroids of each round, and a last assignment."""
+    def assign(i):
+        return f"""
+a{i} AS MATERIALIZED (
+  SELECT r, k, q FROM (SELECT r, k, cast(sum((v - m) * (v - m)) AS bigint) AS q FROM entries JOIN c{i} USING (d) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY q, k) = 1),"""
+
+    def move(i):
+        return f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT k, d, coalesce(new.m, old.m) AS m FROM c{i} old LEFT JOIN (
+    SELECT k, d, cast(floor(cast(sum(v) AS double) / count(*)) AS bigint) AS m FROM entries JOIN a{i} USING (r) GROUP BY k, d) new USING (k, d)),"""
+
+    return "".join(assign(i) + move(i) for i in range(rounds)) + assign(rounds)
+
+
+@query("op12_centroids", f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [cast(floor(1024 * cast(x AS double)) AS bigint) FOR x IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+entries AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS d, unnest(x) AS v FROM kept),
+c0 AS MATERIALIZED (
+  SELECT k, unnest(range(1, 65)) AS d, unnest(x) AS m FROM (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(cast(vec_id AS varchar), '')), x) - 1 AS k, x FROM kept) WHERE k < 8),
+{_rounds(centroids.ROUNDS)}
+named AS (SELECT k, sha256(string_agg(cast(m AS varchar), ',' ORDER BY d)) AS s FROM c{centroids.ROUNDS} GROUP BY k)
+SELECT vec_id, cast(k AS integer) AS cluster, q AS distance, cast(sum(q) OVER (PARTITION BY k) AS bigint) AS cluster_inertia,
+  cast(sum(q) OVER () AS bigint) AS inertia, s AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN kept USING (r) JOIN named USING (k)
+""")
+def op12(spark, sf_dir):
+    return centroids.cluster(read(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
