@@ -12,112 +12,23 @@ text columns are read, so other columns may have any name; an empty table gives
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import BLOCK, LOWER
+from tidemark.llm.tokens import WordTokens, tokens
 
 CAPACITY = 4096
 END_ID = 2
-CACHE = 500_000
 POOL = 256
 
-# Before a full stop or comma that follows a letter a token always ends, so a text may be cut there.
-CUT = re.compile(rb"(?<=[a-zA-Z])(?=[.,])")
-# From U+0300 on, lower-casing before normalisation could change what is composed.
-COMPOSING = re.compile(rb"[\xcc-\xff]")
-
-
-class WordTokenizer:
-    """Token ids of whole texts for a tokenizer that drops white space and never joins over it.
-
-    Texts are cut at spaces, line ends and before stops, each word's ids are looked up, and words not seen before are
-    given to the tokenizer together. The ids equal those of the whole text (tested).
-    """
-
-    def __init__(self, path: str, keep: int = CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.encode, self.encode_many, self.keep = tokenizer.encode, tokenizer.encode_batch_fast, keep
-        self.known: dict[bytes, bytes] = {}
-        # A word of letters alone is one unit of the tokenizer, and only its last token carries the end mark.
-        ends = [i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]
-        self.ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [t for t in texts if t.isalpha()]
-        for at in range(0, len(plain), 5_000):
-            part = plain[at:at + 5_000]
-            ids = np.array(self.encode_many([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                self._keep(part, ids, ends)
-            else:
-                self._learn_each(part)
-        self._learn_each([t for t in texts if not t.isalpha()])
-
-    def _learn_each(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2_000):
-            part = words[at:at + 2_000]
-            found = self.encode(part, is_pretokenized=True, add_special_tokens=False)
-            self._keep(part, np.array(found.ids, "<u4"),
-                       np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), "right"))
-
-    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        data, ends = ids.tobytes(), (4 * ends).tolist()
-        self.known.update((w.encode(), data[a:b]) for w, a, b in zip(words, [0, *ends], ends))
-
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        # Lower-casing early keeps fewer words apart. It must not make a special token of what is none.
-        if b"<|" not in text and not COMPOSING.search(text):
-            text = text.translate(LOWER)
-        return CUT.sub(b" ", text).replace(b"\n", b" ").split(b" ")
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.keep:
-            self.known = {}
-        out = []
-        for text in texts:
-            parts = [self._words(text[a:b]) for a, b in _cuts(text)]
-            fresh = set().union(*parts).difference(self.known)
-            if fresh:
-                self._learn(list(fresh))
-            out.append(b"".join(b"".join(map(self.known.__getitem__, part)) for part in parts))
-        return out
-
-
-def _cuts(text: bytes, size: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Borders of pieces of a very long text, at spaces."""
-    at = 0
-    while at < len(text):
-        end = text.find(b" ", min(at + size, len(text)))
-        end = len(text) if end < 0 else end
-        yield at, end
-        at = end
-
-
-@lru_cache(1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One per worker process: tasks that follow each other share the words."""
-    return WordTokenizer(path)
-
-
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """How many pieces of each length to take so that their total is closest to ``capacity`` from below.
 
@@ -223,21 +134,19 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
          end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind, id_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
     schema = (f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
               "offset bigint" + ", ids array<int>" * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        words, packer = word_tokenizer(tokenizer), Packer(capacity)
-        base, end = TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
-        id_type = None
+        packer, base = Packer(capacity), TaskContext.get().partitionId() << 40
 
         def flush():
             if not (found := packer.rows()):
                 return
-            keys, starts, ids, tokens, windows, offsets = zip(*found)
+            keys, starts, ids, totals, windows, offsets = zip(*found)
             columns = [pa.array(keys, id_type), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                       pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(tokens, pa.int64()),
+                       pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(totals, pa.int64()),
                        pa.array([base + w for w in windows], pa.int64()), pa.array(offsets, pa.int64())]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
@@ -245,13 +154,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
-            id_type = batch.column("doc_id").type
-            texts = batch.column("text").cast("binary")
-            for key, value in zip(batch.column("doc_id").to_pylist(), texts):
-                packer.add(key, np.frombuffer(words.ids([value.as_py() or b""])[0] + end, "<u4"))
-                if len(packer.ready) >= 5_000:
-                    yield from flush()
+        for key, ids in tokens(WordTokens, tokenizer).rows(batches, end_id):
+            packer.add(key, ids)
+            if len(packer.ready) >= 5_000:
+                yield from flush()
         packer.finish()
         yield from flush()
 
