@@ -88,5 +88,15 @@ def digest(turns: Column) -> Column:
     return F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256)
 
 
-def loss_text(turns: Column) -> Column:
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
+def under_mask(formatted: Column, loss_runs: Column) -> Column:
+    """The pieces of the formatted text that lie under the mask, unescaped, one for each run that goes into the loss."""
+    # Code points are cut as four bytes each, so that a place far inside a long text is reached at once.
+    wide, turns = F.encode(formatted, "UTF-32"), (F.size(loss_runs) / 2).cast("int")
+    run = lambda i: F.get(loss_runs, i)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(
+        F.sequence(F.lit(0), turns - 1), begin, lambda done, i: F.struct(
+            (done["at"] + run(2 * i) + run(2 * i + 1)).alias("at"), F.array_append(done["starts"], done["at"] + run(2 * i)).alias("starts")),
+        lambda done: done["starts"])
+    pieces = F.transform(starts, lambda start, i: F.when(run(2 * i + 1) > 0, F.substring(wide, 4 * start + 1, 4 * run(2 * i + 1))))
+    return F.transform(F.filter(pieces, lambda p: p.isNotNull()), lambda p: unescaped(F.decode(p, "UTF-32")))

@@ -53,9 +53,11 @@ def word_blocks(data: bytes, carry: int, separator: re.Pattern = SPACE, size: in
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most_rows: int,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, label) of about ``most_rows`` labelled training rows at most: those outside the held-out remainder, thinned
-    by a hash of their id. Ids with several labels count once, with the largest; null ids and labels do not train.
+    by a hash of their id. Ids with several labels count once, with the largest, and of the texts of a repeated id the one
+    that hashes lowest; null ids and labels do not train.
 
-    The labels kept are bounded by ``most_rows``, so they may be broadcast: texts are read, not shuffled.
+    The labels kept are bounded by ``most_rows``, so they may be broadcast; each task keeps one text for each before the
+    shuffle, however many rows share the id.
     """
     rows = (labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
             .where(F.col("label").isNotNull() & (remainder("__id", parts) != held))
@@ -63,4 +65,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     share = min(1.0, most_rows / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(rows), "__id").select("__id", "text", "label")
+    chosen = texts.join(F.broadcast(rows), "__id").groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return chosen.select("__id", "text", "label")
+
+
+def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with those of its columns renamed to ``source_…`` whose names a result needs."""
+    taken = {c.lower() for c in df.columns}
+    for name in names:
+        for column in [c for c in df.columns if c.lower() == name.lower()]:
+            new = f"source_{column}"
+            while new.lower() in taken:
+                new = f"source_{new}"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(column, new)
+    return df

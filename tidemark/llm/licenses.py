@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.lineage import cut
+from tidemark.llm.common import set_aside
 
 HEADER_LEAST, FILE_LEAST = 0.6, 0.6
 # A full text in a file of another name must come closer, as short code below a long header is no licence file.
@@ -170,21 +171,30 @@ def ancestors(folder: Column) -> Column:
         i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("above")))
 
 
+RESULTS = ["own_license", "own_score", "own_kind", "license", "inherited_from"]
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """``files`` without their text, with their own licence, the licence that holds, and where it comes from."""
+    """``files`` without their text, with their own licence, the licence that holds, and where it comes from. Columns of the same
+    names as results are returned as ``source_…``."""
+    files = set_aside(files, RESULTS)
     # Texts are read once; what is left of a file is a few short columns, written out because three steps read it.
-    own = cut(own_licenses(files, text, templates, path).drop(text).withColumn("folder", directory(F.col(path))))
-    holders = own.where("own_kind = 'file' AND folder IS NOT NULL").groupBy(F.col("folder").alias("above")).agg(
+    folder = F.col("__folder")
+    own = cut(own_licenses(files, text, templates, path).drop(text).withColumn("__folder", directory(F.col(path))))
+    holders = own.where((F.col("own_kind") == "file") & folder.isNotNull()).groupBy(folder.alias("above")).agg(
         F.max_by("own_license", F.struct("own_score", "own_license")).alias("dir_license"))
-    folders = own.select("folder").where("folder IS NOT NULL").distinct()
-    each = folders.select("folder", F.inline(ancestors(F.col("folder"))))
-    nearest = each.join(holders, "above").groupBy("folder").agg(
-        F.max_by(F.struct("dir_license", "above"), "depth").alias("nearest"))
-    own_first = F.coalesce("own_license", F.col("nearest")["dir_license"])
-    origin = F.when(F.col("own_license").isNull(), F.col("nearest")["above"])
+    folders = own.select("__folder").where(folder.isNotNull()).distinct()
+    each = folders.select("__folder", F.inline(ancestors(folder)))
+    nearest = each.join(holders, "above").groupBy("__folder").agg(
+        F.max_by(F.struct("dir_license", "above"), "depth").alias("__nearest"))
+    own_first = F.coalesce("own_license", F.col("__nearest")["dir_license"])
+    origin = F.when(F.col("own_license").isNull(), F.col("__nearest")["above"])
     # A directory may hold a third of all files: its one row is copied for each of SPREAD keys, among which its files are dealt.
-    copies = nearest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    dealt = own.withColumn("part", F.pmod(F.xxhash64(path), F.lit(SPREAD)).cast("int"))
-    return dealt.join(copies, ["folder", "part"], "left").select(
+    # Files without a path inherit nothing and take no part.
+    copies = nearest.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = own.where(folder.isNotNull()).withColumn("__part", F.pmod(F.xxhash64(path), F.lit(SPREAD)).cast("int"))
+    alone = own.where(folder.isNull()).withColumn("__nearest", F.lit(None).cast(nearest.schema["__nearest"].dataType))
+    joined = dealt.join(copies, ["__folder", "__part"], "left").drop("__part")
+    return joined.unionByName(alone).select(
         *[c for c in files.columns if c != text], "own_license", "own_score", "own_kind", own_first.alias("license"),
         origin.alias("inherited_from"))

@@ -154,7 +154,7 @@ def op7(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 1, "user", said), (-7, 2, "assistant", said)], rows.schema)
     shown = chat.format_conversations(rows.unionByName(extra))
     turns = chat.read_back(F.col("formatted"))
-    under = chat.loss_text(F.col("turns"))
+    under = F.array_join(chat.under_mask(F.col("formatted"), F.col("loss_runs")), "")
     return shown.withColumn("turns", turns).select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), chat.digest(F.col("turns")).alias("turns_sha256"),
         F.length(under).cast("bigint").alias("loss_chars"), F.sha2(under.cast("binary"), 256).alias("loss_sha256"),

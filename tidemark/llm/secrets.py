@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import scratch
+from tidemark.llm.common import set_aside
 
 # Kind, Java pattern, the group that holds the secret, its least length. Order is the order of kinds.
 RULES = [
@@ -89,15 +90,20 @@ def update(versions: DataFrame, folder: str, text: str = "text", rules=RULES) ->
 
 
 def secrets(versions: DataFrame, folder: str | None = None, text: str = "text", rules=RULES) -> DataFrame:
-    """``versions`` without its text, with ``blob`` and ``findings``, one row per input row.
+    """``versions`` without its text, with ``blob`` and ``findings``, one row per input row; columns of those names are
+    returned as ``source_…``. Only blobs with findings are joined, so rows of a blob without any, such as the empty one,
+    however many, match nothing.
 
     ``folder`` is the ledger; without one a new ledger is started in the shared folder of the session.
     """
     folder = folder or scratch(versions.sparkSession, "blob-ledger")
     ledger = update(versions, folder, text, rules)
-    other = [c for c in versions.columns if c not in (text, "blob", "findings")]
+    versions = set_aside(versions, [c for c in ("blob", "findings") if c != text])
+    other = [c for c in versions.columns if c != text]
     paths = versions.select(*other, blob_id(F.col(text)).alias("blob"))
-    return paths.join(ledger.select("blob", "findings"), "blob").select(*other, "blob", "findings")
+    found = ledger.where(F.size("findings") > 0).select("blob", "findings")
+    none = F.array().cast(found.schema["findings"].dataType)
+    return paths.join(found, "blob", "left").select(*other, "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def described(findings: Column) -> Column:
