@@ -19,15 +19,23 @@ from tidemark.operators.sessions import chunk_of, number_spans
 from tidemark.schema import NIL_UUID, SHOP, row_hash
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-# Every field is read as text: senders mix numbers, strings and objects.
-TRACK = ("tenant_id shop_id client_id name event event_id eventId device_id session_id customer_id profileId profile_id firstName lastName email revenue value currency "
-         "product_id cart_id order_id transaction_id items ecommerce user_data path referrer ip user_agent properties timestamp").split()
-USER = "email phone first_name last_name city state zip_code country_code external_id fbp fbc client_ip_address client_user_agent".split()
+# Fields of a request and of its user data. Every field is read as text: senders mix numbers, strings and objects.
+TRACK = (
+    "tenant_id", "shop_id", "client_id", "name", "event", "event_id", "eventId", "device_id", "session_id", "customer_id", "profileId", "profile_id",
+    "firstName", "lastName", "email", "revenue", "value", "currency", "product_id", "cart_id", "order_id", "transaction_id", "items", "ecommerce",
+    "user_data", "path", "referrer", "ip", "user_agent", "properties", "timestamp",
+)
+USER = (
+    "email", "phone", "first_name", "last_name", "city", "state", "zip_code", "country_code", "external_id", "fbp", "fbc", "client_ip_address",
+    "client_user_agent",
+)
 ITEM_DDL = ("array<struct<item_id:string,item_name:string,price:double,price_cents:bigint,quantity:bigint,category:string,item_category:string,"
             "item_category2:string,item_brand:string,item_variant:string,coupon:string>>")
-# Request columns next to the body; absent ones are taken as null.
-HEADERS = ("cf_connecting_ip x_forwarded_for x_real_ip remote_addr user_agent origin header_shop_id header_tenant_id query_shop_id query_tenant_id cf_ipcountry x_country_code "
-           "x_country received_at").split()
+# Request columns next to the body; absent ones are taken as null.
+HEADERS = (
+    "cf_connecting_ip", "x_forwarded_for", "x_real_ip", "remote_addr", "user_agent", "origin", "header_shop_id", "header_tenant_id", "query_shop_id",
+    "query_tenant_id", "cf_ipcountry", "x_country_code", "x_country", "received_at",
+)
 
 _TEXT_MAP = "map<string,string>"
 
@@ -282,7 +290,11 @@ def geo_fallback(ev: DataFrame, country: str = "", city: str = "") -> DataFrame:
 
 # --- replay ----------------------------------------------------------------------------------
 
-REPLAY = ("shop_id shopId tenant_id tenantId session_id chunk_index chunkIndex events_count eventsCount is_full_snapshot isFullSnapshot started_at startedAt ended_at endedAt payload").split()
+# Fields of a replay envelope, in both spellings.
+REPLAY = (
+    "shop_id", "shopId", "tenant_id", "tenantId", "session_id", "chunk_index", "chunkIndex", "events_count", "eventsCount", "is_full_snapshot",
+    "isFullSnapshot", "started_at", "startedAt", "ended_at", "endedAt", "payload",
+)
 
 
 def replay_chunks(raw: DataFrame) -> DataFrame:

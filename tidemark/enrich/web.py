@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -109,12 +110,15 @@ PHONES = (
 )
 # Model codes of mobile devices and tablets, and keywords of either.
 SAMSUNG_PHONE, SAMSUNG_TABLET, LG_PHONE = r"sm-[abdefgjmnrwz][0-9]+", r"sm-t[0-9]+", r"lg-[a-z0-9]+"
-MOBILE = ("avantgo|bada/|blackberry|blazer|compal|elaine|fennec|hiptop|iemobile|iphone|ipod|iris|kindle|lge |maemo|midp|mmp|netfront|opera mobi|opera mini|palm|phone|pixi/|pre/|"
-          "plucker|pocket|psp|series40|series60|symbian|treo|up.browser|up.link|vodafone|wap|windows ce|xda|xiino")
+MOBILE = (
+    "avantgo", "bada/", "blackberry", "blazer", "compal", "elaine", "fennec", "hiptop", "iemobile", "iphone", "ipod", "iris", "kindle", "lge ",
+    "maemo", "midp", "mmp", "netfront", "opera mobi", "opera mini", "palm", "phone", "pixi/", "pre/", "plucker", "pocket", "psp", "series40",
+    "series60", "symbian", "treo", "up.browser", "up.link", "vodafone", "wap", "windows ce", "xda", "xiino",
+)
 MOBILE_WORDED = r"(android|bb\d+|meego).+mobile|mobile.+firefox"
-TABLET = "tablet|ipad|xoom|sch-i800|kindle|silk|playbook"
-# Words without which no phone pattern can match; they are looked for first because that is cheap.
-PHONE_WORDS = "redmi|poco|mi|galaxy|huawei|honor|oppo|vivo|iqoo|oneplus|one|pixel|realme|moto|nokia|xperia|nothing"
+TABLET = ("tablet", "ipad", "xoom", "sch-i800", "kindle", "silk", "playbook")
+# The word each phone pattern begins with: without one of them no pattern can match, and finding them is cheap.
+PHONE_WORDS = tuple(dict.fromkeys(re.match(r"[a-z]+", p).group() for p in PHONES))
 # Brands by pattern, the first match counts.
 BRANDS = (
     (r"xiaomi|redmi|poco", "Xiaomi"), (r"samsung|galaxy", "Samsung"), (r"huawei", "Huawei"), (r"honor", "Honor"), (r"oppo", "OPPO"), (r"vivo|iqoo", "Vivo"),
@@ -137,6 +141,10 @@ def _matches(lower: Column, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [lower.contains(word) for word in pattern.split("|")])
 
 
+def _words(lower: Column, words: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [lower.contains(word) for word in words])
+
+
 def _any(lower: Column, patterns: Sequence[str]) -> Column:
     return lower.rlike("|".join(f"({p})" for p in patterns))
 
@@ -158,13 +166,13 @@ def device_type(ua: Column, model: Column | None = None, legacy_prefixes: Sequen
     """mobile, tablet or desktop. Known phone models decide first, then model codes, keywords and, last, Android. ``legacy_prefixes`` are
     patterns for the first four characters of feature-phone agents."""
     lower, named = F.lower(ua), F.lower(F.coalesce(model if model is not None else app_field(ua, "Model"), F.lit("")))
-    phone = ((named != "") & _any(named, PHONES)) | (_matches(lower, PHONE_WORDS) & _any(lower, PHONES))
+    phone = ((named != "") & _any(named, PHONES)) | (_words(lower, PHONE_WORDS) & _any(lower, PHONES))
     old = _any(F.substring(lower, 1, 4), legacy_prefixes) if legacy_prefixes else F.lit(False)
     worded = lower.contains("mobile") & lower.rlike(MOBILE_WORDED)
     return (F.when(phone | (lower.contains("sm-") & lower.rlike(SAMSUNG_PHONE)), F.lit("mobile"))
             .when(lower.contains("sm-t") & lower.rlike(SAMSUNG_TABLET), F.lit("tablet"))
-            .when((lower.contains("lg-") & lower.rlike(LG_PHONE)) | _matches(lower, MOBILE) | worded | old, F.lit("mobile"))
-            .when(_matches(lower, TABLET), F.lit("tablet"))
+            .when((lower.contains("lg-") & lower.rlike(LG_PHONE)) | _words(lower, MOBILE) | worded | old, F.lit("mobile"))
+            .when(_words(lower, TABLET), F.lit("tablet"))
             .when(lower.contains("android") & ~lower.contains("mobile"), F.lit("mobile")).otherwise(F.lit("desktop")))
 
 
