@@ -27,36 +27,70 @@ def points(ev: DataFrame) -> DataFrame:
 
 # --- greedy merge ----------------------------------------------------------------------------
 
-def _merge(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
-    """Largest first, each point takes in all later ones within the radius."""
-    lat, long, count = pdf["lat"].to_numpy(), pdf["long"].to_numpy(), pdf["count"].to_numpy().copy()
-    left, seeds = pdf.index.to_numpy() * 0 == 0, []
-    for i in range(len(pdf)):
-        if left[i]:
-            near = left & (((lat - lat[i]) ** 2 + (long - long[i]) ** 2) ** 0.5 <= radius)
-            near[: i + 1] = False
-            count[i] += count[near].sum()
-            left[near] = False
-            seeds.append(i)
-    return pdf.iloc[seeds].assign(count=count[seeds])
-
-
-def adaptive_clusters(pts: DataFrame, target: int = 500, most: int = 5000) -> DataFrame:
-    """Merge the ``most`` busiest points of each shop by growing radii until at most ``target`` are left; if the widest is not enough, the
-    busiest ``target`` points. The input limit is the report's own, so a shop's group has a fixed size and fits one task."""
-    busiest = top_k(pts, SHOP, [F.desc("count"), F.col("country"), F.col("city"), F.col("lat"), F.col("long")], most)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["count", "country", "city", "lat", "long"], ascending=[False, True, True, True, True]).reset_index(drop=True)
-        if len(pdf) <= target:
-            return pdf
-        for radius in MERGE_RADII:
-            merged = _merge(pdf, radius)
-            if len(merged) <= target:
-                return merged
-        return pdf.head(target)
-
-    return busiest.groupBy(*SHOP).applyInPandas(cluster, busiest.schema)
+# Cells around one whose points can lie within the radius, for cells that are as wide across as the radius: none is more
+# than two away, and the four corners of that square are too far.
+_AROUND = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
+
+
+def greedy_seeds(pts: DataFrame, by: list[str]) -> DataFrame:
+    """The seeds (*by, seed, _lat, _long) of the merge that takes the points in order of ``rank`` and gives each one that is left all
+    later points within ``radius`` degrees. ``pts`` has *by, rank, lat, long, radius; the ranks of one group are distinct.
+
+    A point is a seed if no earlier one is within the radius of it, and out once a seed is. Any two points of a cell are within
+    the radius, so of a cell only its first open point can become a seed: every round takes those that no earlier open point
+    of the cells around them blocks, all at once, and closes what lies within the radius of one. Each round compares a point with at
+    most 21 others, and the first open point of a group is never blocked, so the rounds end.
+    """
+    side = F.col("radius") / F.lit(math.sqrt(2))
+    cell = [F.floor(F.col("lat") / side).alias("_i"), F.floor(F.col("long") / side).alias("_j")]
+    where, shifts = [*by, "_i", "_j"], F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])
+    near = F.sqrt((F.col("lat") - F.col("_lat")) ** 2 + (F.col("long") - F.col("_long")) ** 2) <= F.col("radius")
+
+    def around(seeds: DataFrame) -> DataFrame:
+        cells = seeds.withColumn("_s", F.explode(shifts))
+        return cells.select(*by, (F.col("_i") + F.col("_s.i")).alias("_i"), (F.col("_j") + F.col("_s.j")).alias("_j"), "seed", "_lat", "_long")
+
+    left, found = cut(pts.select(*by, "rank", "lat", "long", "radius", *cell)), None
+    while not left.isEmpty():
+        first = left.groupBy(*where).agg(F.min(F.struct("rank", "lat", "long")).alias("f"))
+        first = cut(first.select(*where, F.col("f.rank").alias("seed"), F.col("f.lat").alias("_lat"), F.col("f.long").alias("_long")))
+        blocked = left.join(around(first), where).where(near & (F.col("rank") < F.col("seed"))).select(*by, "seed").distinct()
+        seeds = cut(first.join(blocked, [*by, "seed"], "left_anti"))
+        closed = left.join(around(seeds), where).where(near).select(*by, "rank").distinct()
+        left = cut(left.join(closed, [*by, "rank"], "left_anti"))
+        found = seeds if found is None else found.unionByName(seeds)
+    return pts.select(*by, F.col("rank").alias("seed"), F.col("lat").alias("_lat"), F.col("long").alias("_long")).limit(0) if found is None else found.drop("_i", "_j")
+
+
+def adaptive_clusters(pts: DataFrame, target: int = 500) -> DataFrame:
+    """Merge each shop's points by growing radii until at most ``target`` are left: the busiest point takes in all within the radius,
+    then the busiest of the others, and so on. If the widest radius is not enough, the busiest ``target`` points. Ties are in order of
+    country, city, latitude and longitude.
+
+    All radii are merged at the same time and the first that suffices is taken; a shop with few points is left alone.
+    """
+    rank = F.struct((-F.col("count")).alias("least"), "country", "city", "lat", "long")
+    pts = cut(pts.withColumn("rank", rank))
+    many = pts.groupBy(*SHOP).count().where(F.col("count") > target).select(*SHOP)
+    radii = F.explode(F.array(*map(F.lit, MERGE_RADII)))
+    tried = cut(pts.join(many, SHOP, "left_semi").withColumn("radius", radii))
+    by = [*SHOP, "radius"]
+    seeds = cut(greedy_seeds(tried, by))
+    enough = seeds.groupBy(*by).count().where(F.col("count") <= target).groupBy(*SHOP).agg(F.min("radius").alias("radius"))
+    few = pts.join(many, SHOP, "left_anti")
+    hopeless = top_k(pts.join(many, SHOP, "left_semi").join(enough, SHOP, "left_anti"), SHOP, ["rank"], target)
+    # Each point goes to the first seed within the radius; a seed is its own.
+    side = F.col("radius") / F.lit(math.sqrt(2))
+    near = F.sqrt((F.col("lat") - F.col("_lat")) ** 2 + (F.col("long") - F.col("_long")) ** 2) <= F.col("radius")
+    place = lambda lat, long: [F.floor(F.col(lat) / side).alias("_i"), F.floor(F.col(long) / side).alias("_j")]
+    chosen = seeds.join(enough, by).select("*", *place("_lat", "_long"), F.explode(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])).alias("_s"))
+    chosen = chosen.select(*by, (F.col("_i") + F.col("_s.i")).alias("_i"), (F.col("_j") + F.col("_s.j")).alias("_j"), "seed", "_lat", "_long")
+    members = tried.join(enough, by).select("*", *place("lat", "long")).join(chosen, [*by, "_i", "_j"]).where(near)
+    own = members.groupBy(*SHOP, "rank").agg(F.min("seed").alias("seed"), F.first("count").alias("count"))
+    merged = own.groupBy(*SHOP, "seed").agg(F.sum("count").alias("count")).select(*SHOP, "seed.country", "seed.city", "seed.long", "seed.lat", "count")
+    columns = merged.columns
+    return merged.unionByName(few.select(columns)).unionByName(hopeless.select(columns))
 
 
 # --- distance clusters -----------------------------------------------------------------------

@@ -36,7 +36,19 @@ def _(t):
     return _pts(t)
 
 
-@query("map_adaptive_clusters")
+# One step takes the first point that is left and all within the radius of it.
+_DEG = "sqrt((p.lat - remaining[1].lat) ** 2 + (p.long - remaining[1].long) ** 2) <= r"
+_MERGES = ["""ranked AS (SELECT tenant_id, shop_id, list({'country': country, 'city': city, 'long': long, 'lat': lat, 'count': count} ORDER BY count DESC, country, city, lat, long) AS pts
+  FROM pts GROUP BY ALL)""", f"""steps AS (SELECT tenant_id, shop_id, r, pts AS remaining, pts[1] AS seed, 0::hugeint AS got FROM ranked, (VALUES (0.5::double), (1), (3), (10)) v(r) WHERE len(pts) > 20
+  UNION ALL SELECT tenant_id, shop_id, r, list_filter(remaining, lambda p: NOT ({_DEG})), remaining[1],
+    list_sum(list_transform(list_filter(remaining, lambda p: {_DEG}), lambda p: p.count)) FROM steps WHERE len(remaining) > 0)""",
+           "sized AS (SELECT shop_id, r FROM steps WHERE got > 0 GROUP BY ALL HAVING count(*) <= 20)", "enough AS (SELECT shop_id, min(r) AS r FROM sized GROUP BY ALL)"]
+
+
+@query("map_adaptive_clusters", sql("""
+SELECT tenant_id, shop_id, seed.country, seed.city, seed.long, seed.lat, cast(got AS bigint) AS count FROM steps JOIN enough USING (shop_id, r) WHERE got > 0
+UNION ALL SELECT tenant_id, shop_id, p.country, p.city, p.long, p.lat, p.count
+  FROM (SELECT tenant_id, shop_id, unnest(pts[:20]) AS p FROM ranked WHERE shop_id NOT IN (SELECT shop_id FROM enough))""", _SPREAD, *_MERGES))
 def _(t):
     return G.adaptive_clusters(_spread(t), target=20)
 
