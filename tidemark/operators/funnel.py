@@ -1,10 +1,10 @@
 """Ordered funnels within a time window.
 
 A chain starts at a first-step event and must finish inside the window, so it lies in the window-long
-tile that holds its start and the next one. Every event is therefore placed in its own tile and, for
-later steps, in the one before. Tiles are evaluated independently, with one shuffle and one sort for all
-steps, and a device's level is the best of its tiles. A device that sends a third of all events is
-split over as many tasks as there are tiles.
+tile that holds its start and the next one. Levels cut tiles further into slices: one shuffle and one sort reduce each
+slice of a device to a small table of what it does to chains, and the tables of two tiles, of fixed number and size, are
+composed. A device that sends most of all events is split over as many tasks as there are slices. Conversion series
+evaluate whole tiles instead, since they report every event.
 """
 
 from __future__ import annotations
@@ -21,50 +21,89 @@ from tidemark.schema import DEVICE, SHOP
 # The standard purchase funnel and its window.
 DEFAULT_STEPS = ("page_view", "add_to_cart", "checkout_step", "purchase")
 WINDOW_SECONDS = 86_400
+SLICES = 16
 
 
-def _chains(ev: DataFrame, steps: Sequence[str], keys: list[str], window: int, carry: list[str], exact_start: bool = False) -> DataFrame:
-    """Per step event and tile: ``_m1 … _mn``, the start of the newest chain that reaches each step at this event.
+def _chains(ev: DataFrame, steps: Sequence[str], keys: list[str], window: int, carry: list[str]) -> DataFrame:
+    """Per step event: ``_m1 … _mn``, the start of the newest chain that reaches each step at this event.
 
     Step k is reached when some earlier event holds a chain of k − 1 steps that began at most a window ago;
-    the newest such chain is the only one worth keeping, hence a running maximum per step.
-
-    Levels need each start only in its own tile. With ``exact_start`` starts are copied to the tile before as well
-    and each event is reported once, from the tile that holds a full window before it.
+    the newest such chain is the only one worth keeping, hence a running maximum per step. Every event is placed in its
+    own tile and the one before, and reported once, from the tile that holds a full window before it.
     """
     width = window * 1_000_000
     at = micros(F.col("created_at"))
     own = slot(at, width)
-    later = F.col("name").isin(*(steps if exact_start else steps[1:]))
-    tiles = F.when(later, F.array(own, own - 1)).otherwise(F.array(own))
     rows = (ev.where(F.col("name").isin(*steps)).select(*keys, *carry, "name", "id", "created_at", at.alias("_at"), own.alias("_own"),
-                                                        F.explode(tiles).alias("_tile")))
+                                                        F.explode(F.array(own, own - 1)).alias("_tile")))
     before = Window.partitionBy(*keys, "_tile").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    first = (F.col("name") == steps[0]) & (F.lit(exact_start) | (F.col("_own") == F.col("_tile")))
-    rows = rows.withColumn("_m1", F.when(first, F.col("_at")))
+    rows = rows.withColumn("_m1", F.when(F.col("name") == steps[0], F.col("_at")))
     for k, step in enumerate(steps[1:], start=2):
         start = F.max(f"_m{k - 1}").over(before)
         rows = rows.withColumn(f"_s{k}", start).withColumn(
             f"_m{k}", F.when((F.col("name") == step) & (F.col("_at") <= F.col(f"_s{k}") + width), F.col(f"_s{k}"))).drop(f"_s{k}")
-    return rows.where(F.col("_tile") == F.col("_own") - 1) if exact_start else rows
+    return rows.where(F.col("_tile") == F.col("_own") - 1)
+
+
+def _slices(ev: DataFrame, steps: list[str], keys: list[str], window: int, carry: list[str]) -> DataFrame:
+    """What each slice of a key's time does to chains, whatever came before it: ``_i1 … _in``, the newest start within the slice of a
+    chain that reaches the step there, and ``_tjk``, the earliest instant at which a chain that had reached step j before the slice has
+    reached step k. A slice is shorter than the window, so chains that begin in it are in time.
+    """
+    at, n = micros(F.col("created_at")), len(steps)
+    rows = ev.where(F.col("name").isin(*steps)).select(*keys, *carry, "name", "id", "created_at", at.alias("_at"),
+                                                       slot(at, window * 1_000_000 // SLICES).alias("_slice"))
+    before = Window.partitionBy(*keys, "_slice").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_i1", F.when(F.col("name") == steps[0], F.col("_at")))
+    for k in range(2, n + 1):
+        here = F.col("name") == steps[k - 1]
+        chains = {f"_i{k}": F.when(here, F.max(f"_i{k - 1}").over(before)), f"_t{k - 1}_{k}": F.when(here, F.col("_at"))}
+        for j in range(1, k - 1):
+            chains[f"_t{j}_{k}"] = F.when(here & F.min(f"_t{j}_{k - 1}").over(before).isNotNull(), F.col("_at"))
+        rows = rows.withColumns(chains)
+    aggs = [F.max(f"_i{k}").alias(f"_i{k}") for k in range(1, n + 1)]
+    aggs += [F.min(f"_t{j}_{k}").alias(f"_t{j}_{k}") for k in range(2, n + 1) for j in range(1, k)]
+    if carry:
+        aggs.append(F.min(F.struct("created_at", "id", *carry)).alias("_first"))
+    return rows.groupBy(*keys, "_slice").agg(*aggs)
 
 
 def funnel_levels(ev: DataFrame, steps: Sequence[str] = DEFAULT_STEPS, window: int = WINDOW_SECONDS, period: Period | None = None,
                   keys: list[str] = DEVICE, breakdown: str | None = None) -> DataFrame:
     """Deepest step each key reached, 0 included; ``keys`` may end in a device, profile or session.
-    With a breakdown, the value is the one on the key's first step event."""
-    steps = list(steps)
+    With a breakdown, the value is the one on the key's first step event.
+
+    Slices are composed in order, first those of the tile in which a chain starts, then those of the next one, which start nothing:
+    a chain is known by its newest start, and a slice carries it on if it reaches the later step within the window of that start.
+    """
+    steps, n, width = list(steps), len(steps), window * 1_000_000
     if period is not None:
         ev = ev.where(period.current(F.col("created_at")))
-    carry = [breakdown] if breakdown else []
-    rows = _chains(ev, steps, keys, window, carry)
-    level = F.lit(0)
-    for k in range(1, len(steps) + 1):
-        level = F.when(F.col(f"_m{k}").isNotNull(), F.lit(k)).otherwise(level)
-    aggs = [F.max(level).alias("level")]
+    slices = _slices(ev, steps, keys, window, [breakdown] if breakdown else [])
+    tile = F.floor(F.col("_slice") / SLICES)
+    moves = [f"_t{j}_{k}" for k in range(2, n + 1) for j in range(1, k)]
+    content = F.struct("_slice", *[f"_i{k}" for k in range(1, n + 1)], *moves)
+    placed = slices.select(*keys, *(["_first"] if breakdown else []), content.alias("_s"), tile.alias("_own"),
+                           F.explode(F.array(tile, tile - 1)).alias("_tile"))
+    folded = placed.groupBy(*keys, "_tile").agg(
+        F.array_sort(F.collect_list(F.struct("_s", (F.col("_own") == F.col("_tile")).alias("own")))).alias("_ss"),  # 2 SLICES at most
+        *([F.min("_first").alias("_first")] if breakdown else []))
+
+    def step(m: Column, x: Column) -> Column:
+        s = x["_s"]
+        new = []
+        for k in range(1, n + 1):
+            carried = [F.when(s[f"_t{j}_{k}"] <= m[f"m{j}"] + width, m[f"m{j}"]) for j in range(1, k)]
+            new.append(F.greatest(m[f"m{k}"], F.when(x["own"], s[f"_i{k}"]), *carried).alias(f"m{k}"))
+        return F.struct(*new)
+
+    none = F.struct(*[F.lit(None).cast("bigint").alias(f"m{k}") for k in range(1, n + 1)])
+    level = lambda m: F.coalesce(*[F.when(m[f"m{k}"].isNotNull(), F.lit(k)) for k in range(n, 0, -1)], F.lit(0))
+    levels = folded.withColumn("_level", F.aggregate("_ss", none, step, level))
+    aggs = [F.max("_level").alias("level")]
     if breakdown:
-        aggs.append(F.min(F.struct("created_at", "id", breakdown))[breakdown].alias("breakdown"))
-    return rows.groupBy(*keys).agg(*aggs)
+        aggs.append(F.min("_first")[breakdown].alias("breakdown"))
+    return levels.groupBy(*keys).agg(*aggs)
 
 
 def funnel_result(levels: DataFrame, steps: Sequence[str], by: list[str] = SHOP) -> DataFrame:
@@ -123,7 +162,7 @@ def conversion_series(ev: DataFrame, first: str, second: str, period: Period, in
     once per bucket; a conversion belongs to its newest start."""
     carry = [breakdown] if breakdown else []
     by = SHOP + carry
-    rows = _chains(ev.where(period.current(F.col("created_at"))), [first, second], DEVICE, window, carry, exact_start=True)
+    rows = _chains(ev.where(period.current(F.col("created_at"))), [first, second], DEVICE, window, carry)
 
     def mark(col: str, converted: bool) -> Column:
         return F.when(F.col(col).isNotNull(), F.struct(bucket(from_micros(F.col(col)), interval).alias("bucket"), F.lit(converted).alias("hit")))
