@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.predicates import cart_add, order_event, overview_view, rollup_view
 from tidemark.functions.timeutil import micros, whole_seconds
 from tidemark.operators.scoring import stream_scores
 from tidemark.operators.sessions import session_key
+from tidemark.operators.sketches import BITS, visitor_sketch
 from tidemark.schema import DEVICE, SHOP
 
 
@@ -26,18 +28,21 @@ def unique_events(ev: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return _timed(ev, delay).dropDuplicatesWithinWatermark([*SHOP, "id"])
 
 
-def hourly_rollup(ev: DataFrame, delay: str = "10 minutes", rsd: float = 0.02) -> DataFrame:
-    """Complete hours per shop. Distinct counts are sketches: exact ones would keep every visitor in state."""
+def hourly_rollup(ev: DataFrame, delay: str = "10 minutes", bits: int = BITS) -> DataFrame:
+    """Complete hours per shop. Distinct counts are sketches: exact ones would keep every visitor in state. The sketch itself is a
+    column, so stored hours merge to longer periods with ``operators.sketches.merged``, together with those of batch runs."""
     out = _timed(ev, delay).groupBy(*SHOP, F.window("event_time", "1 hour").alias("w")).agg(
-        F.approx_count_distinct("device_id", rsd).alias("unique_visitors"), F.count_if(rollup_view()).alias("pageviews"), F.count_if(cart_add()).alias("cart_adds"),
+        visitor_sketch(bits).alias("visitor_sketch"), F.count_if(rollup_view()).alias("pageviews"), F.count_if(cart_add()).alias("cart_adds"),
         F.count_if(order_event()).alias("purchases"), F.sum(F.coalesce("revenue_usd", "revenue", F.lit(0))).cast("bigint").alias("gross_revenue"))
-    return out.select(*SHOP, F.col("w.start").cast("timestamp_ntz").alias("hour"), "unique_visitors", "pageviews", "cart_adds", "purchases", "gross_revenue")
+    return out.select(*SHOP, F.col("w.start").cast("timestamp_ntz").alias("hour"), F.hll_sketch_estimate("visitor_sketch").alias("unique_visitors"), "visitor_sketch",
+                      "pageviews", "cart_adds", "purchases", "gross_revenue")
 
 
-def live_counts(ev: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes", rsd: float = 0.02) -> DataFrame:
+def live_counts(ev: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes", bits: int = BITS) -> DataFrame:
     """Events and visitors per shop over sliding windows."""
-    out = _timed(ev, delay).groupBy(*SHOP, F.window("event_time", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("device_id", rsd).alias("visitors"))
-    return out.select(*SHOP, F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events", "visitors")
+    out = _timed(ev, delay).groupBy(*SHOP, F.window("event_time", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("events"), visitor_sketch(bits).alias("s"))
+    return out.select(*SHOP, F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events",
+                      F.hll_sketch_estimate("s").alias("visitors"))
 
 
 _FIRST = ["customer_id", "origin", "referrer", "referrer_name", "referrer_type", "os", "browser", "device", "country", "city"]
@@ -60,51 +65,90 @@ def closed_sessions(ev: DataFrame, timeout: str = "30 minutes", delay: str = "10
 
 # --- running shopper features ----------------------------------------------------------------
 
-_STATE = "first bigint, last bigint, views bigint, carts bigint, usd bigint, products array<string>, viewed bigint"
 VIEWS, ORDERS = ("page_view", "view_product"), ("purchase", "order_completed")
+_SNAPSHOT = ["id", "created_at", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase"]
+ROWS = 10_000
+
+
+class RunningFeatures(StatefulProcessor):
+    """One device's counters, and for each product the run of views in which it was last seen.
+
+    A run of views ends when none follows within ``ttl``; numbering runs makes forgetting one a matter of the next number,
+    however many products it held. A timer at the end of the idle time removes everything. A device's rows of a micro-batch
+    are put in order as columns, looked at once each and handed on in blocks.
+    """
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "first bigint, last bigint, views bigint, carts bigint, usd bigint, distinct bigint, viewed bigint, run bigint, timer bigint")
+        self.seen = handle.getMapState("seen", "product string", "run bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["at", "id", "created_at", "name", "product_id", "usd"]
+        table = pa.concat_tables([pa.Table.from_pandas(frame[columns], preserve_index=False) for frame in rows])
+        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
+        state = self.totals.get() if self.totals.exists() else None
+        first, last, views, carts, usd, distinct, viewed, run, timer = state or (None, None, 0, 0, 0, 0, None, 0, None)
+        known: dict[str, int] = {}  # runs of the products met in this micro-batch
+        for block in table.to_batches(max_chunksize=ROWS):
+            out = []
+            for e in zip(*(block.column(c).to_pylist() for c in columns)):
+                at, id_, created, name, product, value = e
+                if last is None or at - last > self.ttl:
+                    first, views, carts, usd, distinct, viewed, run = at, 0, 0, 0, 0, None, run + 1
+                if viewed is not None and at - viewed > self.ttl:
+                    distinct, viewed, run = 0, None, run + 1
+                if name in VIEWS:
+                    views += 1
+                    if product:
+                        viewed = at
+                        if product not in known:
+                            before = self.seen.getValue((product,))
+                            known[product] = before[0] if before else 0
+                        if known[product] != run:
+                            known[product] = run
+                            distinct += 1
+                elif name == "add_to_cart":
+                    carts, usd = carts + 1, usd + value
+                elif name in ORDERS:
+                    carts, usd = 0, 0
+                last = max(at, last or at)
+                out.append((*key, id_, created, views, carts, usd, max(1, distinct), (last - first) // 1_000_000, name == "purchase"))
+            yield pd.DataFrame(out, columns=[*DEVICE, *_SNAPSHOT])
+        for product, seen in known.items():
+            if seen == run:  # earlier runs never count again
+                self.seen.updateValue((product,), (seen,))
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = max((last + self.ttl) // 1000, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(timer)
+        self.totals.update((first, last, views, carts, usd, distinct, viewed, run, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.totals.clear()
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def running_features(ev: DataFrame, ttl_seconds: int = 45 * 60, delay: str = "10 minutes") -> DataFrame:
     """Feature snapshot and scores after every event, from state kept per shop and device that lapses after the idle time.
 
-    A micro-batch brings a device's events in chunks; they are put in order by (time, id) before the state moves on, as in the batch operator.
-    Events are handed over in order across micro-batches as far as the source keeps a device's order.
+    Events of a micro-batch are put in order by (time, id) before the state moves on, as in the batch operator. Events are handed over
+    in order across micro-batches as far as the source keeps a device's order. The state lies in RocksDB, which this kind of state
+    needs: the session is set to it.
     """
+    ev.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     keys = [f.dataType.simpleString() for f in ev.select(*DEVICE).schema]
     id_type = ev.schema["id"].dataType.simpleString()
     out = ", ".join(f"{c} {t}" for c, t in zip(DEVICE, keys)) + (
         f", id {id_type}, created_at timestamp_ntz, views bigint, carts bigint, cart_value_usd bigint, distinct_products bigint, dwell_seconds bigint, has_purchase boolean")
-    ttl = ttl_seconds * 1_000_000
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, last, views, carts, usd, products, viewed = state.get if state.exists else (None, None, 0, 0, 0, [], None)
-        seen = set(products)
-        batch = pd.concat(list(frames)).sort_values(["at", "id"])
-        rows = []
-        for e in batch.itertuples(index=False):
-            at = int(e.at)
-            if last is None or at - last > ttl:
-                first, views, carts, usd, seen, viewed = at, 0, 0, 0, set(), None
-            if viewed is not None and at - viewed > ttl:
-                seen, viewed = set(), None
-            if e.name in VIEWS:
-                views += 1
-                if e.product_id:
-                    seen, viewed = seen | {str(e.product_id)}, at
-            elif e.name == "add_to_cart":
-                carts, usd = carts + 1, usd + int(e.usd)
-            elif e.name in ORDERS:
-                carts, usd = 0, 0
-            last = max(at, last or at)
-            rows.append((*key, e.id, e.created_at, views, carts, usd, max(1, len(seen)), (last - first) // 1_000_000, e.name == "purchase"))
-        state.update((first, last, views, carts, usd, sorted(seen), viewed))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[*DEVICE, "id", "created_at", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase"])
-
     rows = _timed(ev, delay).select(*DEVICE, "id", "created_at", "event_time", micros(F.col("created_at")).alias("at"), "name",
                                     F.coalesce(F.col("product_id").cast("string"), F.lit("")).alias("product_id"), F.coalesce("revenue_usd", F.lit(0)).cast("bigint").alias("usd"))
-    snapshots = rows.groupBy(*DEVICE).applyInPandasWithState(step, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    snapshots = rows.groupBy(*DEVICE).transformWithStateInPandas(RunningFeatures(ttl_seconds * 1_000_000), out, "append", "EventTime")
     return stream_scores(snapshots)
