@@ -75,17 +75,23 @@ def _summaries() -> list[Column]:
     ]
 
 
-def sessions(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
-    """One row per session: extent, entry and exit path, first-touch dimensions, counts and markers.
-
-    Events are reduced to chunk partials before the first shuffle; sessions are folded from partials.
-    """
-    partials = ev.groupBy(*DEVICE, chunk_of(F.col("created_at"), timeout).alias("_chunk")).agg(*_summaries())
-    folded = number_spans(partials, timeout).groupBy(*DEVICE, "_start").agg(
+def fold_spans(spans: DataFrame) -> DataFrame:
+    """Parts of sessions, which carry their session's ``_start``, as one part per session."""
+    return spans.groupBy(*DEVICE, "_start").agg(
         F.max("_hi").alias("_hi"), F.min("_first").alias("_first"), F.min("_in").alias("_in"), F.max("_out").alias("_out"),
         F.sum("events_count").alias("events_count"), F.sum("screen_views_count").alias("screen_views_count"),
         F.max("has_cart_add").alias("has_cart_add"), F.max("has_purchase").alias("has_purchase"),
         F.coalesce(F.sum("total_revenue_usd"), F.lit(0)).cast("bigint").alias("total_revenue_usd"))
+
+
+def folded_spans(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
+    """One part per session: events are reduced to chunk partials before the first shuffle and folded from those."""
+    partials = ev.groupBy(*DEVICE, chunk_of(F.col("created_at"), timeout).alias("_chunk")).agg(*_summaries())
+    return fold_spans(number_spans(partials, timeout))
+
+
+def session_rows(folded: DataFrame) -> DataFrame:
+    """Sessions from their folded parts."""
     start, end = from_micros(F.col("_start")), from_micros(F.col("_hi"))
     return folded.select(
         session_key(F.col("_start")).alias("session_id"), *DEVICE, start.alias("started_at"), end.alias("ended_at"),
@@ -95,6 +101,11 @@ def sessions(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
         "events_count", "screen_views_count", "has_cart_add", "has_purchase", "total_revenue_usd")
 
 
+def sessions(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
+    """One row per session: extent, entry and exit path, first-touch dimensions, counts and markers."""
+    return session_rows(folded_spans(ev, timeout))
+
+
 def inherit_referrer(ev: DataFrame, se: DataFrame) -> DataFrame:
     """Events with their session's first referrer; blanks of the first touch leave the event's own."""
     fields = ["referrer", "referrer_name", "referrer_type"]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.enrich.payload import replay_chunks, track_events
 from tidemark.operators.sessions import end_events, start_events
 from tidemark.schema import EVENT_DDL
+from tidemark.streaming.compaction import append, newest_before, note_progress
 
 FLUSH_INTERVAL = "2 seconds"
 
@@ -53,24 +53,13 @@ def write_kafka(ev: DataFrame, servers: str, topic: str, checkpoint: str):
             .option("topic", topic).option("checkpointLocation", checkpoint).trigger(processingTime=FLUSH_INTERVAL).start())
 
 
-def _newest(spark: SparkSession, path: str, before: int):
-    """Newest instant of the batches before one, or None."""
-    try:
-        rows = spark.read.schema("newest timestamp_ntz, batch int").parquet(f"{path}/progress").where(F.col("batch") < before)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return rows.agg(F.max("newest")).first()[0]
-
-
 def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, delay: timedelta = timedelta(minutes=10),
                  enrich: Callable[[DataFrame], DataFrame] | None = None):
     """Request bodies to the tables ``events``, ``late``, ``replay_chunks`` and ``refused``, a micro-batch at a time.
 
     Bodies are parsed once; the parsed rows are kept while the tables are written from them. ``enrich``, such as
-    :func:`tidemark.enrich.assemble.enriched` with its tables, is applied to the accepted ones. Events lie by month, as
-    :func:`tidemark.sources.tables.read_events` reads them, and by batch, so a batch that is run again after a failure replaces its own
+    :func:`tidemark.enrich.assemble.enriched` with its tables, is applied to the accepted ones. Tables lie by month and by batch
+    (:mod:`tidemark.streaming.compaction` reads and folds them), so a batch that is run again after a failure replaces its own
     output. Events older than ``delay`` behind the newest of earlier batches are stored and also listed in ``late``, since windowed
     operators on the same stream leave them out.
     """
@@ -79,15 +68,15 @@ def write_tables(raw: DataFrame, path: str, checkpoint: str, trigger: dict | Non
         parsed = track_events(batch).persist()
         accepted = parsed.where(F.col("status") == "accepted").drop("status")
         accepted = accepted if enrich is None else enrich(accepted)
-        newest = _newest(spark, path, number)
+        newest = newest_before(spark, path, number)
         late = accepted.where(F.lit(False) if newest is None else F.col("created_at") < F.lit(newest - delay))
-        months = accepted.withColumn("event_month", F.date_format("created_at", "yyyyMM").cast("int")).withColumn("batch", F.lit(number))
-        (months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_month", "batch").parquet(f"{path}/events"))
-        out = {"late": late, "refused": parsed.where(~F.col("status").isin("accepted", "crawler_accepted")).select("status", "name", "created_at"),
-               "replay_chunks": replay_chunks(batch).where(F.col("status") == "accepted").drop("status"),
-               "progress": accepted.agg(F.max("created_at").alias("newest"))}
-        for name, rows in out.items():
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        tables = {"events": accepted, "late": late,
+                  "refused": parsed.where(~F.col("status").isin("accepted", "crawler_accepted")).select("status", "name", "created_at"),
+                  "replay_chunks": replay_chunks(batch).where(F.col("status") == "accepted").drop("status")}
+        for name, rows in tables.items():
+            append(rows, path, name, number)
+        latest = accepted.agg(F.max("created_at")).first()[0]
+        note_progress(spark, path, number, max((x for x in (newest, latest) if x is not None), default=None))
         parsed.unpersist()
 
     return raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": FLUSH_INTERVAL})).start()
