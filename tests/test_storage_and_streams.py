@@ -200,10 +200,12 @@ def test_plans(spark, tables):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
 
-    top = plan(T.top_dimension(tables.evs, "country", MONTH))
-    assert "WindowGroupLimit" in top and "Partial" in top and "GreaterThanOrEqual(ts" in top
+    top = plan(T.top_dimension(tables.during(MONTH), "country", MONTH))
+    assert "WindowGroupLimit" in top and "Partial" in top and "GreaterThanOrEqual(created_at" in top
+    assert "event_month" in top.split("PartitionFilters: [")[1].split("]")[0]
+    # Events of a funnel are shuffled and sorted once, by device and slice; what follows are tables of slices.
     chain = plan(funnel(tables.ev, period=MONTH))
-    assert chain.count("_tile#") and chain.count("Sort [") == 1
+    assert chain.count("Sort [") == 1 and chain.count("_slice") and "GreaterThanOrEqual(ts" in chain
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         from tidemark.plans import QUERIES

@@ -119,13 +119,13 @@ def _explain_side(name, cond):
 @query("insight_explain_breakdowns", sql(f"""SELECT tenant_id, shop_id, col AS "column", value, current, baseline FROM ({_explain_side('current', _H)})
 FULL JOIN ({_explain_side('baseline', _P)}) USING (tenant_id, shop_id, col, value)""", f"px AS ({_EXPLAIN})"))
 def _(t):
-    return I.explain_breakdowns(t.evs, HALF)
+    return I.explain_breakdowns(t.during(HALF), HALF)
 
 
 @query("insight_explain_series", sql(" UNION ALL ".join(f"""SELECT tenant_id, shop_id, '{p}' AS period, date_trunc('day', created_at) AS date, count(DISTINCT session_id) AS sessions,
   count(*) FILTER (name IN ('page_view', 'screen_view')) AS pageviews FROM evs WHERE {w} AND referrer_name = 'Google' GROUP BY ALL""" for p, w in (("current", _H), ("previous", _P)))))
 def _(t):
-    return I.explain_series(t.evs, HALF, "referrer_name", "Google")
+    return I.explain_series(t.during(HALF), HALF, "referrer_name", "Google")
 
 
 @query("insight_references", sql(_top("""SELECT tenant_id, shop_id, created_at AS date, 'note ' || id AS title FROM ev WHERE name = 'error'
@@ -144,7 +144,7 @@ JOIN (SELECT tenant_id, shop_id, cluster, arg_max(date, (zscore, sessions, date)
     """d AS (SELECT tenant_id, shop_id, date, cast(sum(n) OVER (PARTITION BY tenant_id, shop_id ORDER BY date) AS int) AS cluster FROM (
       SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY tenant_id, shop_id ORDER BY date) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS n FROM (SELECT DISTINCT tenant_id, shop_id, date FROM spikes)))"""))
 def _(t):
-    return I.referrer_spikes(t.evs, MONTH, threshold=1.5)
+    return I.referrer_spikes(t.during(MONTH), MONTH, threshold=1.5)
 
 
 # --- realtime: a February clock makes the day empty, a later one the week too ---

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import scratch
-from tidemark.functions.timeutil import Period, resolve_period
+from tidemark.functions.timeutil import Period, event_months, resolve_period
 from tidemark.operators.sessions import sessionize, sessions
 from tidemark.schema import configure
 from tidemark.sources import testdata
@@ -18,7 +20,9 @@ from tidemark.sources.tables import read_events, write_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str, str], str] = {}
+# Seconds the last build of each stored table took.
+BUILD_SECONDS: dict[str, float] = {}
 
 # The test events all fall in January 2024. A 12-hour session timeout gives them sessions of several events.
 AS_OF = datetime(2024, 1, 31)
@@ -55,20 +59,36 @@ class Tables:
         each report derives its table itself."""
         if not self.spark.conf.get("spark.checkpoint.dir", None):
             return getattr(self, f"computed_{name}")
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._version, name)
         try:
             return read(_STORED[key])
         except (KeyError, AnalysisException):  # not built yet, or cleaned away
-            path = scratch(self.spark, name)
+            path, begin = scratch(self.spark, name), time.perf_counter()
             build(path)
-            _STORED[key] = path
+            _STORED[key], BUILD_SECONDS[name] = path, time.perf_counter() - begin
             return read(path)
 
+    @cached_property
+    def _version(self) -> str:
+        """Changes with the files the stored tables are built from."""
+        files = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        return str(files.distinct().agg(F.count(F.lit(1)), F.sum("file_size"), F.max("file_modification_time")).first())
+
     @cached_property
     def evs(self) -> DataFrame:
         """Canonical events with session ids, as stored by month."""
-        return self._stored("evs", lambda path: write_events(self.computed_evs, path),
-                            lambda path: read_events(self.spark, path).drop("event_month"))
+        return self._events(None)
+
+    def during(self, period: Period) -> DataFrame:
+        """``evs`` of the months that a period and the one before it touch; no other month's files are opened."""
+        months = event_months(Period(period.prev_start, period.end))
+        return self._events(months)
+
+    def _events(self, months: list[int] | None) -> DataFrame:
+        rows = self._stored("evs", lambda path: write_events(self.computed_evs, path), lambda path: read_events(self.spark, path))
+        if "event_month" not in rows.columns:  # sessionised by the query itself
+            return rows
+        return (rows if months is None else rows.where(F.col("event_month").isin(months))).drop("event_month")
 
     @cached_property
     def se(self) -> DataFrame:

@@ -71,7 +71,7 @@ def _(t):
 
 @query("funnel_by_session", _funnel_sql(_STEPS[:3], key="shop_id, session_id"))
 def _(t):
-    return U.funnel(t.evs, _STEPS[:3], MONTH, keys=[*SHOP, "session_id"])
+    return U.funnel(t.during(MONTH), _STEPS[:3], MONTH, keys=[*SHOP, "session_id"])
 
 
 @query("funnel_by_profile", _funnel_sql(_STEPS[:2], key="shop_id, profile_id", source="(SELECT *, coalesce(customer_id, device_id) AS profile_id FROM ev)"))
@@ -183,18 +183,18 @@ _GRAPH += ["total AS (SELECT tenant_id, shop_id, cast(sum(count) AS bigint) AS t
 
 @query("journey_paths", sql("SELECT * FROM prefix", _PATHS))
 def _(t):
-    return J.journey_paths(t.evs, MONTH, 4)
+    return J.journey_paths(t.during(MONTH), MONTH, 4)
 
 
 @query("journey_transitions", sql("SELECT * FROM moves", *_GRAPH))
 def _(t):
-    return J.journey_transitions(J.journey_paths(t.evs, MONTH, 4))[1]
+    return J.journey_transitions(J.journey_paths(t.during(MONTH), MONTH, 4))[1]
 
 
 @query("journey_links", sql("""SELECT tenant_id, shop_id, source || '::step' || step AS source, target || '::step' || (step + 1) AS target, value
 FROM links WHERE keep""", *_GRAPH))
 def _(t):
-    return J.journey_graph(J.journey_paths(t.evs, MONTH, 4), 4)[1]
+    return J.journey_graph(J.journey_paths(t.during(MONTH), MONTH, 4), 4)[1]
 
 
 @query("journey_nodes", sql("""
@@ -207,7 +207,7 @@ JOIN total USING (tenant_id, shop_id)
 WHERE kept IS NOT NULL OR EXISTS (SELECT 1 FROM links l WHERE l.keep AND l.tenant_id = n.tenant_id AND l.shop_id = n.shop_id AND l.source = n.path AND l.step = n.step)""",
     *_GRAPH))
 def _(t):
-    return J.journey_graph(J.journey_paths(t.evs, MONTH, 4), 4)[0]
+    return J.journey_graph(J.journey_paths(t.during(MONTH), MONTH, 4), 4)[0]
 
 
 def _flow(body, order="created_at, id", direction="<"):
@@ -228,13 +228,13 @@ _ANCHOR = f"(SELECT session_id, {{0}}(ROW(created_at, id)) AS a FROM evs WHERE {
 @query("event_flow_after", _flow(f"""SELECT e.* FROM evs e JOIN {_ANCHOR.format('min', 'page_view')} USING (session_id)
 WHERE {_M} AND ROW(created_at, id) >= a AND name <> 'error'"""))
 def _(t):
-    return J.flow_links(J.event_flow(t.evs, MONTH, "after", start="page_view", steps=4, exclude=["error"]))
+    return J.flow_links(J.event_flow(t.during(MONTH), MONTH, "after", start="page_view", steps=4, exclude=["error"]))
 
 
 @query("event_flow_before", _flow(f"""SELECT e.* FROM evs e JOIN {_ANCHOR.format('max', 'purchase')} USING (session_id)
 WHERE {_M} AND ROW(created_at, id) <= a""", direction=">"))
 def _(t):
-    return J.flow_links(J.event_flow(t.evs, MONTH, "before", end="purchase", steps=4))
+    return J.flow_links(J.event_flow(t.during(MONTH), MONTH, "before", end="purchase", steps=4))
 
 
 @query("event_flow_between", _flow(f"""SELECT e.* FROM evs e JOIN {_ANCHOR.format('min', 'page_view')} s USING (session_id)
@@ -242,4 +242,4 @@ JOIN (SELECT session_id, min(ROW(created_at, id)) AS b FROM evs JOIN {_ANCHOR.fo
       WHERE {_M} AND name = 'purchase' AND ROW(created_at, id) > a GROUP BY session_id) USING (session_id)
 WHERE {_M} AND ROW(created_at, id) BETWEEN a AND b"""))
 def _(t):
-    return J.flow_links(J.event_flow(t.evs, MONTH, "between", start="page_view", end="purchase", steps=4))
+    return J.flow_links(J.event_flow(t.during(MONTH), MONTH, "between", start="page_view", end="purchase", steps=4))

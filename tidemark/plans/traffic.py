@@ -85,7 +85,7 @@ FROM cur c LEFT JOIN prev p ON c.shop_id = p.shop_id AND c.tenant_id = p.tenant_
     f"cur AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY bucket) AS i FROM (SELECT {_S} FROM evs WHERE {_H} GROUP BY ALL))",
     f"prev AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY bucket) AS i FROM (SELECT {_S} FROM evs WHERE {_P} GROUP BY ALL))"))
 def _(t):
-    return T.overview_series(t.evs, HALF, "day", "EUR")
+    return T.overview_series(t.during(HALF), HALF, "day", "EUR")
 
 
 @query("overview_auto_interval", sql(f"""SELECT tenant_id, shop_id, date_trunc('hour', created_at) AS bucket, count(DISTINCT device_id) AS unique_visitors, count(DISTINCT session_id) AS total_sessions
@@ -101,14 +101,14 @@ for _col in T.TOP_COLUMNS:
     SELECT tenant_id, shop_id, coalesce(nullif({_col}, ''), 'Unknown') AS item, count(DISTINCT session_id) AS sessions,
       count(*) FILTER ({_VIEW}) AS pageviews, {_USD} AS revenue
     FROM evs WHERE {_M} {_RANK.format('sessions', 'item', 10)}"""))(
-        lambda t, c=_col: T.top_dimension(t.evs, c, MONTH))
+        lambda t, c=_col: T.top_dimension(t.during(MONTH), c, MONTH))
 
 
 @query("top_pages", sql(f"""
 SELECT tenant_id, shop_id, coalesce(nullif(path, ''), '/') AS item, count(DISTINCT session_id) AS sessions, count(*) AS pageviews,
   {_USD} AS revenue FROM evs WHERE {_M} AND ({_VIEW} OR path <> '') {_RANK.format('pageviews', 'item', 10)}"""))
 def _(t):
-    return T.top_pages(t.evs, MONTH)
+    return T.top_pages(t.during(MONTH), MONTH)
 
 
 @query("top_pages_all", sql(f"""
@@ -116,7 +116,7 @@ SELECT tenant_id, shop_id, path || '/' || device_id AS item, count(DISTINCT sess
   {_USD} AS revenue FROM evs WHERE {_M} {_RANK.format('pageviews', 'item', 250)}"""))
 def _(t):
     """More than a hundred pages: one for each path and device."""
-    return T.top_pages(t.evs.withColumn("path", F.concat_ws("/", "path", "device_id")), MONTH, limit=250)
+    return T.top_pages(t.during(MONTH).withColumn("path", F.concat_ws("/", "path", "device_id")), MONTH, limit=250)
 
 
 for _mode, _path, _at in [("entry", "entry_path", "started_at"), ("exit", "exit_path", "ended_at")]:
@@ -131,7 +131,7 @@ for _mode, _path, _at in [("entry", "entry_path", "started_at"), ("exit", "exit_
 SELECT tenant_id, shop_id, country, count(DISTINCT session_id) AS count, 0.0::double AS lat, 0.0::double AS lng
 FROM evs WHERE {_M} AND country <> '' GROUP BY ALL"""))
 def _(t):
-    return T.country_map(t.evs, MONTH)
+    return T.country_map(t.during(MONTH), MONTH)
 
 
 @query("country_map_all", sql(f"""
@@ -139,7 +139,7 @@ SELECT tenant_id, shop_id, device_id AS country, count(DISTINCT session_id) AS c
 FROM evs WHERE {_M} AND device_id <> '' GROUP BY ALL"""))
 def _(t):
     """More codes than there are countries: device ids stand in for them."""
-    return T.country_map(t.evs.withColumn("country", F.col("device_id")), MONTH)
+    return T.country_map(t.during(MONTH).withColumn("country", F.col("device_id")), MONTH)
 
 
 @query("country_shares", sql(f"""
@@ -148,7 +148,7 @@ SELECT tenant_id, shop_id, country, count, count::double / max(count) OVER w::do
 FROM (SELECT tenant_id, shop_id, lower(country) AS country, count(DISTINCT session_id) AS count FROM evs WHERE {_M} AND country <> '' GROUP BY ALL)
 WINDOW w AS (PARTITION BY tenant_id, shop_id)""".replace("max(count) OVER w::double", "(max(count) OVER w)::double")))
 def _(t):
-    return T.country_shares(T.country_map(t.evs, MONTH))
+    return T.country_shares(T.country_map(t.during(MONTH), MONTH))
 
 
 @query("top_events", sql(f"""
@@ -202,7 +202,7 @@ FROM best b LEFT JOIN s USING (tenant_id, shop_id, item, bucket)""",
     f"""s AS (SELECT tenant_id, shop_id, coalesce(nullif(country, ''), 'Unknown') AS item, date_trunc('day', created_at) AS bucket,
       count(DISTINCT session_id) AS sessions, count(*) FILTER ({_VIEW}) AS pageviews FROM evs WHERE {_M} GROUP BY ALL)"""))
 def _(t):
-    return T.top_series(t.evs, "country", MONTH)
+    return T.top_series(t.during(MONTH), "country", MONTH)
 
 
 @query("top_page_series", sql("""
@@ -213,7 +213,7 @@ FROM best b LEFT JOIN s USING (tenant_id, shop_id, item, bucket)""",
     f"""s AS (SELECT tenant_id, shop_id, coalesce(nullif(path, ''), '/') AS item, date_trunc('day', created_at) AS bucket, count(*) AS pageviews
       FROM evs WHERE {_M} AND ({_VIEW} OR path <> '') GROUP BY ALL)"""))
 def _(t):
-    return T.page_series(t.evs, MONTH)
+    return T.page_series(t.during(MONTH), MONTH)
 
 
 @query("referrer_period_change", sql("""
@@ -225,7 +225,7 @@ FROM c""", f"""c AS (SELECT tenant_id, shop_id, coalesce(nullif(referrer_name, '
   count(DISTINCT CASE WHEN {_H} THEN session_id END) AS current, count(DISTINCT CASE WHEN {_P} THEN session_id END) AS previous
   FROM evs GROUP BY ALL)"""))
 def _(t):
-    return T.period_change(t.evs, "referrer_name", HALF)
+    return T.period_change(t.during(HALF), "referrer_name", HALF)
 
 
 _L60 = "created_at BETWEEN TIMESTAMP '2024-01-16' - INTERVAL 60 MINUTE AND TIMESTAMP '2024-01-16'"
