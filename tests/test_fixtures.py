@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.enrich import network as N
 from tidemark.enrich import payload as P
+from tidemark.enrich import agents as A
 from tidemark.enrich import web as W
 from tidemark.export import conversions as X
 from tidemark.functions import currency as C
@@ -161,12 +162,12 @@ def test_campaigns(spark, query, name, kind):
     ("Mozilla/5.0 (Linux; Android 13; SM-T827R4) Chrome/119.0", "tablet"), ("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36", "desktop"), ("Mozilla/5.0 (X11; Linux x86_64) Firefox/120.0", "desktop"),
     ("App; Model=POCO F3; Manufacturer=Xiaomi", "mobile"), ("App; Model=Galaxy S23 Ultra", "mobile"), ("App; Model=OnePlus 11", "mobile"), ("App; Model=Moto G84", "mobile")])
 def test_devices(spark, agent, device):
-    assert W.with_agent(spark.createDataFrame([(agent,)], "user_agent string")).first()["agent"]["device"] == device
+    assert A.with_agent(spark.createDataFrame([(agent,)], "user_agent string")).first()["agent"]["device"] == device
 
 
 def test_agent_overrides(spark):
     df = spark.createDataFrame([("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36", {"__os": "BeOS", "__browser": ""})], "user_agent string, p map<string,string>")
-    agent = W.with_agent(df, overrides="p").first()["agent"]
+    agent = A.with_agent(df, overrides="p").first()["agent"]
     assert (agent["os"], agent["browser"], agent["device"]) == ("BeOS", "Chrome", "desktop")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.enrich.network import is_datacenter, with_network
-from tidemark.enrich.web import is_crawler, with_agent
+from tidemark.enrich.agents import with_agent
+from tidemark.enrich.web import is_crawler
 
 
 def lookup(requests: DataFrame, networks: DataFrame, ip: str = "ip", agent: str = "user_agent", networks6: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.enrich.network import is_local
-from tidemark.enrich.web import is_crawler, with_agent
+from tidemark.enrich.agents import with_agent
+from tidemark.enrich.web import is_crawler
 from tidemark.functions.currency import DEFAULT_RATES, to_usd
 from tidemark.functions.timeutil import micros
 from tidemark.operators.sessions import chunk_of, number_spans

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -100,106 +99,12 @@ def with_campaign(df: DataFrame, table: DataFrame, params: str = "query_params")
             .withColumn("campaign_type", F.when(given, F.coalesce("_m.type", F.lit("")))).drop("_m", "_source"))
 
 
-# --- user agents -----------------------------------------------------------------------------
+# --- crawlers --------------------------------------------------------------------------------
 
-# Patterns of phone models, in families.
-PHONES = (
-    r"redmi\s*(note|k|[0-9])", r"poco\s*[a-z0-9]", r"mi\s*([0-9]|note|mix|max)", r"galaxy\s*(s|a|m|note)[0-9]", r"galaxy\s*z\s*(fold|flip)", r"huawei\s*(p|mate|nova|y)[0-9]",
-    r"honor\s*[0-9a-z]", r"oppo\s*(a|f|find|reno|k)\s*[a-z0-9]", r"vivo\s*(v|y|x|s|t|iqoo)[0-9]", r"iqoo\s*[0-9a-z]", r"oneplus\s*[0-9]", r"one\s*plus\s*[0-9]", r"pixel\s*[0-9]",
-    r"realme\s*[0-9a-z]", r"moto\s*(g|e|x|z|edge|razr)", r"motorola\s*(edge|razr)", r"nokia\s*[0-9]", r"xperia\s*[0-9a-z]", r"nothing\s*phone",
-)
-# Model codes of mobile devices and tablets, and keywords of either.
-SAMSUNG_PHONE, SAMSUNG_TABLET, LG_PHONE = r"sm-[abdefgjmnrwz][0-9]+", r"sm-t[0-9]+", r"lg-[a-z0-9]+"
-MOBILE = (
-    "avantgo", "bada/", "blackberry", "blazer", "compal", "elaine", "fennec", "hiptop", "iemobile", "iphone", "ipod", "iris", "kindle", "lge ",
-    "maemo", "midp", "mmp", "netfront", "opera mobi", "opera mini", "palm", "phone", "pixi/", "pre/", "plucker", "pocket", "psp", "series40",
-    "series60", "symbian", "treo", "up.browser", "up.link", "vodafone", "wap", "windows ce", "xda", "xiino",
-)
-MOBILE_WORDED = r"(android|bb\d+|meego).+mobile|mobile.+firefox"
-TABLET = ("tablet", "ipad", "xoom", "sch-i800", "kindle", "silk", "playbook")
-# The word each phone pattern begins with: without one of them no pattern can match, and finding them is cheap.
-PHONE_WORDS = tuple(dict.fromkeys(re.match(r"[a-z]+", p).group() for p in PHONES))
-# Brands by pattern, the first match counts.
-BRANDS = (
-    (r"xiaomi|redmi|poco", "Xiaomi"), (r"samsung|galaxy", "Samsung"), (r"huawei", "Huawei"), (r"honor", "Honor"), (r"oppo", "OPPO"), (r"vivo|iqoo", "Vivo"),
-    (r"oneplus|one\s*plus", "OnePlus"), (r"google|pixel", "Google"), (r"realme", "Realme"), (r"motorola|moto\s", "Motorola"), (r"nokia", "Nokia"), (r"sony|xperia", "Sony"),
-    (r"nothing", "Nothing"), (r"\bapple\b(?!webkit)|\biphone\b|\bipad\b", "Apple"), (r"lg[- ]", "LG"), (r"zte", "ZTE"), (r"lenovo", "Lenovo"), (r"asus", "ASUS"), (r"tcl", "TCL"),
-)
-# Browser and system families, the first match counts.
-BROWSERS = ((r"Edg(e|A|iOS)?/", "Edge"), (r"OPR/|Opera", "Opera"), (r"SamsungBrowser/", "Samsung Internet"), (r"FxiOS/|Firefox/", "Firefox"), (r"CriOS/|Chrome/", "Chrome"),
-            (r"Version/.*Mobile.*Safari/", "Mobile Safari"), (r"Version/.*Safari/", "Safari"))
-SYSTEMS = ((r"iPhone|iPad|iPod|\biOS\b", "iOS"), (r"Android", "Android"), (r"Windows", "Windows"), (r"Mac OS X|Macintosh", "macOS"), (r"CrOS", "Chrome OS"), (r"Linux|X11", "Linux"))
 # Crawlers whose requests are not recorded.
 CRAWLERS = ("Googlebot", "BingPreview", "GPTBot", "Screaming Frog")
 
 
-def _matches(lower: Column, pattern: str) -> Column:
-    """Whether lower-case text matches. Alternatives without regex signs are plain substring tests."""
-    pattern = pattern.lower()
-    if set(pattern) & set("\\()[]?+*^${}"):
-        return lower.rlike(pattern)
-    return reduce(lambda a, b: a | b, [lower.contains(word) for word in pattern.split("|")])
-
-
-def _words(lower: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [lower.contains(word) for word in words])
-
-
-def _any(lower: Column, patterns: Sequence[str]) -> Column:
-    return lower.rlike("|".join(f"({p})" for p in patterns))
-
-
-def _first(lower: Column, table: Sequence[tuple[str, str]]) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, value in reversed(table):
-        out = F.when(_matches(lower, pattern), F.lit(value)).otherwise(out)
-    return out
-
-
-def app_field(ua: Column, name: str) -> Column:
-    """``Model`` or ``Manufacturer`` in app-style agents."""
-    value = F.when(F.lower(ua).contains(f"{name.lower()}="), F.trim(F.regexp_extract(ua, f"(?i){name}=([^;)]+)", 1)))
-    return F.when(value != "", value)
-
-
-def device_type(ua: Column, model: Column | None = None, legacy_prefixes: Sequence[str] = ()) -> Column:
-    """mobile, tablet or desktop. Known phone models decide first, then model codes, keywords and, last, Android. ``legacy_prefixes`` are
-    patterns for the first four characters of feature-phone agents."""
-    lower, named = F.lower(ua), F.lower(F.coalesce(model if model is not None else app_field(ua, "Model"), F.lit("")))
-    phone = ((named != "") & _any(named, PHONES)) | (_words(lower, PHONE_WORDS) & _any(lower, PHONES))
-    old = _any(F.substring(lower, 1, 4), legacy_prefixes) if legacy_prefixes else F.lit(False)
-    worded = lower.contains("mobile") & lower.rlike(MOBILE_WORDED)
-    return (F.when(phone | (lower.contains("sm-") & lower.rlike(SAMSUNG_PHONE)), F.lit("mobile"))
-            .when(lower.contains("sm-t") & lower.rlike(SAMSUNG_TABLET), F.lit("tablet"))
-            .when((lower.contains("lg-") & lower.rlike(LG_PHONE)) | _words(lower, MOBILE) | worded | old, F.lit("mobile"))
-            .when(_words(lower, TABLET), F.lit("tablet"))
-            .when(lower.contains("android") & ~lower.contains("mobile"), F.lit("mobile")).otherwise(F.lit("desktop")))
-
-
-def with_agent(df: DataFrame, ua: str = "user_agent", overrides: str | None = None, name: str = "agent") -> DataFrame:
-    """Add a struct of os, browser, device, brand, model and is_server; non-blank ``__os``, ``__browser`` … entries of the overrides map win.
-
-    Parsed in two steps of columns, so every pattern is tried once per row. An agent that is missing, a lone name/version pair, or not
-    recognisable at all belongs to a server.
-    """
-    # Plain columns, not a struct: the optimiser would unfold a struct into its uses and try the patterns again for each.
-    text = F.coalesce(F.col(ua), F.lit(""))
-    rows = df.withColumn("_lower", F.lower(text))
-    rows = rows.withColumn("_os", _first(F.col("_lower"), SYSTEMS)).withColumn("_browser", _first(F.col("_lower"), BROWSERS))
-    rows = rows.withColumn("_model", app_field(text, "Model")).withColumn("_maker", app_field(text, "Manufacturer"))
-    known = F.col("_os").isNotNull() | F.col("_browser").isNotNull() | F.col("_model").isNotNull() | F.col("_maker").isNotNull()
-    rows = rows.withColumn("_server", text.rlike(r"^[^/]+/[\d.]+$") | ~known)
-    # Only agents of people are worth the longer patterns.
-    named = F.concat_ws(" ", "_lower", F.lower("_model"))
-    rows = rows.withColumn("_device", F.when(~F.col("_server"), device_type(text, F.col("_model"))))
-    rows = rows.withColumn("_brand", F.when(~F.col("_server"), F.coalesce("_maker", _first(named, BRANDS))))
-    parsed = {k: F.col(f"_{k}") for k in ("os", "browser", "device", "brand", "model")}
-    if overrides:
-        parsed = {k: F.coalesce(F.when(F.col(overrides)[f"__{k}"] != "", F.col(overrides)[f"__{k}"]), v) for k, v in parsed.items()}
-    fields = [F.when(F.col("_server"), F.lit("server" if k == "device" else "")).otherwise(F.coalesce(v, F.lit(""))).alias(k) for k, v in parsed.items()]
-    return rows.withColumn(name, F.struct(*fields, F.col("_server").alias("is_server"))).drop("_lower", "_os", "_browser", "_model", "_maker", "_server", "_device", "_brand")
-
-
 def is_crawler(ua: Column) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.lower(ua).contains(c.lower()) for c in CRAWLERS]), F.lit(False))
 

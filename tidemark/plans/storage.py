@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.enrich import payload as P
 from tidemark.enrich.lookup import lookup
-from tidemark.enrich.web import is_crawler, with_agent
+from tidemark.enrich.agents import with_agent
+from tidemark.enrich.web import is_crawler
 from tidemark.functions.numbers import sanitize
 from tidemark.functions.predicates import at_exact_location, at_location, in_scope, tenant_of_shop
 from tidemark.operators import traffic as T
