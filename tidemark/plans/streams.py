@@ -11,9 +11,11 @@ from tidemark.functions.timeutil import bucket
 from tidemark.operators import sketches as K
 from tidemark.operators.scoring import CHURN, INTENT, PRICE
 from tidemark.plans.registry import TIMEOUT, Tables, query, sql
+from tidemark.plans.sequences import _levels
 from tidemark.plans.sketches import close
 from tidemark.schema import SHOP
 from tidemark.sources import testdata
+from tidemark.streaming import notifications as N
 from tidemark.streaming import sources as I
 from tidemark.streaming import stateful as S
 
@@ -110,3 +112,20 @@ def _(t):
     ev = _stream(t).withColumn("id", F.concat(F.lit("e,"), F.lpad(F.col("id").cast("string"), 12, "0"))).withColumn(
         "product_id", F.concat_ws(",", F.lit("a"), F.col("product_id").cast("string")))
     return _run(t, S.running_features(ev, TIMEOUT))
+
+
+# Fixed small rules; a device is listed for a rule if it ever completed it.
+_RULES = [{"id": "bought", "steps": ["page_view", "purchase"], "window": 2 * 86400}, {"id": "carted", "steps": ["page_view", "add_to_cart", "purchase"], "window": 5 * 86400}]
+
+
+@query("stream_notification_funnels", sql("""SELECT tenant_id, shop_id, device_id, 'bought' AS rule_id FROM two WHERE level = 2
+UNION ALL SELECT tenant_id, shop_id, device_id, 'carted' FROM three WHERE level = 3""",
+                                          *_levels("two", _RULES[0]["steps"], window=_RULES[0]["window"]), *_levels("three", _RULES[1]["steps"], window=_RULES[1]["window"])))
+def _(t):
+    return _run(t, N.funnel_notifications(_stream(t), _RULES)).select("tenant_id", "shop_id", "device_id", "rule_id").distinct()
+
+
+@query("stream_notification_events", sql("""SELECT tenant_id, shop_id, device_id, id, name, created_at, 'sale' AS rule_id FROM ev WHERE name = 'purchase' AND os = 'macOS'"""))
+def _(t):
+    rule = {"id": "sale", "name": "purchase", "filters": [{"name": "os", "operator": "is", "value": ["macOS"]}]}
+    return _run(t, N.notifications(_stream(t), [rule]))

@@ -70,6 +70,18 @@ _SNAPSHOT = ["id", "created_at", "views", "carts", "cart_value_usd", "distinct_p
 ROWS = 10_000
 
 
+def in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
+    """A key's rows of a micro-batch by (at, id), in blocks. They are held and sorted as columns; only a block is a list of rows."""
+    table = pa.concat_tables([pa.Table.from_pandas(frame[columns], preserve_index=False) for frame in frames])
+    for block in table.sort_by([("at", "ascending"), ("id", "ascending")]).to_batches(max_chunksize=ROWS):
+        yield list(zip(*(block.column(c).to_pylist() for c in columns)))
+
+
+def use_rocksdb(df: DataFrame) -> None:
+    """The state store that processors with states of their own need."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 class RunningFeatures(StatefulProcessor):
     """One device's counters, and for each product the run of views in which it was last seen.
 
@@ -87,16 +99,12 @@ class RunningFeatures(StatefulProcessor):
         self.seen = handle.getMapState("seen", "product string", "run bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["at", "id", "created_at", "name", "product_id", "usd"]
-        table = pa.concat_tables([pa.Table.from_pandas(frame[columns], preserve_index=False) for frame in rows])
-        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
         state = self.totals.get() if self.totals.exists() else None
         first, last, views, carts, usd, distinct, viewed, run, timer = state or (None, None, 0, 0, 0, 0, None, 0, None)
         known: dict[str, int] = {}  # runs of the products met in this micro-batch
-        for block in table.to_batches(max_chunksize=ROWS):
+        for block in in_order(rows, ["at", "id", "created_at", "name", "product_id", "usd"]):
             out = []
-            for e in zip(*(block.column(c).to_pylist() for c in columns)):
-                at, id_, created, name, product, value = e
+            for at, id_, created, name, product, value in block:
                 if last is None or at - last > self.ttl:
                     first, views, carts, usd, distinct, viewed, run = at, 0, 0, 0, 0, None, run + 1
                 if viewed is not None and at - viewed > self.ttl:
@@ -143,7 +151,7 @@ def running_features(ev: DataFrame, ttl_seconds: int = 45 * 60, delay: str = "10
     in order across micro-batches as far as the source keeps a device's order. The state lies in RocksDB, which this kind of state
     needs: the session is set to it.
     """
-    ev.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_rocksdb(ev)
     keys = [f.dataType.simpleString() for f in ev.select(*DEVICE).schema]
     id_type = ev.schema["id"].dataType.simpleString()
     out = ", ".join(f"{c} {t}" for c, t in zip(DEVICE, keys)) + (
