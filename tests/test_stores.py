@@ -225,3 +225,44 @@ def test_sketches_merge_to_any_period(spark):
     got = sketches.duration_quantile(sketches.daily_durations(se), "month").first()
     below = se.where(F.col("duration") < got.duration).count() / 20_000
     assert got.sessions == 20_000 and abs(below - 0.9) <= sketches.rank_error()
+
+
+# --- notification funnels on a stream --------------------------------------------------------------------------------
+
+def plain_completions(rows, steps, window):
+    """(id, began) of each completed chain; a completed start and older ones are forgotten."""
+    best, out = [None] * len(steps), []
+    for at, i, name in sorted(rows):
+        new = list(best)
+        for k, step in enumerate(steps):
+            start = at if k == 0 else best[k - 1]
+            if name == step and start is not None and at - start <= window:
+                new[k] = start if new[k] is None else max(new[k], start)
+        best = new
+        if best[-1] is not None:
+            out.append((i, best[-1]))
+            best = [None if s is None or s <= out[-1][1] else s for s in best]
+    return out
+
+
+def test_notification_funnels_over_micro_batches(spark, tmp_path):
+    from tidemark.streaming.notifications import funnel_notifications
+    from tidemark.streaming.sources import read_files
+
+    rng = random.Random(12)
+    rows = sorted(((i, f"d{rng.randrange(3)}", rng.choice("abcx"), rng.randrange(3000)) for i in range(300)), key=lambda r: (r[3], r[0]))
+    for n in range(3):
+        events(spark, rows[100 * n:100 * n + 100]).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+        for file in (tmp_path / "in" / f"n={n}").glob("*.parquet"):
+            file.rename(tmp_path / f"{n}.parquet")
+    rules = [{"id": "ab", "steps": ["a", "b"], "window": 60}, {"id": "abc", "steps": ["a", "b", "c"], "window": 300}, {"id": "a", "steps": ["a"], "window": 10}]
+    stream = read_files(spark, str(tmp_path), EVENT, "parquet", glob="[0-9].parquet", files_per_trigger=1)
+    out = funnel_notifications(stream, rules, "1 hour")
+    writer = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = {(r.rule_id, r.id, int((r.began_at - BASE).total_seconds())) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    want = set()
+    for rule in rules:
+        for d in {r[1] for r in rows}:
+            want |= {(rule["id"], i, s) for i, s in plain_completions([(s, i, n) for i, dd, n, s in rows if dd == d], rule["steps"], rule["window"])}
+    assert found == want and len(want) > 100
