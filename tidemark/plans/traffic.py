@@ -327,3 +327,28 @@ def _(t):
 def _(t):
     # The test referrers hold no assistants: two of their names stand in for the host list.
     return T.ai_engines(t.se, HALF, hosts=("Reddit.com", "Twitter.com"))
+
+
+# --- named ranges ---
+
+_RANGE_END = datetime(2024, 1, 20, 15, 30)
+_RANGES = {
+    "today": "date_trunc('day', e), e", "yesterday": "date_trunc('day', e) - INTERVAL 1 DAY, date_trunc('day', e) - INTERVAL 1 MICROSECOND",
+    "lastHour": "e - INTERVAL 1 HOUR, e", "last24h": "e - INTERVAL 24 HOUR, e", "30min": "e - INTERVAL 30 MINUTE, e", "90d": "e - INTERVAL 90 DAY, e", "12m": "e - INTERVAL 365 DAY, e",
+    "3m": "date_trunc('day', e) - INTERVAL 3 MONTH, e", "6m": "date_trunc('day', e) - INTERVAL 6 MONTH, e", "monthToDate": "date_trunc('month', e), e",
+    "lastMonth": "date_trunc('month', e) - INTERVAL 1 MONTH, date_trunc('month', e) - INTERVAL 1 MICROSECOND", "yearToDate": "date_trunc('year', e), e",
+    "lastYear": "date_trunc('year', e) - INTERVAL 1 YEAR, date_trunc('year', e) - INTERVAL 1 MICROSECOND",
+}
+
+
+# Whole-month ranges end in February, so that they hold events of January.
+_RANGE_CTES = ["ends AS (SELECT TIMESTAMP '2024-01-20 15:30:00' AS e, 0 AS later UNION ALL SELECT TIMESTAMP '2024-02-20 15:30:00', 1)",
+               "ranges(key, a, b, later) AS (" + " UNION ALL ".join(f"SELECT '{k}', {bounds}, later FROM ends WHERE later = {int(k == 'lastMonth')}" for k, bounds in _RANGES.items()) + ")"]
+
+
+@query("named_ranges", sql("SELECT tenant_id, shop_id, key, count(*) AS events, count(DISTINCT device_id) AS visitors FROM ev JOIN ranges ON created_at BETWEEN a AND b GROUP BY ALL", *_RANGE_CTES))
+def _(t):
+    at = F.col("created_at")
+    hits = [F.when(resolve_period(_RANGE_END.replace(month=2) if key == "lastMonth" else _RANGE_END, key).current(at), F.lit(key)) for key in _RANGES]
+    rows = t.ev.withColumn("key", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+    return rows.groupBy("tenant_id", "shop_id", "key").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("device_id").alias("visitors"))
