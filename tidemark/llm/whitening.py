@@ -168,9 +168,9 @@ def largest(r: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def integers(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE,
              shift: int = SHIFT) -> DataFrame:
     """(vec_id, x) of the vectors without null or non-finite entries."""
-    c = F.col(vector).cast("array<double>")
+    c, most = F.col(vector).cast("array<double>"), F.lit(2.0 * LIMIT)  # larger ones are an error later on, whatever they are
     return vectors.where(finite(c)).select(
-        F.col(vec_id).alias("vec_id"), F.transform(c, lambda v: F.floor(v * scale) + shift).alias("x"))
+        F.col(vec_id).alias("vec_id"), F.transform(c, lambda v: F.floor(F.least(F.greatest(v * scale, -most), most)) + shift).alias("x"))
 
 
 def _matrix(column: pa.ListArray, width: int, fill: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def _matrix(column: pa.ListArray, width: int, fill: int) -> np.ndarray:
     if values.size and np.abs(values).max() > LIMIT:
         raise OverflowError("scaled entries must lie within 2**40 of zero")
     if (sizes == width).all():
-        return values.reshape(-1, width)
+        return values.reshape(len(sizes), width)
     out = np.full((len(sizes), width), fill, np.int64)
     out[np.arange(width) < sizes[:, None]] = values
     return out
