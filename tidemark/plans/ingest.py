@@ -11,7 +11,6 @@ from tidemark.enrich import web as W
 from tidemark.export import conversions as X
 from tidemark.functions import currency as C
 from tidemark.plans.registry import query, sql
-from tidemark.schema import SHOP
 
 _CHROME = "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
 _IPHONE = "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.0 Mobile/15E148 Safari/604.1"

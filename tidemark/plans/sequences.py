@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidemark.functions.predicates import profile_id
 from tidemark.functions.timeutil import Period
 from tidemark.operators import funnel as U
