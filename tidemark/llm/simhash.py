@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 from tidemark.llm import similarity
-from tidemark.llm.common import LOWER, text_bytes, word_blocks
+from tidemark.llm.common import LOWER, few_or_many, stored, text_bytes, word_blocks
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-SMALL = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -121,44 +120,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return _classes(prints, distinct, components(links(distinct, radius)))
 
 
+def _pairs(named: DataFrame, star: bool) -> DataFrame:
+    """Candidates (row, label, other_row, other_label) of the buckets of (row, label, band) that hold several labels:
+    every text with the first one of its bucket, or every two texts of different labels."""
+    first = F.min(F.struct("row", "label"))
+    buckets = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("first"))
+    buckets = buckets.where("low < high")
+    if star:
+        pairs = named.join(buckets, "band").select("row", "label", F.col("first.row").alias("other_row"), F.col("first.label").alias("other_label"))
+        return pairs.where("label <> other_label").distinct()
+    members = named.join(buckets, "band", "left_semi")
+    others = members.select("band", F.col("row").alias("other_row"), F.col("label").alias("other_label"))
+    return members.join(others, "band").where("row < other_row and label <> other_label").drop("band").distinct()
+
+
 def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, similar: float) -> DataFrame:
     """Components as of ``components`` over ``edges`` and links between the fingerprints of texts at least ``similar``.
 
-    ``texts`` has (row, text), ``prints`` (row, fp), rows being unique. In a bucket of up to ``SMALL`` texts that share a
-    band all pairs of different components are compared. In a larger one each text is compared with two drawn by a hash;
-    rounds draw anew while links are found, so a round is linear in the bucket. Links of a round merge labels.
+    ``texts`` has (row, text), ``prints`` (row, fp), rows being unique. Texts that share a band are candidates, and every
+    candidate whose labels differ when its turn comes is verified. There are two turns. The first compares each text
+    with the first of each of its buckets, which is linear and joins a group of near copies, whatever its size. The
+    second compares what is still apart: the pairs left are texts that share a band although they are less than
+    ``similar``, and the few that their first text did not join.
     """
     sketches = similarity.sketches(texts).join(prints, "row")
     nodes = sketches.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     nodes = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select(
         "row", "fp", F.coalesce("label", "fp").alias("label"), "bands"))
-    held, turn = None, 0
-    while True:
-        named = nodes.select("row", "label", F.explode("bands").alias("band"))
-        one = F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("draw"), "row", "label")
-        buckets = named.groupBy("band").agg(
-            F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.array(F.min(one), F.max(one)).alias("drawn")).where("low < high").drop("low", "high")
-        large = named.join(buckets.where(F.col("n") > SMALL), "band").select("row", "label", F.explode("drawn").alias("other"))
-        pairs = large.select("row", "label", F.col("other.row").alias("other_row"), F.col("other.label").alias("other_label"))
-        if not turn:
-            few = named.join(buckets.where(F.col("n") <= SMALL).select("band"), "band")
-            again = few.select("band", F.col("row").alias("other_row"), F.col("label").alias("other_label"))
-            pairs = pairs.unionByName(few.join(again, "band").where("row < other_row").drop("band"))
-        pairs = cut(pairs.where("label <> other_label").distinct())
-        if held is None:
-            # All texts move once; those of later rounds are among the members of open buckets.
-            near = named.join(buckets.select("band"), "band").select("row").distinct()
-            held = cut(texts.join(near, "row", "left_semi").select("row", "text"))
+    for star in (True, False):
+        pairs = cut(_pairs(nodes.select("row", "label", F.explode("bands").alias("band")), star))
+        rows = cut(pairs.select("row").unionAll(pairs.select(F.col("other_row").alias("row"))).distinct())
+        held = cut(similarity.sets(texts.join(few_or_many(rows), "row", "left_semi")))
         both = pairs.join(held, "row").join(
-            held.select(F.col("row").alias("other_row"), F.col("text").alias("other_text")), "other_row")
-        found = cut(similarity.proved(both, similar).select(
-            F.least("label", "other_label").alias("lo"), F.greatest("label", "other_label").alias("fp")).distinct())
-        if found.isEmpty():
-            return nodes.select(F.col("fp").alias("node"), "label").distinct()
-        merged = components(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            held.select(F.col("row").alias("other_row"), F.col("shingles").alias("other_shingles")), "other_row")
+        found = similarity.proved(both, similar).select(
+            F.least("label", "other_label").alias("lo"), F.greatest("label", "other_label").alias("fp")).distinct()
+        merged = components(cut(found)).select(F.col("node").alias("label"), F.col("label").alias("to"))
         nodes = cut(nodes.join(merged, "label", "left").select("row", "fp", F.coalesce("to", "label").alias("label"), "bands"))
-        turn += 1
+    return nodes.select(F.col("fp").alias("node"), "label").distinct()
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
@@ -167,10 +166,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     that share it, the first. With ``similar``, texts whose 5-word shingles are at least so similar link as well,
     however far their fingerprints are apart.
 
-    Rows are numbered and written out, so that ids need not be unique. Texts then move once, by row number, so a large
+    Rows are numbered and written out, so that ids need not be unique, and what is kept is known by row number, so a large
     class does not meet in one task.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
     keyed = rows.select(key.alias("key"), F.col(text).alias("text"))
     if similar is None:
@@ -181,5 +180,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
         texts = rows.select(F.col("__row").alias("row"), F.col(text).alias("text"))
         labels = similar_components(texts, prints.select(F.col("doc_id.row").alias("row"), "fp"), links(distinct, radius), similar)
         classes = _classes(prints, distinct, labels)
-    kept = classes.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+    kept = cut(classes.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row")))
+    return rows.join(few_or_many(kept), "__row", "left_semi").select(docs.columns)

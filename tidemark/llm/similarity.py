@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, text_bytes, word_blocks
 
@@ -85,18 +86,27 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "row bigint, digest bigint, bands array<bigint>")
 
 
+def sets(texts: DataFrame) -> DataFrame:
+    """(row, shingles) of the rows (row, text): the sorted distinct shingle hashes, eight bytes each."""
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(t).tobytes() for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.binary())], ["row", "shingles"])
+
+    return texts.select("row", "text").mapInArrow(run, "row bigint, shingles binary")
+
+
 def proved(pairs: DataFrame, least: float) -> DataFrame:
-    """(label, other_label) of the pairs (label, text, other_label, other_row, other_text) at least ``least`` similar."""
+    """(label, other_label) of the pairs (label, shingles, other_label, other_shingles) at least ``least`` similar. Sets of too
+    different sizes are not compared."""
+    sizes = F.length("shingles"), F.length("other_shingles")
+    pairs = pairs.where(F.least(*sizes) >= F.greatest(*sizes) * least)
+
     def run(batches):
-        row, other = None, None
         for batch in batches:
-            keep = []
-            for r, a, b in zip(batch.column("other_row").to_pylist(), text_bytes(batch.column("text")),
-                               text_bytes(batch.column("other_text"))):
-                if r != row:
-                    row, other = r, shingle_set(b)
-                keep.append(jaccard(shingle_set(a), other) >= least)
+            both = zip(batch.column("shingles").to_pylist(), batch.column("other_shingles").to_pylist())
+            keep = [jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in both]
             yield batch.select(["label", "other_label"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("label", "text", "other_label", "other_row", "other_text").mapInArrow(
+    return pairs.select("label", "shingles", "other_label", "other_shingles").mapInArrow(
         run, "label bigint, other_label bigint")
