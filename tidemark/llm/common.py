@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import scratch
 from tidemark.schema import configure
 
 # Bytes that separate words where a contract names [^\x20\x09-\x0D]: exactly those that bytes.split() cuts at.
@@ -23,13 +22,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: for rows with texts, which a checkpoint would not compress."""
-    path = scratch(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def few_or_many(keys: DataFrame) -> DataFrame:
     """Keys for a semi join with wide rows: up to ``BROADCAST_ROWS`` are broadcast, so that the wide rows stay where they are;
     more are joined by a shuffle."""

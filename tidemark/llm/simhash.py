@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 from tidemark.llm import similarity
-from tidemark.llm.common import LOWER, few_or_many, stored, text_bytes, word_blocks
+from tidemark.llm.common import LOWER, few_or_many, text_bytes, word_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -169,7 +169,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     Rows are numbered and written out, so that ids need not be unique, and what is kept is known by row number, so a large
     class does not meet in one task.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
     keyed = rows.select(key.alias("key"), F.col(text).alias("text"))
     if similar is None:
