@@ -266,3 +266,16 @@ def test_notification_funnels_over_micro_batches(spark, tmp_path):
         for d in {r[1] for r in rows}:
             want |= {(rule["id"], i, s) for i, s in plain_completions([(s, i, n) for i, dd, n, s in rows if dd == d], rule["steps"], rule["window"])}
     assert found == want and len(want) > 100
+
+
+def test_equal_requests_of_two_events(spark, tmp_path):
+    """Events whose requests say the same count apart, each once however often it is sent."""
+    import check_oracle as oracle
+    from conftest import SF
+    from tidemark.plans import ORACLES, QUERIES
+
+    con = oracle.database(SF)
+    con.execute(f"COPY (SELECT * REPLACE (event_id + 6000 * i AS event_id, user_id + 12 * i AS user_id) FROM '{SF}/events.parquet', range(2) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE OR REPLACE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet')")
+    problem, rows, _ = oracle.compare(spark, con, QUERIES["ingest_pipeline"], ORACLES["ingest_pipeline"], str(tmp_path))
+    assert problem is None and rows > 0

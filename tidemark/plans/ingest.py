@@ -21,23 +21,24 @@ _TENANT = "11111111-1111-4111-8111-111111111111"
 
 
 def _raw(t):
-    """Six kinds of request bodies, by event id."""
+    """Six kinds of request bodies, by event id. Every event sends its own id, by which a request sent again is told from an equal one."""
     k, kind = F.col("product_id"), F.col("id") % 6
+    sent = F.concat(F.lit("e-"), F.col("id").cast("string")).alias("event_id")
     shop, tenant = F.concat(F.lit(_SHOPS), F.col("shop_id").cast("string")), F.lit(_TENANT)
     who = F.concat(F.lit("22222222-2222-4222-8222-"), F.lpad(F.regexp_extract("device_id", r"(\d+)", 1), 12, "0"))
     us = F.unix_micros(F.col("created_at").cast("timestamp"))
     props = F.struct(k.alias("k"), F.struct(F.lit(True).alias("a"), F.array(F.lit(1), F.lit(2)).alias("list")).alias("nested"), F.lit("DE").alias("country"))
-    track = F.struct(shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("name"), F.col("device_id"), F.col("path"), (k + F.lit(0.5)).alias("value"), F.col("currency"),
+    track = F.struct(sent, shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("name"), F.col("device_id"), F.col("path"), (k + F.lit(0.5)).alias("value"), F.col("currency"),
                      F.floor(us / 1000).alias("timestamp"), props.alias("properties"))
     item = F.struct(F.concat(F.lit("sku_"), k.cast("string")).alias("item_id"), F.lit("Thing").alias("item_name"), F.lit(9.5).alias("price"), F.lit(2).alias("quantity"))
     shopping = F.struct(F.array(item, item).alias("items"), F.lit(29.5).alias("value"), F.lit("EUR").alias("currency"), F.concat(F.lit("t-"), F.col("id").cast("string")).alias("transaction_id"))
     bodies = [
         F.to_json(F.struct(F.lit("track").alias("type"), track.alias("payload"))),
-        F.to_json(F.struct(shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("name").alias("event"), (k * 100).cast("string").alias("revenue"), F.col("currency"),
+        F.to_json(F.struct(sent, shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("name").alias("event"), (k * 100).cast("string").alias("revenue"), F.col("currency"),
                            F.floor(us / 1000000).alias("timestamp"), F.col("referrer"))),
-        F.to_json(F.struct(shop.alias("client_id"), who.alias("profile_id"), F.lit("A@x.io").alias("email"), F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))),
-        F.to_json(F.struct(shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("name"), shopping.alias("ecommerce"))),
-        F.to_json(F.struct(shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("path"))),
+        F.to_json(F.struct(sent, shop.alias("client_id"), who.alias("profile_id"), F.lit("A@x.io").alias("email"), F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))),
+        F.to_json(F.struct(sent, shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("name"), shopping.alias("ecommerce"))),
+        F.to_json(F.struct(sent, shop.alias("shop_id"), tenant.alias("tenant_id"), F.col("path"))),
         F.to_json(F.struct(F.lit("not-a-uuid").alias("shop_id"), tenant.alias("tenant_id"), F.col("name"))),
     ]
     body = bodies[-1]
