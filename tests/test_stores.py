@@ -279,3 +279,14 @@ def test_equal_requests_of_two_events(spark, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW events AS FROM read_parquet('{tmp_path}/events.parquet')")
     problem, rows, _ = oracle.compare(spark, con, QUERIES["ingest_pipeline"], ORACLES["ingest_pipeline"], str(tmp_path))
     assert problem is None and rows > 0
+
+
+def test_means_halfway(spark):
+    """Means that lie halfway are the same in any order of the rows, and as exact sums have them."""
+    from tidemark.operators.retention import retention_average
+
+    # 64.165, which sums of doubles reach in some orders only.
+    orders = [(66.67, 42.86, 66.67, 66.67, 100.0, 50.0, 45.45, 75.0), (66.67, 66.67, 42.86, 100.0, 45.45, 50.0, 75.0, 66.67), (42.86, 45.45, 50.0, 66.67, 66.67, 66.67, 75.0, 100.0)]
+    for order in orders:
+        table = spark.createDataFrame([(1, 1, 0, p, 1, 1) for p in order], "tenant_id int, shop_id int, offset int, percentage double, users bigint, cohort_size bigint")
+        assert retention_average(table.coalesce(1)).first()["avg_percentage"] == 64.17

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import round_to, safe_ratio
@@ -51,12 +51,19 @@ def retention(ev: DataFrame, first: Sequence[str], second: Sequence[str], period
     return out.withColumn("percentage", round_to(safe_ratio(F.col("users"), F.col("cohort_size"), 100), 2))
 
 
+def _mean(percentage: str) -> Column:
+    """Mean of percentages of two decimals, to two decimals. Their hundredths are summed as whole numbers, since a sum of
+    doubles depends on the order of the rows, which decides means that lie halfway."""
+    hundredths = F.sum(F.round(F.col(percentage) * 100).cast("bigint"))
+    return round_to(hundredths / F.lit(100.0) / F.count(percentage), 2)
+
+
 def retention_average(table: DataFrame) -> DataFrame:
     """Mean percentage per offset over all cohorts that have it."""
-    return table.groupBy(*SHOP, "offset").agg(round_to(F.avg("percentage"), 2).alias("avg_percentage"),
+    return table.groupBy(*SHOP, "offset").agg(_mean("percentage").alias("avg_percentage"),
                                              F.sum("users").alias("users"), F.sum("cohort_size").alias("cohort_size"))
 
 
 def retention_line(average: DataFrame) -> DataFrame:
     """Mean of the average row, zeros included."""
-    return average.groupBy(*SHOP).agg(round_to(F.avg("avg_percentage"), 2).alias("average"))
+    return average.groupBy(*SHOP).agg(_mean("avg_percentage").alias("average"))
