@@ -290,3 +290,13 @@ def test_means_halfway(spark):
     for order in orders:
         table = spark.createDataFrame([(1, 1, 0, p, 1, 1) for p in order], "tenant_id int, shop_id int, offset int, percentage double, users bigint, cohort_size bigint")
         assert retention_average(table.coalesce(1)).first()["avg_percentage"] == 64.17
+
+
+def test_sketch_beside_exact_count(spark):
+    """The sketch is built over distinct sessions: no stage groups sketches by session."""
+    from conftest import SF
+    from tidemark.plans import QUERIES
+
+    plan = QUERIES["top_country_approximate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    by_session = [line for line in plan.splitlines() if "Aggregate" in line and "session_id" in line.split("functions=")[0]]
+    assert by_session and not any("approx" in line or "hyperloglog" in line.lower() for line in by_session)
