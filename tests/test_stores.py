@@ -300,3 +300,24 @@ def test_sketch_beside_exact_count(spark):
     plan = QUERIES["top_country_approximate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     by_session = [line for line in plan.splitlines() if "Aggregate" in line and "session_id" in line.split("functions=")[0]]
     assert by_session and not any("approx" in line or "hyperloglog" in line.lower() for line in by_session)
+
+
+def test_payloads_of_one_shop_spread(spark):
+    """Repeats are sought by shop and event id, so a shop's events are not one task; few and many shops give the same."""
+    from tidemark.export import conversions as X
+
+    ev = events(spark, [(i % 40, "d", "purchase", i) for i in range(80)]).selectExpr(
+        "*", "map() as properties", "100L as revenue", "'EUR' as currency", "'7' as product_id").withColumn("properties", F.create_map().cast("map<string,string>"))
+    shops = spark.createDataFrame([(1, 1, True, '{"pixel_id": "1", "access_token": "x"}', [])],
+                                  "tenant_id int, shop_id bigint, enabled boolean, credentials string, events_whitelist array<string>")
+    found, few = [], X.FEW_SHOPS
+    try:
+        for X.FEW_SHOPS in (few, 0):
+            out = X.payloads(ev, shops)
+            assert "hashpartitioning(tenant_id#" in (plan := out._jdf.queryExecution().executedPlan().toString())
+            window = plan[plan.index("Window"):]
+            assert "event_id#" in window[window.index("hashpartitioning("):].split(")")[0]
+            found.append(sorted((r.event_id, r.event_time) for r in out.collect()))
+    finally:
+        X.FEW_SHOPS = few
+    assert found[0] == found[1] and len(found[0]) == 40

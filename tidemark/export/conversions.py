@@ -20,6 +20,9 @@ STANDARD = {
 # Names that are passed on as they are.
 VERBATIM = ("customize_product", "find_location", "start_trial", "submit_application")
 
+# Settings of up to so many shops are sent to every executor.
+FEW_SHOPS = 10_000
+
 
 def platform_name(name: Column) -> Column:
     """Standard name; other names pass through if they start with a capital, else null."""
@@ -117,7 +120,8 @@ def payloads(ev: DataFrame, integrations: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("event_id", F.coalesce(filled(F.col("properties")["event_id"]), F.col("id").cast("string"))).where(F.col("event_name").isNotNull())
     # Shops and repeats are sorted out first; only what is left is parsed and hashed.
     rows = _enabled(rows, integrations) if integrations is not None else rows
-    rows = top_k(rows, [*SHOP, "event_id"], [F.col("created_at"), F.col("id")], 1)
+    # Dealt by the whole key: rows that a join has dealt by shop would stay so, and a shop would be one task.
+    rows = top_k(rows.repartition(*SHOP, "event_id"), [*SHOP, "event_id"], [F.col("created_at"), F.col("id")], 1)
     rows = rows.withColumn("_u", F.from_json(F.col("properties")["_user_data"], ", ".join(f"{n} string" for n in USER)))
     rows = rows.withColumn("_c", order_contents(F.from_json(F.col("properties")["items"], ITEM_DDL)))
     return rows.select(*SHOP, "event_name", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("event_time"), "event_id", source_url(F.col("origin"), F.col("path")).alias("event_source_url"),
@@ -129,7 +133,9 @@ def _enabled(rows: DataFrame, integrations: DataFrame) -> DataFrame:
     keys = F.from_json("credentials", "pixel_id string, access_token string")
     live = integrations.where(F.col("enabled") & (keys["pixel_id"] != "") & (keys["access_token"] != "")).select(*SHOP, F.transform("events_whitelist", F.lower).alias("_allowed"))
     allowed = (F.coalesce(F.size("_allowed"), F.lit(0)) <= 0) | F.array_contains("_allowed", F.lower("event_name"))
-    return rows.join(live, SHOP).where(allowed).drop("_allowed")
+    # Few shops leave the events where they are; only many, which spread, are worth a shuffle.
+    few = live.limit(FEW_SHOPS + 1).count() <= FEW_SHOPS
+    return rows.join(F.broadcast(live) if few else live, SHOP).where(allowed).drop("_allowed")
 
 
 def as_json(payload: DataFrame) -> DataFrame:
