@@ -321,3 +321,14 @@ def test_payloads_of_one_shop_spread(spark):
     finally:
         X.FEW_SHOPS = few
     assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_filters_on_requests_do_not_parse_again(spark):
+    """A filter on fields of events is not written out as several readings of the body."""
+    from tidemark.enrich.payload import track_events
+
+    raw = spark.createDataFrame([('{"shop_id": "00000000-0000-4000-8000-000000000000", "name": "a"}',)], "body string").withColumn("received_at", F.lit(BASE).cast("timestamp_ntz"))
+    kept = track_events(raw).where((F.col("name") != "") & ~F.col("device_id").startswith("dev-")).select("device_id", "status")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert all(line.count("from_json") <= 2 for line in plan.splitlines() if "Filter" in line)
+    assert len(kept.collect()) == 1

@@ -209,6 +209,13 @@ def short_fingerprint(salt: str, ua: Column, ip: Column, origin: Column) -> Colu
     return F.substring(F.sha2(F.concat_ws(":", ua, ip, origin, F.lit(salt)), 256), 1, 32)
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once per row. They pass through a generator, since a filter on later columns would
+    else be written out in terms of the first ones and parse a body once for every mention of its fields."""
+    kept = [f"`{c}`" for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def track_events(raw: DataFrame, salt: str = "", rates: dict[str, float] = DEFAULT_RATES) -> DataFrame:
     """Request bodies as canonical events plus ``status``.
 
@@ -219,21 +226,20 @@ def track_events(raw: DataFrame, salt: str = "", rates: dict[str, float] = DEFAU
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast("timestamp_ntz" if name == "received_at" else "string"))
     rows = split_envelopes(raw).where(F.col("envelope") != "replay")
-    rows = rows.withColumnRenamed("user_agent", "_header_ua").withColumn("r", F.from_json("body", _struct(TRACK))).withColumn("u", F.from_json("r.user_data", _struct(USER)))
-    rows = rows.withColumn("ec", F.from_json("r.ecommerce", "items string, value string, currency string, transaction_id string"))
+    rows = _once(rows.withColumnRenamed("user_agent", "_header_ua"), r=F.from_json("body", _struct(TRACK)))
+    rows = _once(rows, u=F.from_json("r.user_data", _struct(USER)), ec=F.from_json("r.ecommerce", "items string, value string, currency string, transaction_id string"))
     rows = rows.withColumn("p", flatten_properties(F.col("r.properties")))
     r, u, p, ec = (lambda n: F.col(f"r.{n}")), (lambda n: F.col(f"u.{n}")), (lambda n: F.col("p")[n]), (lambda n: F.col(f"ec.{n}"))
 
     # Values used more than once become columns of their own, so that they are computed once per row.
     profile = first_filled(r("profileId"), r("profile_id"))
     envelope = F.when(~F.col("envelope").isin("", "track"), F.col("envelope"))
-    rows = rows.withColumn("name", F.coalesce(first_filled(r("name"), r("event")), envelope, F.when(profile.isNotNull(), F.lit("identify")), F.lit("")))
+    named = F.coalesce(first_filled(r("name"), r("event")), envelope, F.when(profile.isNotNull(), F.lit("identify")), F.lit(""))
     identify = F.col("name") == "identify"
     shop_text = first_filled(r("shop_id"), r("client_id"), F.col("header_shop_id"), F.col("query_shop_id"))
     tenant_text = first_filled(r("tenant_id"), F.col("header_tenant_id"), F.col("query_tenant_id"))
-    rows = rows.withColumn("shop_id", uuid_or_null(shop_text)).withColumn("tenant_id", uuid_or_null(tenant_text))
-    rows = rows.withColumn("ip", client_ip(r("ip"), u("client_ip_address")))
-    rows = rows.withColumn("ua", F.coalesce(first_filled(r("user_agent"), u("client_user_agent")), F.col("_header_ua"), F.lit("")))
+    rows = _once(rows, name=named, shop_id=uuid_or_null(shop_text), tenant_id=uuid_or_null(tenant_text), ip=client_ip(r("ip"), u("client_ip_address")),
+                 ua=F.coalesce(first_filled(r("user_agent"), u("client_user_agent")), F.col("_header_ua"), F.lit("")))
     rows = with_agent(rows, "ua")
     items_text = F.coalesce(F.when(r("items").startswith("[{"), r("items")), ec("items"))
     rows = rows.withColumn("items", F.from_json(items_text, ITEM_DDL))
