@@ -332,3 +332,17 @@ def test_filters_on_requests_do_not_parse_again(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert all(line.count("from_json") <= 2 for line in plan.splitlines() if "Filter" in line)
     assert len(kept.collect()) == 1
+
+
+def test_fit_in_parts_of_the_cores(spark, monkeypatch):
+    """What a fit sends to the driver does not grow with the partitions of its rows; the weights stay the same."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from tidemark.operators.scoring import train
+
+    parts, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, data: (parts.append(data.rdd.getNumPartitions()), fit(self, data))[1])
+    rows = spark.range(0, 400, 1, 200).selectExpr("id % 7 as a", "id % 3 as b", "cast((id % 7 + id % 5) > 5 as int) as y")
+    many, one = (train(r, "y", {"a": "a", "b": "b"}) for r in (rows, rows.coalesce(1)))
+    assert parts[0] <= 2 * spark.sparkContext.defaultParallelism
+    assert many == pytest.approx(one, abs=1e-3)

@@ -124,7 +124,8 @@ def train(rows: DataFrame, label: str, columns: dict[str, str], standardise: boo
         raise ValueError(f"{label} has one class only")
     balance = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     data = rows.select(F.col(label).cast("double").alias("label"), balance.alias("weight"), *[F.col(c).cast("double").alias(f) for f, c in columns.items()])
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(data)
+    # Every step of the fit sends something from each partition to the driver, so their number follows the cores, not the input.
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(data).coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     model = LogisticRegression(weightCol="weight", maxIter=500, regParam=1.0 / n, standardization=standardise).fit(data)
     return {"bias": float(model.intercept), **{f: float(w) if places is None else round(float(w), places) for f, w in zip(names, model.coefficients)}}
 
