@@ -568,3 +568,18 @@ def test_native_plan(spark):
     plan = QUERIES["op5_secrets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_toxicity_forgets_with_its_task():
+    """What a scorer remembers of tokens does not stay in a worker that later stages use."""
+    import numpy as np
+
+    from tidemark.llm import toxicity
+
+    scorer = toxicity.Scorer(toxicity.LetterModel(np.ones(toxicity.CLASSES ** 4, np.int64)), {"bad": 2.0}, np.array([0.0, 1.0, 0.0, 0.0]))
+    before = scorer.score("a b4d bad word")
+    scorer.restorer.restore("b4d")
+    assert scorer.token_weight and scorer.restorer.known
+    scorer.forget()
+    assert not scorer.token_weight and not scorer.restorer.known
+    assert scorer.score("a b4d bad word") == before

@@ -34,8 +34,13 @@ def remainder(doc_id: str, parts: int) -> Column:
 
 
 def text_bytes(values) -> Iterator[bytes]:
-    """UTF-8 of each text of an Arrow column; null counts as empty."""
-    return (b"" if v is None else v for v in values.cast("binary").to_pylist())
+    """UTF-8 of each text of an Arrow column, one at a time; null counts as empty."""
+    return (v.as_py() or b"" for v in values.cast("binary"))
+
+
+def texts_of(values) -> Iterator[str]:
+    """Each text of an Arrow column, one at a time, so that a batch of texts is not held twice; null counts as empty."""
+    return (v.as_py() or "" for v in values)
 
 
 def word_blocks(data: bytes, carry: int, separator: re.Pattern = SPACE, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:

@@ -20,6 +20,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 24, 5
 PIECE = 1 << 12
+SETS = 256
 
 _numbers = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
 FACTORS, SHIFTS = _numbers[0] | np.uint64(1), _numbers[1]
@@ -78,10 +79,12 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(row, digest, bands) of the rows (row, text)."""
     def run(batches):
         for batch in batches:
-            values = list(text_bytes(batch.column("text")))
+            digests, names = [], []
+            for text in text_bytes(batch.column("text")):
+                digests.append(digest(text))
+                names.append(bands(text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(list(map(digest, values)), pa.int64()),
-                 pa.array(list(map(bands, values)), pa.list_(pa.int64()))], ["row", "digest", "bands"])
+                [batch.column("row"), pa.array(digests, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["row", "digest", "bands"])
 
     return texts.select("row", "text").mapInArrow(run, "row bigint, digest bigint, bands array<bigint>")
 
@@ -90,8 +93,10 @@ def sets(texts: DataFrame) -> DataFrame:
     """(row, shingles) of the rows (row, text): the sorted distinct shingle hashes, eight bytes each."""
     def run(batches):
         for batch in batches:
-            found = [shingle_set(t).tobytes() for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.binary())], ["row", "shingles"])
+            for at in range(0, batch.num_rows, SETS):
+                some = batch.slice(at, SETS)
+                found = [shingle_set(t).tobytes() for t in text_bytes(some.column("text"))]
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(found, pa.binary())], ["row", "shingles"])
 
     return texts.select("row", "text").mapInArrow(run, "row bigint, shingles binary")
 
@@ -104,8 +109,8 @@ def proved(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            both = zip(batch.column("shingles").to_pylist(), batch.column("other_shingles").to_pylist())
-            keep = [jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in both]
+            both = zip(batch.column("shingles"), batch.column("other_shingles"))  # read where they lie, not copied
+            keep = [jaccard(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair)) >= least for pair in both]
             yield batch.select(["label", "other_label"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("label", "shingles", "other_label", "other_shingles").mapInArrow(

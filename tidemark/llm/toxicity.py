@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
-from tidemark.llm.common import BLOCK, text_bytes
+from tidemark.llm.common import BLOCK, text_bytes, texts_of
 
 CLASSES = 28
 OTHER, GAP = 27, 0
@@ -168,6 +168,10 @@ class Restorer:
                 options.append([(s, CHANGE) for s in STANDS_FOR.get(c, "")] + [(c, 0.0)])
         return viterbi(options, self.model)
 
+    def forget(self) -> None:
+        """What is remembered goes with its task: workers are used again by later stages, which need the memory."""
+        self.known.clear()
+
     def words(self, text: str) -> list[str]:
         """Restored words of a text in order."""
         return [w for t in self.tokens(text) for w in self.restore(t)]
@@ -210,6 +214,10 @@ class Scorer:
         self.token_weight[token] = found
         return found
 
+    def forget(self) -> None:
+        self.token_weight.clear()
+        self.restorer.forget()
+
     def evidence(self, text: str) -> tuple[float, float, float]:
         """The largest weight of a word, the second largest, and the sum of the rest over the square root of their number."""
         tokens = set(self.restorer.tokens(text))
@@ -280,7 +288,7 @@ def learn(docs: DataFrame, sample: DataFrame, text: str = "text") -> Scorer | No
     def features(batches):
         restorer, found, sizes = Restorer(letters.value), {}, [0, 0]
         for batch in batches:
-            for value, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            for value, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist()):
                 side = int(label > 0)
                 sizes[side] += 1
                 words = {w for t in set(restorer.tokens(value)) for w in restorer.restore(t)}
@@ -304,9 +312,11 @@ def learn(docs: DataFrame, sample: DataFrame, text: str = "text") -> Scorer | No
     def evidence(batches):
         for batch in batches:
             rows = np.array([others.value[int(label > 0)].evidence(text) for text, label in zip(
-                batch.column("text").to_pylist(), batch.column("label").to_pylist())]).reshape(-1, 3)
+                texts_of(batch.column("text")), batch.column("label").to_pylist())]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T] + [batch.column("label").cast("double")],
                                              ["a", "b", "c", "y"])
+        for scorer in others.value:
+            scorer.forget()
 
     rows = sample.select("text", "label").mapInArrow(evidence, "a double, b double, c double, y double").toArrow()
     values = np.column_stack([c.to_numpy() for c in rows.columns])
@@ -324,8 +334,10 @@ def score(docs: DataFrame, scorer: Scorer | None, doc_id: str = "doc_id", text:
     def run(batches):
         known = shared.value
         for batch in batches:
-            scores = [0.0 if known is None else known.score(t or "") for t in batch.column("text").to_pylist()]
+            scores = [0.0 if known is None else known.score(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        if known is not None:
+            known.forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double").withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
@@ -338,7 +350,9 @@ def reject(docs: DataFrame, scorer: Scorer | None, text: str = "text", threshold
     def run(batches):
         known = shared.value
         for batch in batches:
-            clean = [known is None or known.score(t or "") < threshold for t in batch.column(text).to_pylist()]
+            clean = [known is None or known.score(t) < threshold for t in texts_of(batch.column(text))]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        if known is not None:
+            known.forget()
 
     return docs.mapInArrow(run, docs.schema)
