@@ -346,3 +346,20 @@ def test_fit_in_parts_of_the_cores(spark, monkeypatch):
     many, one = (train(r, "y", {"a": "a", "b": "b"}) for r in (rows, rows.coalesce(1)))
     assert parts[0] <= 2 * spark.sparkContext.defaultParallelism
     assert many == pytest.approx(one, abs=1e-3)
+
+
+def test_newest_windows_leave_events_where_they_are(spark):
+    """Windows of few shops do not deal events by shop; few and many shops give the same."""
+    from tidemark.operators import realtime as R
+
+    ev = events(spark, [(i, f"d{i % 7}", "a", i * 3600) for i in range(100)])
+    found, few = [], R.FEW_SHOPS
+    try:
+        for R.FEW_SHOPS in (few, 0):
+            out = R.widened(ev, BASE + timedelta(days=4), F.lit(True))
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (R.FEW_SHOPS > 0)
+            found.append(sorted(r.id for r in out.collect()))
+    finally:
+        R.FEW_SHOPS = few
+    assert found[0] == found[1] and len(found[0]) == 25

@@ -15,6 +15,8 @@ from tidemark.schema import SHOP
 
 # Coordinates shown for events that have a country but no position.
 DEFAULT_POSITION = (37.75, -97.82)
+# One row each of up to so many shops is sent to every executor.
+FEW_SHOPS = 10_000
 
 
 def widened(ev: DataFrame, as_of: datetime, keep: Column) -> DataFrame:
@@ -24,7 +26,10 @@ def widened(ev: DataFrame, as_of: datetime, keep: Column) -> DataFrame:
     last = rows.groupBy(*SHOP).agg(F.max("created_at").alias("_last"))
     day, week = ts(as_of - timedelta(hours=24)), ts(as_of - timedelta(days=7))
     start = F.when(F.col("_last") >= day, day).when(F.col("_last") >= week, week)
-    return rows.join(last.withColumn("_from", start).drop("_last"), SHOP).where(F.col("_from").isNull() | (F.col("created_at") >= F.col("_from"))).drop("_from")
+    # The windows of few shops are broadcast; a shuffle by shop would make all events of one a task.
+    few = last.limit(FEW_SHOPS + 1).count() <= FEW_SHOPS
+    last = last.withColumn("_from", start).drop("_last")
+    return rows.join(F.broadcast(last) if few else last, SHOP).where(F.col("_from").isNull() | (F.col("created_at") >= F.col("_from"))).drop("_from")
 
 
 def _counted(rows: DataFrame, keys: list[str], durations: bool = False) -> DataFrame:
