@@ -52,10 +52,11 @@ def retention(ev: DataFrame, first: Sequence[str], second: Sequence[str], period
 
 
 def _mean(percentage: str) -> Column:
-    """Mean of percentages of two decimals, to two decimals. Their hundredths are summed as whole numbers, since a sum of
-    doubles depends on the order of the rows, which decides means that lie halfway."""
-    hundredths = F.sum(F.round(F.col(percentage) * 100).cast("bigint"))
-    return round_to(hundredths / F.lit(100.0) / F.count(percentage), 2)
+    """Mean of percentages, 100 at most, to two decimals. The doubles are summed exactly, as whole multiples of 2 ** -55, and
+    rounded once: a plain sum depends on the order of the rows, which decides means that lie halfway."""
+    unit = F.lit(2.0 ** 55)
+    total = F.sum((F.col(percentage) * unit).cast("bigint").cast("decimal(20,0)")).cast("double") / unit
+    return round_to(total / F.count(percentage), 2)
 
 
 def retention_average(table: DataFrame) -> DataFrame:
