@@ -6,6 +6,8 @@ return the columns of ``docs``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ from tidemark.functions.lineage import scratch
 from tidemark.llm import decontamination, packing, secrets, similarity, simhash, toxicity
 from tidemark.llm.common import labelled_sample, read
 
+BATCH = 4 << 20
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the classifier learns from this stage's own rows and the table of labels."""
@@ -38,16 +42,27 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their training sequences, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
+
+
+def in_small_batches(stage):
+    """``stage`` with Arrow batches of at most ``BATCH`` bytes: a batch is held by the JVM and by its Python worker, several times over
+    while it grows, and the stages follow each other in the same processes."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
-STAGES = [
+STAGES = [(name, in_small_batches(stage)) for name, stage in [
     ("toxicity", without_toxic),
     ("simhash near-dedup", without_near_duplicates),
     ("benchmark decontamination", without_benchmark),
     ("secret scans", without_secrets),
     ("packing", packed),
-]
+]]
 
 # SQL has neither the learned stage nor the fingerprints: tests compare each stage with a brute-force version.
 ORACLE_SQL = None

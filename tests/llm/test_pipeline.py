@@ -8,11 +8,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import common, licenses, secrets, similarity, simhash
+from tidemark.llm import common, licenses, secrets, similarity, simhash, tokens
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [a + b + c for a in ("ba", "co", "di", "fu", "le") for b in ("ran", "mel", "tos", "vik") for c in ("a", "en", "ir", "os", "um")]
@@ -124,6 +125,54 @@ def test_texts_of_one_template(spark):
     assert ids == set(classes(alike + apart, 0.8)) and len(ids) > 290 and took < 60
 
 
+def test_pairs_that_cannot_be_similar_are_not_made(spark):
+    """Of two hundred texts of one template that differ too much, every two share a bucket and none is compared."""
+    rng = random.Random(8)
+    loose = prose(rng, 300).split()
+    apart = [" ".join(loose + [f"v{i}x{j}" for j in range(60)]) for i in range(200)]
+    texts = spark.createDataFrame(list(enumerate(apart)), "row bigint, text string")
+    members = texts.select("row", F.col("row").alias("label"), F.lit(1).alias("band"))
+    held = similarity.sets(texts)
+    assert simhash._each_other(members, held, 0.8).count() == 0
+    assert simhash._each_other(members, held, 0.6).count() == 200 * 199 // 2
+
+
+def test_cells_refuse_no_similar_pair(spark):
+    rng = random.Random(9)
+    words = prose(rng, 400).split()
+    texts = ["", "one", *(" ".join(words[:400 - 8 * i] + [f"w{i}x{j}" for j in range(3 * i)]) for i in range(12)), *(prose(rng, n) for n in (4, 5, 900, 9_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    held = similarity.sets(rows)
+    both = held.crossJoin(held.select(*[F.col(c).alias(f"other_{c}") for c in held.columns]))
+    for least in (0.5, 0.8, 0.95):
+        may = {(r.row, r.other_row) for r in both.where(similarity.may_reach(least)).select("row", "other_row").collect()}
+        sets = [similarity.shingle_set(t.encode()) for t in texts]
+        similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a) and len(b) and similarity.jaccard(a, b) >= least}
+        assert similar <= may and len(similar) > len(texts) - 2
+
+
+def test_stages_leave_little_behind(spark):
+    """Batches are bounded in every stage, and what a task of the last one has learnt of words goes with it."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        docs = documents(spark, ["x" * 500_000] * 40).coalesce(1)
+        corpus_pipeline.STAGES[3][1](spark, docs, "")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n_chars": pa.array([batch.nbytes], pa.int64())})
+
+        most = docs.mapInArrow(sizes, "n_chars bigint").agg(F.max("n_chars")).first()[0]
+        assert most <= corpus_pipeline.BATCH + 500_100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    words = tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    first = words.ids([b"some words kept"])[0].tolist()
+    assert words.known
+    words.forget()
+    assert not words.known and not words.older and words.ids([b"some words kept"])[0].tolist() == first
+
+
 def test_chain_inside_a_bucket(spark):
     """Texts that their bucket's first one does not reach, but each other."""
     rng = random.Random(7)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.lineage import cut
-from tidemark.llm.common import text_bytes, word_blocks
+from tidemark.llm.common import returning, text_bytes, word_blocks
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -182,7 +182,7 @@ def _search(rows: DataFrame, windows, text: str, again: bool, finish) -> DataFra
                 columns["hit_items"] = pa.array([sorted(items[d]) if d in items else [] for d in range(len(counts))], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return rows.mapInArrow(run, T.StructType(fields + ([] if finish else FOUND)))
+    return rows.mapInArrow(returning(run), T.StructType(fields + ([] if finish else FOUND)))
 
 
 def cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.llm.common import returning
 from tidemark.llm.tokens import WordTokens, tokens
 
 CAPACITY = 4096
 END_ID = 2
 POOL = 256
+# Ids of finished windows that a task holds before it hands them on.
+READY_IDS = 1 << 20
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """How many pieces of each length to take so that their total is closest to ``capacity`` from below.
@@ -64,12 +67,14 @@ class Packer:
         self.pieces: dict[int, list] = defaultdict(list)
         self.held = self.windows = 0
         self.ready: list[tuple] = []
+        self.ready_ids = 0
 
     def _window(self, pieces: list[tuple]) -> None:
         offset = 0
         for key, start, ids, tokens in pieces:
             self.ready.append((key, start, ids, tokens, self.windows, offset))
             offset += len(ids)
+        self.ready_ids += offset
         self.windows += 1
 
     def add(self, key, ids: np.ndarray) -> None:
@@ -126,13 +131,14 @@ class Packer:
             self._fill()
 
     def rows(self) -> list[tuple]:
-        out, self.ready = self.ready, []
+        out, self.ready, self.ready_ids = self.ready, [], 0
         return out
 
 
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-         end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids."""
+         end_id: int = END_ID, with_ids: bool = True, keep_words: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, its ids. The words of a
+    task are kept for the next one of its worker; without ``keep_words`` they go, where other stages need the memory."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind, id_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
     schema = (f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
@@ -154,11 +160,14 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-        for key, ids in tokens(WordTokens, tokenizer).rows(batches, end_id):
+        words = tokens(WordTokens, tokenizer)
+        for key, ids in words.rows(batches, end_id):
             packer.add(key, ids)
-            if len(packer.ready) >= 5_000:
+            if len(packer.ready) >= 5_000 or packer.ready_ids >= READY_IDS:
                 yield from flush()
         packer.finish()
         yield from flush()
+        if not keep_words:
+            words.forget()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returning(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 from tidemark.llm import similarity
-from tidemark.llm.common import LOWER, few_or_many, text_bytes, word_blocks
+from tidemark.llm.common import LOWER, few_or_many, returning, text_bytes, word_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             values = np.fromiter(map(fingerprint, text_bytes(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return ids.mapInArrow(run, schema)
+    return ids.mapInArrow(returning(run), schema)
 
 
 def _masks(half: int) -> list[int]:
@@ -120,18 +120,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return _classes(prints, distinct, components(links(distinct, radius)))
 
 
-def _pairs(named: DataFrame, star: bool) -> DataFrame:
-    """Candidates (row, label, other_row, other_label) of the buckets of (row, label, band) that hold several labels:
-    every text with the first one of its bucket, or every two texts of different labels."""
+def _open(nodes: DataFrame) -> DataFrame:
+    """(row, label, band, first) of the buckets that hold several labels, with the first text of each."""
+    named = nodes.select("row", "label", F.explode("bands").alias("band"))
     first = F.min(F.struct("row", "label"))
     buckets = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("first"))
-    buckets = buckets.where("low < high")
-    if star:
-        pairs = named.join(buckets, "band").select("row", "label", F.col("first.row").alias("other_row"), F.col("first.label").alias("other_label"))
-        return pairs.where("label <> other_label").distinct()
-    members = named.join(buckets, "band", "left_semi")
-    others = members.select("band", F.col("row").alias("other_row"), F.col("label").alias("other_label"))
-    return members.join(others, "band").where("row < other_row and label <> other_label").drop("band").distinct()
+    return named.join(buckets.where("low < high").select("band", "first"), "band")
+
+
+def _with_first(members: DataFrame) -> DataFrame:
+    """Candidates (row, label, other_row, other_label): every text with the first one of each of its buckets."""
+    pairs = members.select("row", "label", F.col("first.row").alias("other_row"), F.col("first.label").alias("other_label"))
+    return pairs.where("label <> other_label").distinct()
+
+
+def _each_other(members: DataFrame, held: DataFrame, similar: float) -> DataFrame:
+    """Candidates (row, label, other_row, other_label): every two texts of a bucket that differ in label and may be ``similar``."""
+    members = members.select("band", "row", "label").join(held.select("row", "size", "cells"), "row")
+    others = members.select("band", *[F.col(c).alias(f"other_{c}") for c in ("row", "label", "size", "cells")])
+    apart = F.expr("row < other_row and label <> other_label")
+    return members.join(others, "band").where(apart & similarity.may_reach(similar)).select("row", "label", "other_row", "other_label").distinct()
 
 
 def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, similar: float) -> DataFrame:
@@ -141,17 +149,21 @@ def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, si
     candidate whose labels differ when its turn comes is verified. There are two turns. The first compares each text
     with the first of each of its buckets, which is linear and joins a group of near copies, whatever its size. The
     second compares what is still apart: the pairs left are texts that share a band although they are less than
-    ``similar``, and the few that their first text did not join.
+    ``similar``, and the few that their first text did not join. Of those, pairs whose cells show that they cannot be
+    ``similar`` are never made.
     """
     sketches = similarity.sketches(texts).join(prints, "row")
     nodes = sketches.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     nodes = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select(
         "row", "fp", F.coalesce("label", "fp").alias("label"), "bands"))
+    held = None
     for star in (True, False):
-        pairs = cut(_pairs(nodes.select("row", "label", F.explode("bands").alias("band")), star))
-        rows = cut(pairs.select("row").unionAll(pairs.select(F.col("other_row").alias("row"))).distinct())
-        held = cut(similarity.sets(texts.join(few_or_many(rows), "row", "left_semi")))
-        both = pairs.join(held, "row").join(
+        members = _open(nodes)
+        if held is None:  # buckets that are open in the second turn were so in the first
+            rows = cut(members.select("row").distinct())
+            held = cut(similarity.sets(texts.join(few_or_many(rows), "row", "left_semi")))
+        pairs = cut(_with_first(members) if star else _each_other(members, held, similar))
+        both = pairs.join(held.select("row", "shingles"), "row").join(
             held.select(F.col("row").alias("other_row"), F.col("shingles").alias("other_shingles")), "other_row")
         found = similarity.proved(both, similar).select(
             F.least("label", "other_label").alias("lo"), F.greatest("label", "other_label").alias("fp")).distinct()

@@ -11,16 +11,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, text_bytes, word_blocks
+from tidemark.llm.common import LOWER, returning, text_bytes, word_blocks
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 24, 5
 PIECE = 1 << 12
 SETS = 256
+# Cells over which the shingles of a text are spread, one bit each.
+CELLS = 2048
 
 _numbers = np.random.default_rng(20).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
 FACTORS, SHIFTS = _numbers[0] | np.uint64(1), _numbers[1]
@@ -64,6 +66,13 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.array([], np.uint64)
 
 
+def cells(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each cell that holds a shingle, as signed 64-bit words."""
+    held = np.zeros(CELLS, np.uint8)
+    held[shingles % np.uint64(CELLS)] = 1
+    return np.packbits(held).view(np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared / max(1, len(a) + len(b) - shared)
@@ -86,19 +95,30 @@ def sketches(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(digests, pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["row", "digest", "bands"])
 
-    return texts.select("row", "text").mapInArrow(run, "row bigint, digest bigint, bands array<bigint>")
+    return texts.select("row", "text").mapInArrow(returning(run), "row bigint, digest bigint, bands array<bigint>")
 
 
 def sets(texts: DataFrame) -> DataFrame:
-    """(row, shingles) of the rows (row, text): the sorted distinct shingle hashes, eight bytes each."""
+    """(row, shingles, size, cells) of the rows (row, text): the sorted distinct shingle hashes, eight bytes each, their number
+    and the cells they lie in."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SETS):
                 some = batch.slice(at, SETS)
-                found = [shingle_set(t).tobytes() for t in text_bytes(some.column("text"))]
-                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(found, pa.binary())], ["row", "shingles"])
+                found = [shingle_set(t) for t in text_bytes(some.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("row"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(map(len, found), pa.int64()),
+                     pa.array(map(cells, found), pa.list_(pa.int64()))], ["row", "shingles", "size", "cells"])
+
+    return texts.select("row", "text").mapInArrow(returning(run), "row bigint, shingles binary, size bigint, cells array<bigint>")
+
 
-    return texts.select("row", "text").mapInArrow(run, "row bigint, shingles binary")
+def may_reach(least: float) -> Column:
+    """False only where the sets of (size, cells) and (other_size, other_cells) are certainly less than ``least`` similar: every cell
+    that one of them holds and the other does not holds a shingle of one alone, and those are too many."""
+    a, b = F.col("size"), F.col("other_size")
+    apart = F.aggregate(F.zip_with("cells", "other_cells", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return (F.least(a, b) >= F.greatest(a, b) * least) & (apart * (1 + least) <= (a + b) * (1 - least) + 1e-6)
 
 
 def proved(pairs: DataFrame, least: float) -> DataFrame:
@@ -114,4 +134,4 @@ def proved(pairs: DataFrame, least: float) -> DataFrame:
             yield batch.select(["label", "other_label"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("label", "shingles", "other_label", "other_shingles").mapInArrow(
-        run, "label bigint, other_label bigint")
+        returning(run), "label bigint, other_label bigint")

@@ -55,6 +55,10 @@ class Tokens:
         self.older: dict[bytes, bytes] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        """The words kept go; the next ones go to the tokenizer again."""
+        self.known, self.older, self.held = {}, {}, 0
+
     def joins(self, texts: list[str]) -> list[bool]:
         """Which words may be encoded together with others."""
         raise NotImplementedError

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
-from tidemark.llm.common import BLOCK, text_bytes, texts_of
+from tidemark.llm.common import BLOCK, returning, text_bytes, texts_of
 
 CLASSES = 28
 OTHER, GAP = 27, 0
@@ -74,7 +74,7 @@ def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], ["code", "n"])
 
-    table = rows.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = rows.mapInArrow(returning(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES ** 4, np.int64)
     out[table.column("code").to_numpy()] = table.column("n").to_numpy()
     return out
@@ -299,7 +299,7 @@ def learn(docs: DataFrame, sample: DataFrame, text: str = "text") -> Scorer | No
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[f][1] for f in names], pa.int64()),
                                           pa.array([found[f][0] for f in names], pa.int64())], ["feature", "toxic", "clean"])
 
-    counts = sample.select("text", "label").mapInArrow(features, "feature string, toxic bigint, clean bigint")
+    counts = sample.select("text", "label").mapInArrow(returning(features), "feature string, toxic bigint, clean bigint")
     counts = cut(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     size = counts.where("feature = ''").agg(F.sum("toxic"), F.sum("clean")).first()
     counts = counts.where((F.col("feature") == "") | may_weigh(F.col("toxic"), F.col("clean"), size[0] or 0, size[1] or 0))
@@ -318,7 +318,7 @@ def learn(docs: DataFrame, sample: DataFrame, text: str = "text") -> Scorer | No
         for scorer in others.value:
             scorer.forget()
 
-    rows = sample.select("text", "label").mapInArrow(evidence, "a double, b double, c double, y double").toArrow()
+    rows = sample.select("text", "label").mapInArrow(returning(evidence), "a double, b double, c double, y double").toArrow()
     values = np.column_stack([c.to_numpy() for c in rows.columns])
     values = values[np.lexsort(values.T)]
     return Scorer(model, fit_weights(table, toxic, clean), fit_curve(values[:, :3], (values[:, 3] > 0).astype(float)))
@@ -339,7 +339,7 @@ def score(docs: DataFrame, scorer: Scorer | None, doc_id: str = "doc_id", text:
         if known is not None:
             known.forget()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double").withColumn(
+    return rows.mapInArrow(returning(run), f"doc_id {kind}, score double").withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -355,4 +355,4 @@ def reject(docs: DataFrame, scorer: Scorer | None, text: str = "text", threshold
         if known is not None:
             known.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
