@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +364,17 @@ def test_newest_windows_leave_events_where_they_are(spark):
     finally:
         R.FEW_SHOPS = few
     assert found[0] == found[1] and len(found[0]) == 25
+
+
+def test_stored_events_shuffle_raw_columns_only(tables, spark, tmp_path):
+    """What follows from the raw columns is added behind the shuffles; the table is the same and in the same order."""
+    plan = tables._facts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any(f"{c}#" in plan for c in ("referrer", "browser", "properties", "session_id"))
+    whole, path = sessionize(tables.ev, 12 * 3600), f"file://{tmp_path}/evs"
+    tables._write_evs(path)
+    text = lambda df: df.select([F.to_json(c) if c == "properties" else F.col(c).cast("string") for c in sorted(whole.columns)])
+    got, want = text(spark.read.parquet(path)), text(whole)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    for file in (tmp_path / "evs").rglob("*.parquet"):
+        rows = [(r["tenant_id"], r["shop_id"], r["created_at"]) for r in pq.ParquetFile(file).read(["tenant_id", "shop_id", "created_at"]).to_pylist()]
+        assert rows == sorted(rows)

@@ -106,6 +106,11 @@ def sessions(ev: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
     return session_rows(folded_spans(ev, timeout))
 
 
+def with_session_ids(ev: DataFrame) -> DataFrame:
+    """``session_id`` of events that carry their ``session_start``."""
+    return ev.withColumn("session_id", session_key(micros(F.col("session_start"))))
+
+
 def inherit_referrer(ev: DataFrame, se: DataFrame) -> DataFrame:
     """Events with their session's first referrer; blanks of the first touch leave the event's own."""
     fields = ["referrer", "referrer_name", "referrer_type"]

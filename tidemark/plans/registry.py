@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import scratch
 from tidemark.functions.timeutil import Period, event_months, resolve_period
-from tidemark.operators.sessions import sessionize, sessions
+from tidemark.operators.sessions import sessionize, sessions, with_session_ids
 from tidemark.schema import configure
 from tidemark.sources import testdata
 from tidemark.sources.tables import read_events, write_events
@@ -45,15 +45,23 @@ class Tables:
         """Canonical events without sessions."""
         return testdata.events(self.spark, self.sf_dir)
 
+    @cached_property
+    def _facts(self) -> DataFrame:
+        """Raw events with the start of their session. Everything else follows row by row, so shuffles need not carry it."""
+        return sessionize(testdata.facts(self.spark, self.sf_dir), TIMEOUT).drop("session_id")
+
     @cached_property
     def computed_evs(self) -> DataFrame:
         """Canonical events with session ids, sessionised by the query itself."""
-        return sessionize(self.ev, TIMEOUT)
+        return with_session_ids(testdata.canonical(self._facts, "session_start"))
 
     @cached_property
     def computed_se(self) -> DataFrame:
         return sessions(self.ev, TIMEOUT)
 
+    def _write_evs(self, path: str) -> None:
+        write_events(self._facts, path, finish=lambda rows: with_session_ids(testdata.canonical(rows, "session_start", "event_month")))
+
     def _stored(self, name: str, build: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
         """A table of the shared folder, built once per application and input and read by all reports. Where no such folder is named,
         each report derives its table itself."""
@@ -85,7 +93,7 @@ class Tables:
         return self._events(months)
 
     def _events(self, months: list[int] | None) -> DataFrame:
-        rows = self._stored("evs", lambda path: write_events(self.computed_evs, path), lambda path: read_events(self.spark, path))
+        rows = self._stored("evs", self._write_evs, lambda path: read_events(self.spark, path))
         if "event_month" not in rows.columns:  # sessionised by the query itself
             return rows
         return (rows if months is None else rows.where(F.col("event_month").isin(months))).drop("event_month")

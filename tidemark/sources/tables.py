@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,12 +21,14 @@ VERSIONED = {
 }
 
 
-def write_events(ev: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(ev: DataFrame, path: str, mode: str = "append", finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Month-partitioned events, clustered so that tenant, shop and date filters skip row groups.
-    The range split is on the sort key itself, so one large shop spreads over many files."""
+    The range split is on the sort key itself, so one large shop spreads over many files. ``finish`` adds columns that follow from
+    others row by row, after the shuffle, which need not carry them; it keeps ``event_month``."""
     keys = ["event_month", *SHOP, "created_at"]
     out = ev.withColumn("event_month", F.date_format("created_at", "yyyyMM").cast("int"))
-    out.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy("event_month").parquet(path)
+    out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    (finish(out) if finish else out).write.mode(mode).partitionBy("event_month").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str, period: Period | None = None, scope: Column | None = None) -> DataFrame:

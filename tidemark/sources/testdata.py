@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.currency import DEFAULT_RATES
-from tidemark.schema import configure
+from tidemark.schema import DEVICE, configure
 
 # One text serves Spark and DuckDB; {jk} reads the JSON field and {string} names the text type.
-CANONICAL = """
-SELECT event_id AS id, 1 AS tenant_id, user_id % 3 AS shop_id,
+_COLUMNS = """event_id AS id, 1 AS tenant_id, user_id % 3 AS shop_id,
   concat('dev-', cast(user_id AS {string})) AS device_id,
   CASE WHEN user_id % 4 = 0 THEN concat('cust-', cast(user_id AS {string})) END AS customer_id,
   CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart'
@@ -34,6 +33,9 @@ SELECT event_id AS id, 1 AS tenant_id, user_id % 3 AS shop_id,
   ts AS created_at
 FROM (SELECT *, cast({jk} AS int) AS k FROM {events})
 """
+CANONICAL = "\nSELECT " + _COLUMNS
+# The raw columns, from which all others follow.
+RAW = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 USD = """
 SELECT *, cast(round(revenue / CASE currency WHEN 'EUR' THEN 0.89 WHEN 'GBP' THEN 0.77 WHEN 'BDT' THEN 123.0 ELSE 1.0 END)
@@ -47,17 +49,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events with USD cents and a one-entry property map."""
+    return canonical(table(spark, sf_dir, "events"))
+
+
+def canonical(raw: DataFrame, *more: str) -> DataFrame:
+    """Canonical events of raw ones; columns named in ``more`` are passed on after theirs."""
     from pyspark.sql import functions as F
 
     from tidemark.functions.currency import to_usd
 
-    raw = table(spark, sf_dir, "events")
-    text = CANONICAL.format(jk="get_json_object(props,'$.k')", string="string", events="{raw}")
-    ev = spark.sql(text, raw=raw)
+    text = "\nSELECT " + _COLUMNS.replace("ts AS created_at\n", ", ".join(["ts AS created_at", *more]) + "\n")
+    ev = raw.sparkSession.sql(text.format(jk="get_json_object(props,'$.k')", string="string", events="{raw}"), raw=raw)
     return ev.withColumn("revenue_usd", to_usd(F.col("revenue"), F.col("currency"), DEFAULT_RATES)).withColumn(
         "properties", F.create_map(F.lit("k"), F.col("product_id").cast("string")))
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events with the device and instant of the canonical ones: what has to be shuffled to find sessions."""
+    return canonical(table(spark, sf_dir, "events"), *RAW).select(*DEVICE, "created_at", *RAW)
+
+
 def duckdb_canonical() -> str:
     inner = CANONICAL.format(jk="json_extract_string(props,'$.k')", string="varchar", events="events")
     return USD.format(canonical=inner)
