@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.enrich.payload import suppress_rapid
 from tidemark.operators import funnel, regions, sketches
 from tidemark.operators.session_store import SessionStore
 from tidemark.operators.sessions import sessionize, sessions
@@ -378,3 +379,25 @@ def test_stored_events_shuffle_raw_columns_only(tables, spark, tmp_path):
     for file in (tmp_path / "evs").rglob("*.parquet"):
         rows = [(r["tenant_id"], r["shop_id"], r["created_at"]) for r in pq.ParquetFile(file).read(["tenant_id", "shop_id", "created_at"]).to_pylist()]
         assert rows == sorted(rows)
+
+
+def test_rapid_duplicates_read_events_twice(tables, spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ev = tables.ev.select("id", "tenant_id", "shop_id", F.lit("d").alias("device_id"), "name", "path", "created_at")
+    ev = ev.mapInArrow(counted, ev.schema)
+    n, kept = ev.count(), suppress_rapid(ev, 3_600_000).collect()
+    assert 0 < len(kept) < n and read.value <= 3 * n
+    last = {}
+    for r in sorted(tables.ev.select("id", "shop_id", "name", "path", "created_at").collect(), key=lambda r: (r.created_at, r.id)):
+        key = (r.shop_id, r.name, r.path)
+        if key not in last or (r.created_at - last[key][0]).total_seconds() >= 3600:
+            last[key] = (r.created_at, r.id)
+            assert any(k.id == r.id for k in kept)
+            n -= 1
+    assert len(kept) == ev.count() - n

@@ -337,23 +337,29 @@ def suppress_rapid(ev: DataFrame, milliseconds: int = 100, keys: Sequence[str] =
 
     keys, width = list(keys), milliseconds * 1000
     rows = ev.withColumn("_at", micros(F.col("created_at"))).withColumn("_chunk", chunk_of(F.col("created_at"), milliseconds / 1000))
-    spans = rows.groupBy(*keys, "_chunk").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    # All that follows is about instants, so events are read once for them and once for the result.
+    instants = cut(rows.groupBy(*keys, "_chunk", "_at").agg(F.min("id").alias("id")))
+    spans = instants.groupBy(*keys, "_chunk").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     spans = number_spans(spans, milliseconds / 1000, keys, closed=False)
     ends = spans.groupBy(*keys, "_start").agg(F.max("_hi").alias("_end"))
-    located = rows.join(spans.select(*keys, "_chunk", "_start"), [*keys, "_chunk"]).join(ends, [*keys, "_start"])
-    short = F.col("_end") - F.col("_start") < width
-    reached = located.where(short | (F.col("_at") == F.col("_start"))).where(F.col("_at") == F.col("_start")).select(*keys, "_at").distinct()
-    points = located.where(~short).groupBy(*keys, "_chunk", "_at").agg(F.first("_start").alias("_start"))
-    tiles = points.withColumn("_tile", F.explode(F.array(F.col("_chunk"), F.col("_chunk") - 1, F.col("_chunk") - 2)))
-    ahead = Window.partitionBy(*keys, "_tile", "_start").orderBy("_at").rangeBetween(width, Window.unboundedFollowing)
-    jumps = tiles.withColumn("_next", F.min("_at").over(ahead)).where((F.col("_tile") == F.col("_chunk")) & F.col("_next").isNotNull()).select(*keys, "_at", "_next")
+    long = spans.join(ends.where(F.col("_end") - F.col("_start") >= width), [*keys, "_start"]).select(*keys, "_chunk", "_start")
+    reached = ends.select(*keys, F.col("_start").alias("_at"))
+    points = instants.drop("id").join(long, [*keys, "_chunk"])
+    # In a tile stand the instants of two chunks and what those of the chunk before ask for: the first instant from _place on. Read
+    # backwards, that is the smallest instant so far, so each row is looked at once, however many a tile holds.
+    asks = F.struct((F.col("_chunk") + 1).alias("tile"), (F.col("_at") + width).alias("place"), F.col("_at").alias("asks"))
+    stands = [F.struct((F.col("_chunk") - back).alias("tile"), F.col("_at").alias("place"), F.lit(None).cast("bigint").alias("asks")) for back in (0, 1)]
+    tiles = points.select(*keys, "_start", F.explode(F.array(asks, *stands)).alias("_t")).select(*keys, "_start", "_t.*")
+    back = Window.partitionBy(*keys, "tile", "_start").orderBy(F.desc("place"), F.asc_nulls_first("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    found = tiles.withColumn("_next", F.min(F.when(F.col("asks").isNull(), F.col("place"))).over(back))
+    jumps = found.where(F.col("asks").isNotNull() & F.col("_next").isNotNull()).select(*keys, F.col("asks").alias("_at"), "_next")
     jumps, reached = cut(jumps), cut(reached)
     while not jumps.isEmpty():
         found = reached.join(jumps, [*keys, "_at"]).select(*keys, F.col("_next").alias("_at"))
         reached = cut(reached.unionByName(found).distinct())
         hop = jumps.select(*keys, F.col("_at").alias("_next"), F.col("_next").alias("_far"))
         jumps = cut(jumps.join(hop, [*keys, "_next"]).select(*keys, "_at", F.col("_far").alias("_next")))
-    kept = rows.groupBy(*keys, "_at").agg(F.min("id").alias("id")).join(reached, [*keys, "_at"], "left_semi")
+    kept = instants.join(reached, [*keys, "_at"], "left_semi").select(*keys, "_at", "id")
     return rows.join(kept, [*keys, "_at", "id"], "left_semi").select(*ev.columns)
 
 
