@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 from tidemark.functions.timeutil import from_micros, micros
-from tidemark.operators.sessions import TIMEOUT_SECONDS, fold_spans, folded_spans, session_key, session_rows, sessionize
+from tidemark.operators.sessions import TIMEOUT_SECONDS, chunk_of, fold_spans, folded_spans, session_key, session_rows, session_spans
 from tidemark.schema import DEVICE, SHOP
 from tidemark.sources.versioned import Versioned
 
@@ -50,8 +50,8 @@ class SessionStore:
         if int(self.spans.notes().get(RUN, -1)) >= run:
             return
         new = new.drop("session_id", "session_start", "day", RUN).withColumn("day", _day(F.col("created_at")))
-        new = new.dropDuplicates([*SHOP, "id", "day"])
         days = [r["day"] for r in new.select("day").distinct().collect()]
+        new = new.dropDuplicates([*SHOP, "id", "day"])
         stored = self.events.read(days)
         if stored is not None:
             new = new.join(stored.where(F.col(RUN) < run).select(*SHOP, "id", "day"), [*SHOP, "id", "day"], "left_anti")
@@ -91,8 +91,10 @@ class SessionStore:
 
     def _store_events(self, new: DataFrame, named: DataFrame, run: int) -> None:
         starts = named.select(*DEVICE, F.col("_lo"), F.col("_start")).distinct()
-        own = sessionize(new, self.timeout).withColumn("_lo", micros(F.col("session_start"))).join(starts, [*DEVICE, "_lo"])
-        rows = own.withColumn(RUN, F.lit(run))
+        # What a chunk belongs to is settled among spans, so that events themselves are joined once.
+        chunks = session_spans(new, self.timeout).withColumnRenamed("_start", "_lo").join(starts, [*DEVICE, "_lo"])
+        own = new.withColumn("_chunk", chunk_of(F.col("created_at"), self.timeout)).join(chunks, [*DEVICE, "_chunk"])
+        rows = own.drop("_chunk").withColumn(RUN, F.lit(run))
         days = {r["day"] for r in new.select("day").distinct().collect()}
         moved = cut(named.where("_lo <> _start").select(*DEVICE, "_lo", "_hi", "_start"))
         for a, b in moved.groupBy((F.col("_lo") / 86_400_000_000).cast("int"), (F.col("_hi") / 86_400_000_000).cast("int")).agg(
