@@ -173,6 +173,35 @@ def test_stages_leave_little_behind(spark):
     assert not words.known and not words.older and words.ids([b"some words kept"])[0].tolist() == first
 
 
+def test_labels_lie_in_as_many_partitions_as_they_need(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [tuple(sorted(rng.sample(range(900), 2))) for _ in range(400)] + [(1000 + i, 1001 + i) for i in range(40)]
+    least = {n: n for e in edges for n in e}
+    for _ in edges:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    links = spark.createDataFrame(edges, "lo bigint, fp bigint")
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        labels = simhash.components(links)
+        assert {r.node: r.label for r in labels.collect()} == least
+        assert labels.rdd.getNumPartitions() == 1
+        monkeypatch.setattr(simhash, "ROWS", 100)
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+        labels = simhash.components(links)
+        assert {r.node: r.label for r in labels.collect()} == least
+        assert labels.rdd.getNumPartitions() == 5
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_chain_inside_a_bucket(spark):
     """Texts that their bucket's first one does not reach, but each other."""
     rng = random.Random(7)

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
 from tidemark.llm import similarity
-from tidemark.llm.common import LOWER, few_or_many, returning, text_bytes, word_blocks
+from tidemark.llm.common import BROADCAST_ROWS, LOWER, few_or_many, returning, text_bytes, word_blocks
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
+# Links of a partition.
+ROWS = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -84,18 +86,24 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over undirected ``edges`` (lo, fp), by label spreading with
-    pointer jumping. Labels halve their distance each round; each round is written to the shared folder."""
-    both = cut(edges.select(F.col("lo").alias("u"), F.col("fp").alias("v"))
-               .unionAll(edges.select(F.col("fp").alias("u"), F.col("lo").alias("v"))))
+    pointer jumping. Labels halve their distance each round; each round is written to the shared folder.
+
+    Links and labels lie in as many partitions as their number asks for, and few labels are broadcast, so that the rounds
+    of a small graph are not dealt over partitions, tasks and files meant for documents."""
+    edges = cut(edges.select("lo", "fp"))
+    parts = 1 + edges.count() // ROWS
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("fp").alias("v")), F.struct(F.col("fp").alias("u"), F.col("lo").alias("v"))))
+    both = edges.coalesce(parts).select(ends.alias("e")).select("e.u", "e.v")
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
-                 .select("node", F.least("node", "least").alias("label")))
+                 .select("node", F.least("node", "least").alias("label")).coalesce(parts))
+    shared = F.broadcast if labels.count() <= BROADCAST_ROWS // 2 else lambda df: df
     while True:
-        spread = (both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node"))
+        spread = (both.join(shared(labels.select(F.col("node").alias("u"), "label")), "u").groupBy(F.col("v").alias("node"))
                   .agg(F.min("label").alias("near")))
-        near = labels.join(spread, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = spread.join(shared(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(near.join(hop, "label", "left")
-                  .select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = cut(near.join(shared(hop), "label", "left")
+                  .select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).coalesce(parts))
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
@@ -154,12 +162,13 @@ def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, si
     """
     sketches = similarity.sketches(texts).join(prints, "row")
     nodes = sketches.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select(
+    nodes = cut(nodes.join(few_or_many(components(edges).withColumnRenamed("node", "fp")), "fp", "left").select(
         "row", "fp", F.coalesce("label", "fp").alias("label"), "bands"))
     held = None
     for star in (True, False):
         members = _open(nodes)
         if held is None:  # buckets that are open in the second turn were so in the first
+            members = cut(members)
             rows = cut(members.select("row").distinct())
             held = cut(similarity.sets(texts.join(few_or_many(rows), "row", "left_semi")))
         pairs = cut(_with_first(members) if star else _each_other(members, held, similar))
@@ -167,8 +176,8 @@ def similar_components(texts: DataFrame, prints: DataFrame, edges: DataFrame, si
             held.select(F.col("row").alias("other_row"), F.col("shingles").alias("other_shingles")), "other_row")
         found = similarity.proved(both, similar).select(
             F.least("label", "other_label").alias("lo"), F.greatest("label", "other_label").alias("fp")).distinct()
-        merged = components(cut(found)).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        nodes = cut(nodes.join(merged, "label", "left").select("row", "fp", F.coalesce("to", "label").alias("label"), "bands"))
+        merged = components(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        nodes = cut(nodes.join(few_or_many(merged), "label", "left").select("row", "fp", F.coalesce("to", "label").alias("label"), "bands"))
     return nodes.select(F.col("fp").alias("node"), "label").distinct()
 
 
