@@ -401,3 +401,94 @@ def test_rapid_duplicates_read_events_twice(tables, spark):
             assert any(k.id == r.id for k in kept)
             n -= 1
     assert len(kept) == ev.count() - n
+
+
+class _Kept:
+    """A value, a map and timers as a stateful processor sees them; counts the turns it takes to the JVM."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.turns = None, {}, set(), 0
+
+    def turn(self, result=None):
+        self.turns += 1
+        return result
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        return self.turn(self.value is not None)
+
+    def get(self):
+        return self.turn(self.value)
+
+    def update(self, value):
+        self.value = self.turn(value)
+
+    def getValue(self, key):
+        return self.turn(self.map.get(key))
+
+    def updateValue(self, key, value):
+        self.map[key] = self.turn(value)
+
+    def registerTimer(self, at):
+        self.turn(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self.turn(self.timers.discard(at))
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_running_features_ask_the_state_for_little():
+    import pandas as pd
+
+    from tidemark.streaming.stateful import RunningFeatures
+
+    rng, ttl, at, events = random.Random(19), 100, 0, []
+    for i in range(600):
+        at += rng.choice([0, 1, 20, 60, 60, 101]) if i % 60 else 500
+        events.append((1, 2, "d", f"e,{i:04d}", datetime(2024, 1, 1), at, rng.choice(["page_view", "page_view", "view_product", "add_to_cart", "purchase", "error"]),
+                       rng.choice(["", *"abcdefgh"]), rng.randrange(9)))
+    columns = ["tenant_id", "shop_id", "device_id", "id", "created_at", "at", "name", "product_id", "usd"]
+
+    def run(batches):
+        kept, processor, out, turns = _Kept(), RunningFeatures(ttl), [], []
+        processor.init(kept)
+        for frames in batches:
+            kept.turns = 0
+            frames = [pd.DataFrame(rng.sample(rows, len(rows)), columns=columns) for rows in frames]
+            found = pd.concat(list(processor.handleInputRows((1, 2, "d"), iter(frames), kept)))
+            out += found[["id", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase"]].values.tolist()
+            turns.append(kept.turns)
+            assert len(kept.timers) == 1
+        return out, turns
+
+    views = carts = usd = 0
+    first = last = viewed = None
+    products, plain = set(), []
+    for *_, id_, _, at, name, product, value in events:
+        if last is None or at - last > ttl:
+            first, views, carts, usd, viewed, products = at, 0, 0, 0, None, set()
+        if viewed is not None and at - viewed > ttl:
+            products, viewed = set(), None
+        if name in ("page_view", "view_product"):
+            views += 1
+            if product:
+                viewed = at
+                products.add(product)
+        elif name == "add_to_cart":
+            carts, usd = carts + 1, usd + value
+        elif name == "purchase":
+            carts = usd = 0
+        last = at
+        plain.append([id_, views, carts, usd, max(1, len(products)), (last - first) // 1_000_000, name == "purchase"])
+    whole, turns = run([[events]])
+    assert whole == plain
+    assert turns == [3 + len(products)]  # what was kept, each product of the last run, a timer, what is kept
+    assert run([[events[:400], events[400:]]])[0] == plain  # several frames of one micro-batch
+    cuts = [0, *sorted(rng.sample(range(1, 600), 120)), 600]
+    assert run([[events[a:b]] for a, b in zip(cuts, cuts[1:])])[0] == plain

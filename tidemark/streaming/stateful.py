@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.predicates import cart_add, order_event, overview_view, rollup_view
-from tidemark.functions.timeutil import micros, whole_seconds
+from tidemark.functions.timeutil import from_micros, micros, whole_seconds
 from tidemark.operators.scoring import stream_scores
 from tidemark.operators.sessions import session_key
 from tidemark.operators.sketches import BITS, visitor_sketch
@@ -66,13 +67,19 @@ def closed_sessions(ev: DataFrame, timeout: str = "30 minutes", delay: str = "10
 # --- running shopper features ----------------------------------------------------------------
 
 VIEWS, ORDERS = ("page_view", "view_product"), ("purchase", "order_completed")
-_SNAPSHOT = ["id", "created_at", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase"]
+_SNAPSHOT = ["id", "at", "views", "carts", "cart_value_usd", "distinct_products", "dwell_seconds", "has_purchase"]
 ROWS = 10_000
 
 
 def in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
-    """A key's rows of a micro-batch by (at, id), in blocks. They are held and sorted as columns; only a block is a list of rows."""
-    table = pa.concat_tables([pa.Table.from_pandas(frame[columns], preserve_index=False) for frame in frames])
+    """A key's rows of a micro-batch by (at, id), in blocks; ``columns`` begin with these two. One frame, which Spark bounds, is sorted
+    as it is: most keys have few rows, and then each conversion costs more than the rows. More are held and sorted as columns, and
+    only a block is a list of rows."""
+    first, second = next(frames), next(frames, None)
+    if second is None:
+        yield sorted(zip(*(first[c].tolist() for c in columns)), key=lambda row: (row[0], row[1] is None, row[1]))
+        return
+    table = pa.concat_tables([pa.Table.from_pandas(frame[columns], preserve_index=False) for frame in chain([first, second], frames)])
     for block in table.sort_by([("at", "ascending"), ("id", "ascending")]).to_batches(max_chunksize=ROWS):
         yield list(zip(*(block.column(c).to_pylist() for c in columns)))
 
@@ -87,7 +94,9 @@ class RunningFeatures(StatefulProcessor):
 
     A run of views ends when none follows within ``ttl``; numbering runs makes forgetting one a matter of the next number,
     however many products it held. A timer at the end of the idle time removes everything. A device's rows of a micro-batch
-    are put in order as columns, looked at once each and handed on in blocks.
+    are put in order, looked at once each and handed on in blocks. The state is asked only for products that the run at hand may
+    have seen in an earlier micro-batch, and told only of those new in the run that is open at the end: each question is a turn
+    between the worker and the JVM, dearer than a row.
     """
 
     def __init__(self, ttl: int):
@@ -99,36 +108,39 @@ class RunningFeatures(StatefulProcessor):
         self.seen = handle.getMapState("seen", "product string", "run bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.totals.get() if self.totals.exists() else None
+        state = self.totals.get()
         first, last, views, carts, usd, distinct, viewed, run, timer = state or (None, None, 0, 0, 0, 0, None, 0, None)
-        known: dict[str, int] = {}  # runs of the products met in this micro-batch
-        for block in in_order(rows, ["at", "id", "created_at", "name", "product_id", "usd"]):
+        stored = run if distinct else None  # the one run whose products the state may hold
+        known, new = set(), set()  # products of the run met in this micro-batch, and those of them that the state does not hold
+        for block in in_order(rows, ["at", "id", "name", "product_id", "usd"]):
             out = []
-            for at, id_, created, name, product, value in block:
+            for at, id_, name, product, value in block:
+                before = run
                 if last is None or at - last > self.ttl:
                     first, views, carts, usd, distinct, viewed, run = at, 0, 0, 0, 0, None, run + 1
                 if viewed is not None and at - viewed > self.ttl:
                     distinct, viewed, run = 0, None, run + 1
+                if run != before:
+                    known, new = set(), set()
                 if name in VIEWS:
                     views += 1
                     if product:
                         viewed = at
                         if product not in known:
-                            before = self.seen.getValue((product,))
-                            known[product] = before[0] if before else 0
-                        if known[product] != run:
-                            known[product] = run
-                            distinct += 1
+                            known.add(product)
+                            seen = self.seen.getValue((product,)) if run == stored else None
+                            if seen is None or seen[0] != run:
+                                new.add(product)
+                                distinct += 1
                 elif name == "add_to_cart":
                     carts, usd = carts + 1, usd + value
                 elif name in ORDERS:
                     carts, usd = 0, 0
                 last = max(at, last or at)
-                out.append((*key, id_, created, views, carts, usd, max(1, distinct), (last - first) // 1_000_000, name == "purchase"))
-            yield pd.DataFrame(out, columns=[*DEVICE, *_SNAPSHOT])
-        for product, seen in known.items():
-            if seen == run:  # earlier runs never count again
-                self.seen.updateValue((product,), (seen,))
+                out.append((id_, at, views, carts, usd, max(1, distinct), (last - first) // 1_000_000, name == "purchase"))
+            yield pd.DataFrame({**dict(zip(DEVICE, key)), **dict(zip(_SNAPSHOT, zip(*out)))})
+        for product in new:
+            self.seen.updateValue((product,), (run,))
         if timer is not None:
             self.handle.deleteTimer(timer)
         timer = max((last + self.ttl) // 1000, timerValues.getCurrentWatermarkInMs() + 1)
@@ -155,8 +167,8 @@ def running_features(ev: DataFrame, ttl_seconds: int = 45 * 60, delay: str = "10
     keys = [f.dataType.simpleString() for f in ev.select(*DEVICE).schema]
     id_type = ev.schema["id"].dataType.simpleString()
     out = ", ".join(f"{c} {t}" for c, t in zip(DEVICE, keys)) + (
-        f", id {id_type}, created_at timestamp_ntz, views bigint, carts bigint, cart_value_usd bigint, distinct_products bigint, dwell_seconds bigint, has_purchase boolean")
-    rows = _timed(ev, delay).select(*DEVICE, "id", "created_at", "event_time", micros(F.col("created_at")).alias("at"), "name",
+        f", id {id_type}, at bigint, views bigint, carts bigint, cart_value_usd bigint, distinct_products bigint, dwell_seconds bigint, has_purchase boolean")
+    rows = _timed(ev, delay).select(*DEVICE, "id", "event_time", micros(F.col("created_at")).alias("at"), "name",
                                     F.coalesce(F.col("product_id").cast("string"), F.lit("")).alias("product_id"), F.coalesce("revenue_usd", F.lit(0)).cast("bigint").alias("usd"))
     snapshots = rows.groupBy(*DEVICE).transformWithStateInPandas(RunningFeatures(ttl_seconds * 1_000_000), out, "append", "EventTime")
-    return stream_scores(snapshots)
+    return stream_scores(snapshots.select(*DEVICE, "id", from_micros(F.col("at")).alias("created_at"), *_SNAPSHOT[2:]))
